@@ -4,7 +4,7 @@ from importlib import import_module
 
 from churnspark.plans.registry import QUERIES
 
-MODULES = ("profile",)
+MODULES = ("profile", "scoring", "graph")
 
 
 def load_queries():
