@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from churnspark.functions.columns import TOKEN_SEPARATOR, pick, prettify, tokens
 from churnspark.operators.index import TextIndex, idf
+from churnspark.operators.questions import substrings
 from churnspark.operators.sizing import fits
 
 #: Tokens in the key that pairs a passage with the texts that may contain it.
 GRAM = 6
 
 
-def _grams(words: Column, size: Column | int) -> Column:
+def _grams(words: str, size: str) -> Column:
     """Hash of every run of ``size`` words, each once."""
-    last = F.size(words) - size + 1
-    return F.when(
-        last > 0,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, size)))),
-    ).otherwise(F.array().cast("array<bigint>"))
+    last = F.size(words) - F.col(size) + 1
+    hashed = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(F.col(words), i, F.col(size))))
+    return F.when(last > 0, F.array_distinct(hashed))
 
 
 def contained(texts: DataFrame, passages: DataFrame) -> DataFrame:
@@ -41,22 +40,17 @@ def contained(texts: DataFrame, passages: DataFrame) -> DataFrame:
         keyed = F.broadcast(keyed)
     # At most GRAM sizes occur.
     sizes = keyed.agg(F.collect_set("_size")).scalar()
-    grams = F.flatten(F.transform(sizes, lambda n: _grams(F.col("_words"), n)))
-    cut = texts.select("doc_id", words(F.col("text")).alias("_words")).select("doc_id", F.explode(grams).alias("_gram"))
-    pairs = cut.join(keyed.select("question_id", "_gram"), "_gram").select("doc_id", "question_id").distinct()
+    split = texts.select("doc_id", words(F.col("text")).alias("_words"), F.explode(sizes).alias("_size"))
+    cut = split.select("doc_id", "_size", F.explode(_grams("_words", "_size")).alias("_gram"))
+    pairs = cut.join(keyed, ["_size", "_gram"]).select("doc_id", "question_id").distinct()
 
-    short = inner.filter((F.size("_inner") == 0) & (F.length("text") > 0)).select("question_id", F.col("text").alias("_piece"))
-    lengths = short.agg(F.collect_set(F.length("_piece"))).scalar()
-    pieces = F.flatten(
-        F.transform(
-            F.filter(lengths, lambda n: n <= F.length("text")),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, n)
-            ),
-        )
+    short = inner.filter((F.size("_inner") == 0) & (F.length("text") > 0)).select(
+        "question_id", F.col("text").alias("_piece")
     )
+    lengths = short.agg(F.collect_set(F.length("_piece"))).scalar()
+    sized = texts.select("doc_id", "text", F.explode(lengths).alias("_n")).filter(F.col("_n") <= F.length("text"))
     exact = (
-        texts.select("doc_id", F.explode(F.array_distinct(pieces)).alias("_piece"))
+        sized.select("doc_id", F.explode(substrings("text", "_n")).alias("_piece"))
         .join(short, "_piece")
         .select("doc_id", "question_id")
     )
@@ -69,11 +63,14 @@ def contained(texts: DataFrame, passages: DataFrame) -> DataFrame:
     return verified.unionByName(exact).distinct()
 
 
-def evaluation_set(golden: DataFrame, hits: DataFrame, methods: list[str]) -> DataFrame:
+def evaluation_set(
+    golden: DataFrame, hits: DataFrame, methods: list[str], answers: DataFrame | None = None
+) -> DataFrame:
     """(method, question_id, question, contexts, answer, ground_truth) for every method and question.
 
     Contexts are in rank order; a question without hits keeps its row with an empty list.
-    The answer is the first context, the extractive stand-in for a written answer.
+    ``answers`` (method, question_id, answer) are written elsewhere; without them the first
+    context stands in.
     """
     listed = hits.groupBy("method", "question_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda e: e["text"]).alias("contexts")
@@ -81,12 +78,16 @@ def evaluation_set(golden: DataFrame, hits: DataFrame, methods: list[str]) -> Da
     every = golden.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
     joined = every.join(listed, ["method", "question_id"], "left")
     contexts = F.coalesce("contexts", F.array().cast("array<string>"))
+    first = F.try_element_at("contexts", F.lit(1))
+    if answers is not None:
+        joined = joined.join(answers.withColumnRenamed("answer", "_written"), ["method", "question_id"], "left")
+        first = F.col("_written")
     return joined.select(
         "method",
         "question_id",
         "question",
         contexts.alias("contexts"),
-        F.coalesce(F.try_element_at("contexts", F.lit(1)), F.lit("")).alias("answer"),
+        F.coalesce(first, F.lit("")).alias("answer"),
         "ground_truth",
     )
 
@@ -122,10 +123,12 @@ def text_overlap(pairs: DataFrame, keys: list[str], index: TextIndex | None = No
     in the answer. ``token_f1``: answer against ground truth. With an index also
     ``semantic_similarity``: TF-IDF cosine of answer and ground truth.
     """
-    sides = {"q": tokens("question"), "a": tokens("answer"), "t": tokens("ground_truth"), "c": tokens(F.array_join("contexts", "\n"))}
-    long = pairs.select(
-        *keys, F.explode(F.concat(*[F.transform(t, lambda w, s=s: F.struct(F.lit(s).alias("side"), w.alias("term"))) for s, t in sides.items()])).alias("w")
-    )
+    sides = {"q": "question", "a": "answer", "t": "ground_truth", "c": F.array_join("contexts", "\n")}
+
+    def marked(side, text):
+        return F.transform(tokens(text), lambda w: F.struct(F.lit(side).alias("side"), w.alias("term")))
+
+    long = pairs.select(*keys, F.explode(F.concat(*[marked(s, t) for s, t in sides.items()])).alias("w"))
     counted = long.groupBy(*keys, F.col("w.term").alias("term")).agg(
         *[F.count_if(F.col("w.side") == s).alias(s) for s in sides]
     )

@@ -81,6 +81,12 @@ def clauses(question) -> Column:
     return F.filter(parts, lambda p: F.size(tokens(p)) >= 3)
 
 
+def substrings(text: str, n: str) -> Column:
+    """Distinct substrings of ``n`` characters."""
+    starts = F.sequence(F.lit(1), F.length(text) - F.col(n) + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col(n))))
+
+
 def mentions(questions: DataFrame, names: DataFrame, key: str, text: str, name: str = "name") -> DataFrame:
     """Names that occur in a text, ignoring case: (key, name), exact and without a nested loop.
 
@@ -89,14 +95,8 @@ def mentions(questions: DataFrame, names: DataFrame, key: str, text: str, name:
     """
     keyed = names.select(name).distinct().withColumn("_piece", F.lower(name))
     lengths = keyed.agg(F.array_sort(F.collect_set(F.length("_piece")))).scalar()
-    body = F.lower(text)
-    pieces = F.flatten(
-        F.transform(
-            F.filter(lengths, lambda n: (n > 0) & (n <= F.length(body))),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.length(body) - n + 1), lambda i: F.substring(body, i, n)
-            ),
-        )
+    sized = questions.select(key, F.lower(text).alias("_body"), F.explode(lengths).alias("_n")).filter(
+        (F.col("_n") > 0) & (F.col("_n") <= F.length("_body"))
     )
-    cut = questions.select(key, F.explode(F.array_distinct(pieces)).alias("_piece"))
+    cut = sized.select(key, F.explode(substrings("_body", "_n")).alias("_piece"))
     return cut.join(keyed, "_piece").select(key, name)

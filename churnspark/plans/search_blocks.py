@@ -161,7 +161,7 @@ block(
     "judged",
     """
 SELECT method, question_id, coalesce(p, 0) AS context_precision, coalesce(found, 0) / total::DOUBLE AS context_recall
-FROM (SELECT question_id, count(*) AS total FROM relevant GROUP BY 1), methods
+FROM (SELECT question_id, count(*) AS total FROM relevant GROUP BY 1) CROSS JOIN methods
 LEFT JOIN (
   SELECT method, question_id, sum(r * so_far / rank::DOUBLE) / nullif(sum(r), 0) AS p,
          count(DISTINCT CASE WHEN r = 1 THEN doc_id END) AS found
