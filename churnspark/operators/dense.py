@@ -30,7 +30,8 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` highest scores, ties to the smaller id."""
+    """Positions of the ``k`` highest scores to nine decimals, ties to the smaller id."""
+    scores = np.round(scores, 9)
     if len(scores) > k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         near = np.flatnonzero(scores >= cut)
@@ -40,7 +41,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _block_top(query_ids, queries, ids, vectors, k) -> pd.DataFrame:
-    scores = np.round(_unit(queries) @ _unit(vectors).T, 9)
+    scores = _unit(queries) @ _unit(vectors).T
     rows = []
     for i, q in enumerate(query_ids):
         at = _best(scores[i], ids, k)
@@ -71,7 +72,7 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int = 5, force_blocks: bool
         local = _with_broadcast(corpus, queries, k, out)
     else:
         local = _by_blocks(corpus, queries, k, out)
-    return top_per_group(local, "query_id", [F.desc("score"), "vec_id"], k)
+    return top_per_group(local, "query_id", [F.desc(F.round("score", 9)), "vec_id"], k)
 
 
 def _with_broadcast(corpus: DataFrame, queries: DataFrame, k: int, out: T.StructType) -> DataFrame:
@@ -92,7 +93,7 @@ def _with_broadcast(corpus: DataFrame, queries: DataFrame, k: int, out: T.Struct
                 continue
             vec_ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             vectors = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            scores = np.round(unit_queries @ _unit(vectors.reshape(batch.num_rows, -1)).T, 9)
+            scores = unit_queries @ _unit(vectors.reshape(batch.num_rows, -1)).T
             found = []
             for i in range(len(query_ids)):
                 s, v = scores[i], vec_ids

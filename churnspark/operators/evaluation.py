@@ -139,7 +139,7 @@ def text_overlap(pairs: DataFrame, keys: list[str], index: TextIndex | None = No
         "token_f1": 2 * F.sum(F.least(a, t)) / F.nullif(F.sum(a) + F.sum(t), F.lit(0)),
     }
     if index is not None:
-        weight = idf(index.n, F.coalesce("df", F.lit(0)))
+        weight = idf(F.lit(index.n), F.coalesce("df", F.lit(0)))
         counted = counted.join(index.terms.select("term", "df"), "term", "left").withColumn("_w", weight * weight)
         w = F.col("_w")
         norm = F.sqrt(F.sum(a * a * w)) * F.sqrt(F.sum(t * t * w))

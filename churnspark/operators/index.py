@@ -2,101 +2,163 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from churnspark.functions.columns import tokens
-from churnspark.operators.sizing import fits
+from churnspark.operators import sparse
+from churnspark.operators.ranking import top_per_group
+from churnspark.operators.sizing import fits, spread
+from churnspark.session import materialize
 
 # BM25 parameters (Robertson and Zaragoza, 2009).
 BM25_K1, BM25_B = 1.2, 0.75
 
-#: Question text up to this size is sent to every task; more is joined by shuffle.
-MAX_QUESTIONS, MAX_QUESTION_BYTES = 100_000, 32 * 1024 * 1024
+#: A question table up to this size is sent to every task; more is joined by shuffle.
+MAX_QUESTIONS, MAX_QUESTION_BYTES = 20_000, 4 * 1024 * 1024
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, term, tf). A text is in one task, so its counts are complete before the shuffle."""
+    """(keys, term, tf): how often each term occurs in each text."""
     return (
         texts.select(*keys, F.explode(tokens(text)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     )
 
 
-def idf(n: Column, df: Column) -> Column:
+def idf(n, df) -> Column:
     return F.ln((n + 1) / (df + 1)) + 1
 
 
+def whole(documents: DataFrame) -> DataFrame:
+    """A document as its only text."""
+    return documents
+
+
 @dataclass(frozen=True)
 class TextIndex:
-    """Postings placed by the first key: (keys, term, tf, weight, length); terms: (term, df, idf)."""
+    """Statistics of a corpus and its postings.
+
+    ``terms`` (term, df, idf) is a written table. ``postings`` (keys, term, tf, weight, length)
+    is placed by the first key, the document, so all that follows per document or chunk needs
+    no further shuffle.
+    """
 
     keys: list[str]
     postings: DataFrame
     terms: DataFrame
-    n: Column
-    mean_length: Column
+    n: int
+    mean_length: float
 
 
-def build(texts: DataFrame, keys: list[str], text: str = "text") -> TextIndex:
-    """Index a corpus of (keys, text).
+def build(documents: DataFrame, keys: list[str], cut: Callable[[DataFrame], DataFrame] = whole) -> TextIndex:
+    """Index the texts (keys, text) that ``cut`` makes of (doc_id, text).
 
-    Shuffles: term counts by (keys, term), the join with term statistics by term (a broadcast
-    if they are measured small at run time, a skew-split join otherwise), and one placement by
-    the first key. Norms, scores and per-task top-k all reuse that placement.
+    The first pass counts texts per term, with repeats removed inside the row, so that only
+    vocabulary-sized partial counts are shuffled; its result is written, as every later step
+    reads it. The second pass shuffles the documents once by id. The vocabulary joins it as a
+    broadcast if measured small, else by a skew-split shuffle after which postings are placed again.
     """
-    counted = term_counts(texts, keys, text)
-    n = texts.agg(F.count("*")).scalar()
-    terms = counted.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", idf(n, F.col("df")))
-    whole = W.partitionBy(*keys)
-    raw = F.col("tf") * F.col("idf")
-    postings = (
-        counted.join(terms.select("term", "idf"), "term")
-        .repartition(keys[0])
-        .select(
-            *keys,
-            "term",
-            "tf",
-            (raw / F.sqrt(F.sum(raw * raw).over(whole))).alias("weight"),
-            F.sum("tf").over(whole).alias("length"),
+    words = cut(spread(documents, keys[0])).select(tokens("text").alias("words"))
+    first = F.coalesce("at", F.lit(0)) == 0
+    counted = (
+        words.select(F.size("words").alias("length"), F.posexplode_outer(F.array_distinct("words")).alias("at", "term"))
+        .groupBy("term")
+        .agg(
+            F.count("*").alias("df"),
+            F.count_if(first).alias("texts"),
+            F.sum(F.when(first, F.col("length"))).alias("tokens"),
         )
     )
-    return TextIndex(keys, postings, terms, n, counted.agg(F.sum("tf")).scalar() / n)
+    counted = materialize(counted, "terms")
+    total = counted.agg(F.sum("texts").alias("n"), F.sum("tokens").alias("tokens")).first()
+    n = total["n"] or 0
+    terms = counted.filter("term IS NOT NULL").select("term", "df", idf(F.lit(n), F.col("df")).alias("idf"))
+
+    placed = term_counts(cut(documents.repartition(keys[0])), keys)
+    weighted = placed.join(F.broadcast(terms), "term") if fits(terms) else placed.join(terms, "term").repartition(keys[0])
+    same_text = W.partitionBy(*keys)
+    raw = F.col("tf") * F.col("idf")
+    postings = weighted.select(
+        *keys,
+        "term",
+        "tf",
+        (raw / F.sqrt(F.sum(raw * raw).over(same_text))).alias("weight"),
+        F.sum("tf").over(same_text).alias("length"),
+    )
+    return TextIndex(keys, postings, terms, n, (total["tokens"] or 0) / max(n, 1))
 
 
 def question_terms(index: TextIndex, questions: DataFrame, ids: list[str], text: str = "text") -> DataFrame:
     """(ids, term, q_weight, bm25_idf) for the terms of each question that the corpus has."""
     counted = term_counts(questions, ids, text)
     df = F.coalesce("df", F.lit(0))
-    raw = F.col("tf") * idf(index.n, df)
+    raw = F.col("tf") * idf(F.lit(index.n), df)
     weighted = counted.join(index.terms.select("term", "df"), "term", "left").select(
         *ids,
         "term",
         "df",
         (raw / F.sqrt(F.sum(raw * raw).over(W.partitionBy(*ids)))).alias("q_weight"),
-        F.ln(1 + (index.n - df + 0.5) / (df + 0.5)).alias("bm25_idf"),
+        F.ln(1 + (F.lit(index.n) - df + 0.5) / (df + 0.5)).alias("bm25_idf"),
     )
     return weighted.filter("df IS NOT NULL").drop("df")
 
 
-def score(index: TextIndex, questions: DataFrame, ids: list[str], text: str = "text", asked: DataFrame | None = None) -> DataFrame:
-    """(ids, keys, score, bm25) for every question and text that share a term.
-
-    With a measured small question table the join happens where the postings lie, and the sum
-    by (ids, keys) needs no shuffle because the postings are already placed by their key.
-    """
-    terms = question_terms(index, questions, ids, text)
-    if fits(asked if asked is not None else questions, MAX_QUESTIONS, MAX_QUESTION_BYTES):
-        terms = F.broadcast(terms)
-    saturation = F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("length") / index.mean_length)
-    return (
-        index.postings.join(terms, "term")
-        .groupBy(*index.keys, *ids)
+def _by_join(index: TextIndex, asked: DataFrame, ids: list[str], parents: bool) -> DataFrame:
+    """Scores by a shuffled join on terms, for question tables of any size."""
+    best = (
+        index.postings.withColumn("bm25", saturation(index))
+        .join(question_terms(index, asked, ids), "term")
+        .groupBy(*ids, *index.keys)
         .agg(
             F.sum(F.col("weight") * F.col("q_weight")).alias("score"),
-            F.sum(F.col("bm25_idf") * F.col("tf") * (BM25_K1 + 1) / saturation).alias("bm25"),
+            F.sum(F.col("bm25_idf") * F.col("bm25")).alias("bm25"),
         )
     )
+    if not parents:
+        return best.withColumn("kind", F.lit("child"))
+    # A scored child of the question itself also counts for its parent.
+    own = F.col("variant") == 0 if "variant" in ids else F.lit(True)
+    child = index.keys[-1]
+    kinds = F.when(own, F.array(F.lit("child"), F.lit("parent"))).otherwise(F.array(F.lit("child")))
+    return (
+        best.withColumn("kind", F.explode(kinds))
+        .groupBy(*ids, "kind", *index.keys[:-1], F.when(F.col("kind") == "child", F.col(child)).alias(child))
+        .agg(F.max("score").alias("score"), F.max(F.when(F.col("kind") == "child", F.col("bm25")).otherwise(0.0)).alias("bm25"))
+    )
+
+
+def saturation(index: TextIndex) -> Column:
+    """The question-independent part of BM25 of one posting."""
+    length = 1 - BM25_B + BM25_B * F.col("length") / index.mean_length
+    return F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * length)
+
+
+def best(
+    index: TextIndex,
+    asked: DataFrame,
+    ids: list[str],
+    k: int,
+    questions: DataFrame | None = None,
+    parents: bool = False,
+    force_join: bool = False,
+) -> DataFrame:
+    """(ids, kind, keys, score, bm25, rank): per question the ``k`` best texts by cosine, and with
+    ``parents`` also the ``k`` best groups of texts (all keys but the last) by their best text.
+
+    ``asked`` are rows (ids, text); ``questions`` is the table they derive from, whose measured
+    size decides whether the questions can be sent to the postings. If so, each task keeps its
+    best rows while scoring and only those are shuffled.
+    """
+    if not force_join and fits(questions if questions is not None else asked, MAX_QUESTIONS, MAX_QUESTION_BYTES):
+        rows = question_terms(index, asked, ids).collect()
+        fields = [asked.schema[i] for i in ids]
+        postings = index.postings.withColumn("bm25", saturation(index))
+        local = sparse.search(postings, rows, ids, fields, index.keys, k, parents)
+    else:
+        local = _by_join(index, asked, ids, parents)
+    return top_per_group(local, [*ids, "kind"], best_first(index.keys), k)
 
 
 def best_first(keys: list[str], by: str = "score") -> list[Column]:

@@ -39,7 +39,7 @@ class Retriever:
 
     @cached_property
     def index(self) -> I.TextIndex:
-        return I.build(self.children(self.documents), CHILD_KEYS)
+        return I.build(self.documents, CHILD_KEYS, self.children)
 
     def children(self, documents: DataFrame) -> DataFrame:
         return chunking.two_tier(documents, ["doc_id"], "text", self.cutter)
@@ -51,12 +51,12 @@ class Retriever:
         """Same corpus statistics, but only these documents (doc_id) can be found."""
         return replace(self, allowed=allowed)
 
-    def scores(self, asked: DataFrame, questions: DataFrame) -> DataFrame:
-        """Scores of variants (question_id, variant, text) against the children."""
+    def best(self, asked: DataFrame, questions: DataFrame, k: int, parents: bool) -> DataFrame:
+        """Best children (and parents) of variants (question_id, variant, text)."""
         index = self.index
         if self.allowed is not None:
             index = replace(index, postings=index.postings.join(self.allowed, "doc_id", "left_semi"))
-        return I.score(index, asked, ["question_id", "variant"], asked=questions)
+        return I.best(index, asked, ["question_id", "variant"], k, questions, parents)
 
     def texts(self, hits: DataFrame, cut: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
         """Add the chunk text to hits: only documents with a hit are cut again."""
@@ -85,28 +85,19 @@ class Candidates:
     """Best children per question variant, and best parents per question."""
 
     children: DataFrame
-    parents: DataFrame | None
+    parents: DataFrame
     k: int
 
 
 def find(retriever: Retriever, questions: DataFrame, k: int, with_variants=True, with_parents=True, keep=False) -> Candidates:
-    """One scoring pass from which every strategy picks.
-
-    Both rankings keep at most a few rows per question in each task before anything is
-    shuffled. ``keep`` writes them as tables, for callers that run several strategies.
-    """
+    """One scoring pass from which every strategy picks. ``keep`` writes the few rows it yields,
+    for callers that run several strategies."""
     asked = variants(retriever.index, questions) if with_variants else original(questions)
-    scored = retriever.scores(asked, questions)
-    children = top_per_group(
-        scored, ["question_id", "variant"], I.best_first(CHILD_KEYS), OVERFETCH * k
-    )
-    parents = None
-    if with_parents:
-        best = scored.filter("variant = 0").groupBy("question_id", *PARENT_KEYS).agg(F.max("score").alias("score"))
-        parents = top_per_group(best, "question_id", I.best_first(PARENT_KEYS), k)
+    top = retriever.best(asked, questions, OVERFETCH * k, with_parents)
     if keep:
-        children = materialize(children, "children")
-        parents = materialize(parents, "parents") if parents is not None else None
+        top = materialize(top, "candidates")
+    children = top.filter("kind = 'child'").drop("kind")
+    parents = top.filter("kind = 'parent'").select("question_id", *PARENT_KEYS, "score", "rank")
     return Candidates(children, parents, k)
 
 
@@ -260,6 +251,6 @@ def external(pages: DataFrame, questions: DataFrame) -> DataFrame:
     derived = questions.select("question_id", F.posexplode(prefixes).alias("query_no", "_prefix"), "text").select(
         "question_id", "query_no", F.concat_ws(" ", "_prefix", "text").alias("text")
     )
-    scored = I.score(I.build(readable, ["page_id"]), derived, ["question_id", "query_no"], asked=questions)
-    top = top_per_group(scored, ["question_id", "query_no"], I.best_first(["page_id"]), PER_EXTERNAL_QUERY)
+    index = I.build(readable, ["page_id"])
+    top = I.best(index, derived, ["question_id", "query_no"], PER_EXTERNAL_QUERY, questions).drop("kind", "bm25")
     return top.join(pages.select("page_id", "url"), "page_id")

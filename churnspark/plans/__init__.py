@@ -4,7 +4,7 @@ from importlib import import_module
 
 from churnspark.plans.registry import QUERIES
 
-MODULES = ("profile", "scoring", "graph", "corpus", "retrieval", "evaluation")
+MODULES = ("profile", "scoring", "graph", "corpus", "retrieval", "evaluation", "streaming")
 
 
 def load_queries():

@@ -101,8 +101,7 @@ def top_documents(wh, allowed=None):
     index = I.build(corpus(wh), ["doc_id"])
     if allowed is not None:
         index = replace(index, postings=index.postings.join(allowed, "doc_id", "left_semi"))
-    scored = I.score(index, asked(wh), ["question_id"])
-    top = top_per_group(scored, "question_id", I.best_first(["doc_id"]), 5)
+    top = I.best(index, asked(wh), ["question_id"], 5)
     return shown(top.select("question_id", "doc_id", "score", "rank"))
 
 
@@ -361,7 +360,7 @@ JOIN pages USING (page_id) WHERE rank <= 2
     ),
 )
 def external_topk(wh):
-    return shown(R.external(wh.table("pages"), asked(wh))).drop("bm25")
+    return shown(R.external(wh.table("pages"), asked(wh)))
 
 
 # Sources, citations and confidence ---------------------------------------------------------------
@@ -385,8 +384,7 @@ def use_cases(wh):
     """The five account profiles closest to each subject question, with their metadata."""
     profiles = profile_corpus(wh)
     questions = subject_questions(wh).select("question_id", F.col("question").alias("text"))
-    scored = I.score(I.build(profiles.select("doc_id", "text"), ["doc_id"]), questions, ["question_id"])
-    top = top_per_group(scored, "question_id", I.best_first(["doc_id"]), 5)
+    top = I.best(I.build(profiles.select("doc_id", "text"), ["doc_id"]), questions, ["question_id"], 5)
     return top.join(profiles.select("doc_id", "metadata.*"), "doc_id")
 
 
@@ -455,7 +453,7 @@ JOIN pages USING (page_id) WHERE rank <= 2
 )
 def external_citations(wh):
     # Six pages per question at most: two for each of three derived queries.
-    found = R.external(wh.table("pages"), asked(wh)).drop("bm25").withColumnRenamed("rank", "within")
+    found = R.external(wh.table("pages"), asked(wh)).withColumnRenamed("rank", "within")
     numbered = top_per_group(found, "question_id", ["query_no", "within"], 6)
     return numbered.select(
         "question_id", F.concat(F.lit("EXT"), F.col("rank")).alias("citation_id"), "url", F.lit("supporting").alias("relevance")
