@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from churnspark.operators.sizing import spread
 
 # Chunk sizes and overlaps in characters, and the separators in order of preference.
 INGEST = (500, 50)
@@ -85,20 +88,22 @@ def by_separators(
         ]
     )
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    types = to_arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, row in batch.iterrows():
-                body = row[text]
-                if not body:
-                    continue
-                spans = split_spans(body, size, overlap)
-                out = pd.DataFrame({k: [row[k]] * len(spans) for k in keys})
-                out[no] = range(len(spans))
-                out["start"] = [a for a, _ in spans]
-                out["text"] = [body[a:b] for a, b in spans]
-                yield out
-
-    return documents.select(*keys, text).mapInPandas(cut, schema)
+            rows, numbers, starts, texts = [], [], [], []
+            for row, body in enumerate(batch.column(text).to_pylist()):
+                spans = split_spans(body, size, overlap) if body else []
+                rows += [row] * len(spans)
+                numbers += range(len(spans))
+                starts += [a for a, _ in spans]
+                texts += [body[a:b] for a, b in spans]
+            taken = batch.select(keys).take(pa.array(rows, pa.int64()))
+            made = [pa.array(v, type=types.field(n).type) for n, v in ((no, numbers), ("start", starts), ("text", texts))]
+            yield pa.RecordBatch.from_arrays([*taken.columns, *made], schema=types)
+
+    return spread(documents.select(*keys, text), keys[0]).mapInArrow(cut, schema)
 
 
 def two_tier(documents: DataFrame, keys: list[str], text: str, cutter=fixed, parent=PARENT, child=CHILD) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from churnspark.functions.columns import TOKEN_SEPARATOR, pick, prettify, tokens
 from churnspark.operators.index import TextIndex, idf
 from churnspark.operators.questions import substrings
-from churnspark.operators.sizing import fits
+from churnspark.operators.sizing import fits, spread
 
 #: Tokens in the key that pairs a passage with the texts that may contain it.
 GRAM = 6
@@ -40,7 +40,7 @@ def contained(texts: DataFrame, passages: DataFrame) -> DataFrame:
         keyed = F.broadcast(keyed)
     # At most GRAM sizes occur.
     sizes = keyed.agg(F.collect_set("_size")).scalar()
-    split = texts.select("doc_id", words(F.col("text")).alias("_words"), F.explode(sizes).alias("_size"))
+    split = spread(texts, "doc_id").select("doc_id", words(F.col("text")).alias("_words"), F.explode(sizes).alias("_size"))
     cut = split.select("doc_id", "_size", F.explode(_grams("_words", "_size")).alias("_gram"))
     pairs = cut.join(keyed, ["_size", "_gram"]).select("doc_id", "question_id").distinct()
 

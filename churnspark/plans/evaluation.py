@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from churnspark.functions.columns import slug
 from churnspark.operators import evaluation as E, golden, index as I, questions as Q, retrieval as R
-from churnspark.operators.sizing import broadcast_if_small
 from churnspark.plans import profile  # noqa: F401 - blocks
 from churnspark.plans.registry import block, query, sql
 from churnspark.plans.retrieval import asked, corpus, golden_questions
@@ -304,7 +302,10 @@ LEFT JOIN (SELECT primary_reason, primary_reason || ' Churn Reason Summary:' ||
 
 
 def golden_set_of(wh):
-    return golden.golden_set(golden_questions(wh), T.churn_table(wh))
+    # Facts, mentions and sources all read the account table, so it is written once.
+    table = materialize(T.churn_table(wh), "accounts")
+    rivals = table.select(F.explode(F.array("competitor_1", "competitor_2")).alias("competitor"))
+    return golden.golden_set(golden.questions(table, rivals), table)
 
 
 @query("EVL7 JN4 JN5", sql("SELECT * FROM golden_set", "golden_set"))
