@@ -128,13 +128,15 @@ def _by_blocks(corpus: DataFrame, queries: DataFrame, k: int, out: T.StructType)
     def every(df, blocks, name):
         return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+    # Both sides may derive from one table, so the query side gets columns of its own.
+    queries = queries.select(F.col("query_id").alias("query_id"), F.col("vec").alias("query_vec"))
     left = every(own(queries, "query_id", query_blocks, "qb"), corpus_blocks, "cb").groupBy("qb", "cb")
     right = every(own(corpus, "vec_id", corpus_blocks, "cb"), query_blocks, "qb").groupBy("qb", "cb")
 
     def match(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
             return pd.DataFrame({n: [] for n in out.names})
-        return _block_top(q["query_id"].tolist(), _matrix(q["vec"]), v["vec_id"].to_numpy(), _matrix(v["vec"]), k)
+        return _block_top(q["query_id"].tolist(), _matrix(q["query_vec"]), v["vec_id"].to_numpy(), _matrix(v["vec"]), k)
 
     return left.cogroup(right).applyInPandas(match, out)
 

@@ -58,8 +58,11 @@ def frequency(df: DataFrame, c: str) -> DataFrame:
     return with_share(counts(df, c))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Totals and spread of ARR and tenure over all rows, exact medians included."""
+def summary(df: DataFrame) -> DataFrame:
+    """Totals and spread of ARR and tenure over all rows, exact medians included.
+
+    Reads its input several times, so pass a table, not a long plan.
+    """
     plain = df.agg(
         F.count("*").alias("accounts"),
         total("arr").alias("total_arr"),

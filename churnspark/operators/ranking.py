@@ -34,7 +34,9 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float], by: tupl
 
     Rows are counted into equal-width cells by partial aggregation, running counts
     over the cells locate the two order statistics of each quantile, and only the
-    distinct values of those cells are looked at. No task sees a whole group.
+    distinct values of those cells are looked at. No task sees a whole group; the running
+    counts of one group are over at most ``CELLS`` rows. Reads its input several times, so pass
+    a table, not a long plan.
     """
     keys = list(by)
     values = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))

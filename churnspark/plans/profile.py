@@ -9,6 +9,7 @@ from churnspark.operators import profile as P
 from churnspark.operators.ranking import counts, exact_quantiles, top_per_group, with_share
 from churnspark.plans import account_blocks  # noqa: F401 - defines the blocks
 from churnspark.plans.registry import block, query, sql
+from churnspark.session import materialize
 from churnspark.sources import tables as T
 
 
@@ -75,6 +76,11 @@ def reason_top(wh):
     return counts(wh.churned, "primary_reason").orderBy(F.desc("cnt"), "primary_reason").limit(10)
 
 
+def figures(wh):
+    """The numbers of the churned accounts, written once for the several passes of exact quantiles."""
+    return materialize(wh.churned.select("segment", "arr", "tenure_years"), "figures")
+
+
 @query(
     "AGG3 AGG4",
     sql(
@@ -90,7 +96,7 @@ FROM churned
     ),
 )
 def tenure_arr_stats(wh):
-    return P.spread(wh.churned)
+    return P.summary(figures(wh))
 
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -106,7 +112,7 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
     ),
 )
 def arr_quartiles(wh):
-    found = exact_quantiles(wh.churned, "arr", QUARTILES)
+    found = exact_quantiles(figures(wh), "arr", QUARTILES)
     return found.select(*[F.round(q, 4).alias(q) for q in QUARTILES])
 
 
@@ -120,7 +126,7 @@ def arr_quartiles(wh):
     ),
 )
 def arr_quartiles_by_segment(wh):
-    found = exact_quantiles(wh.churned, "arr", QUARTILES, ("segment",))
+    found = exact_quantiles(figures(wh), "arr", QUARTILES, ("segment",))
     return found.select("segment", *[F.round(q, 4).alias(q) for q in QUARTILES])
 
 
@@ -555,12 +561,12 @@ def competitor_union(wh):
 @query(
     "FLT6",
     sql(
-        "SELECT account_id, close_date FROM churned WHERE close_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'",
+        "SELECT account_id, close_date FROM churned WHERE close_date BETWEEN DATE '2000-07-01' AND DATE '2000-09-30'",
         "churned",
     ),
 )
 def churned_in_quarter(wh):
-    return wh.churned.filter(F.col("close_date").between("1998-01-01", "1998-03-31")).select("account_id", "close_date")
+    return wh.churned.filter(F.col("close_date").between("2000-07-01", "2000-09-30")).select("account_id", "close_date")
 
 
 @query(
@@ -579,12 +585,12 @@ def not_for_reason(wh):
     sql(
         """
 SELECT account_id FROM accounts WHERE segment = 'BUILDING'
-  AND NOT EXISTS (SELECT 1 FROM products p WHERE p.account_id = accounts.account_id AND product = 'PROMO')
+  AND NOT EXISTS (SELECT 1 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey
+                  WHERE o_custkey = account_id AND p_brand = 'Brand#7')
 """,
         "accounts",
-        "products",
     ),
 )
 def never_used_product(wh):
-    users = T.account_products(wh).filter("product = 'PROMO'")
+    users = T.account_products(wh, "p_brand").filter("product = 'Brand#7'")
     return wh.accounts.filter("segment = 'BUILDING'").join(users, "account_id", "left_anti").select("account_id")

@@ -77,14 +77,14 @@ def accounts(wh: Warehouse, gap_days: int = GAP_DAYS) -> DataFrame:
     )
 
 
-def account_products(wh: Warehouse) -> DataFrame:
-    """Distinct (account_id, product)."""
+def account_products(wh: Warehouse, level: str = "p_type") -> DataFrame:
+    """Distinct (account_id, product), products being the part's type or brand."""
     return (
         wh.table("lineitem")
         .select("l_orderkey", "l_partkey")
-        .join(wh.table("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(wh.table("part").select("p_partkey", level), F.col("l_partkey") == F.col("p_partkey"))
         .join(wh.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(F.col("o_custkey").alias("account_id"), F.col("p_type").alias("product"))
+        .select(F.col("o_custkey").alias("account_id"), F.col(level).alias("product"))
         .distinct()
     )
 
