@@ -96,14 +96,15 @@ def reason_facts(table: DataFrame) -> DataFrame:
 
 def overall_fact(table: DataFrame) -> Column:
     """Summary of all accounts as a scalar subquery."""
-    ranked = top_per_group(
-        table.groupBy("primary_reason").agg(F.count("*").alias("cnt")).withColumn("_all", F.lit(1)),
-        "_all", [F.desc("cnt"), "primary_reason"], 3, "_rank",
-    )
-    entry = F.struct("_rank", F.concat("primary_reason", F.lit("="), F.col("cnt").cast("string")).alias("text"))
-    reasons = ranked.agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), "; ")
-    ).scalar()
+    top = (
+        table.groupBy("primary_reason")
+        .agg(F.count("*").alias("cnt"))
+        .orderBy(F.desc("cnt"), "primary_reason")
+        .limit(3)
+    )
+    text = F.concat("primary_reason", F.lit("="), F.col("cnt").cast("string"))
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("order"), "primary_reason", text.alias("text"))))
+    reasons = top.agg(F.array_join(F.transform(entries, lambda e: e["text"]), "; ")).scalar()
     totals = table.agg(F.count("*").alias("n"), F.avg("tenure_years").alias("t"), F.sum("arr").alias("arr"))
     fact = _line(
         "Overall Churn Summary:\n- Total customers: ", F.col("n"), "\n- Top 3 churn reasons: ", reasons,
