@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -14,6 +16,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Whole texts travel in Arrow batches: bound them by rows and by bytes.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16777216",
 }
 
 
@@ -34,6 +39,24 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
     return spark
 
 
+#: Applications that have the package.
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the executors once per application, so that Python functions can be loaded there."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    with tempfile.NamedTemporaryFile(prefix="churnspark-", suffix=".zip", delete=False) as file:
+        with zipfile.ZipFile(file, "w") as archive:
+            for path in sorted(root.rglob("*.py")):
+                archive.write(path, Path(root.name) / path.relative_to(root))
+    context.addPyFile(file.name)
+    _SHIPPED.add(context.applicationId)
+
+
 #: Local-mode fallback folders, by application.
 _LOCAL_DIRS: dict[str, str] = {}
 
