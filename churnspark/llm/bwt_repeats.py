@@ -245,8 +245,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, max_group: int
     """
     first, to_anchor, to_last = _unpacked()
     rows = materialize(_segments(docs, length, k), "segments")
+    # What rows are joined with is written first: between two plain exchanges Spark can split a hot anchor.
     several = rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("low"), F.max("seg").alias("high")).where("n > 1")
-    shared = materialize(rows.join(several.select("anchor", (F.col("low") != F.col("high")).alias("unlike")), "anchor"), "shared")
+    several = materialize(several.select("anchor", (F.col("low") != F.col("high")).alias("unlike")), "several")
+    shared = materialize(rows.join(several, "anchor"), "shared")
     counts = shared.groupBy("anchor", "seg", "unlike").agg(F.count("*").alias("n"))
     one = materialize(shared.where("unlike").dropDuplicates(["anchor", "seg"]).select("anchor", "seg", "doc_id", "text_key", first.alias("u"), to_anchor.alias("o"), to_last.alias("w")), "kinds")
     cut = F.substring(F.col("text").cast("binary"), F.col("u") + 1, F.col("w") + length)
@@ -258,6 +260,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, max_group: int
     if not large.isEmpty():
         partial = partial.unionByName(_counted(kinds.join(large, "anchor", "left_semi"), length, k))
     cover = counts.select("anchor", "seg", "n").join(partial, ["anchor", "seg"], "left").where("n > 1 or least is not null")
+    cover = materialize(cover, "cover")
     spans = shared.drop("unlike").join(cover, ["anchor", "seg"]).select(
         "doc_id",
         "text_key",
