@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from churnspark.operators.sizing import spread
-
 # Chunk sizes and overlaps in characters, and the separators in order of preference.
 INGEST = (500, 50)
 PARENT = (2000, 200)
 CHILD = (400, 50)
 SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+#: Characters of chunks in one output batch.
+BATCH_CHARS = 4 * 1024 * 1024
 
 
 def _fixed_pieces(text: Column, size: int, overlap: int) -> Column:
@@ -93,17 +93,28 @@ def by_separators(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, numbers, starts, texts = [], [], [], []
-            for row, body in enumerate(batch.column(text).to_pylist()):
-                spans = split_spans(body, size, overlap) if body else []
-                rows += [row] * len(spans)
-                numbers += range(len(spans))
-                starts += [a for a, _ in spans]
-                texts += [body[a:b] for a, b in spans]
-            taken = batch.select(keys).take(pa.array(rows, pa.int64()))
-            made = [pa.array(v, type=types.field(n).type) for n, v in ((no, numbers), ("start", starts), ("text", texts))]
-            yield pa.RecordBatch.from_arrays([*taken.columns, *made], schema=types)
-
-    return spread(documents.select(*keys, text), keys[0]).mapInArrow(cut, schema)
+            made = 0
+
+            def full():
+                taken = batch.select(keys).take(pa.array(rows, pa.int64()))
+                parts = ((no, numbers), ("start", starts), ("text", texts))
+                arrays = [pa.array(v, type=types.field(n).type) for n, v in parts]
+                return pa.RecordBatch.from_arrays([*taken.columns, *arrays], schema=types)
+
+            for row, cell in enumerate(batch.column(text)):
+                body = cell.as_py()
+                for i, (a, b) in enumerate(split_spans(body, size, overlap) if body else []):
+                    rows.append(row)
+                    numbers.append(i)
+                    starts.append(a)
+                    texts.append(body[a:b])
+                    made += b - a
+                    if made > BATCH_CHARS:
+                        yield full()
+                        rows, numbers, starts, texts, made = [], [], [], [], 0
+            yield full()
+
+    return documents.select(*keys, text).mapInArrow(cut, schema)
 
 
 def two_tier(documents: DataFrame, keys: list[str], text: str, cutter=fixed, parent=PARENT, child=CHILD) -> DataFrame:

@@ -21,7 +21,7 @@ from churnspark.operators.sizing import fits
 #: A query table above either bound is matched block by block instead of being sent to every task.
 MAX_QUERIES = 4096
 MAX_QUERY_BYTES = 32 * 1024 * 1024
-BLOCK_VECTORS = 65_536
+BLOCK_VECTORS = 4096  # a block of scores is at most MAX_QUERIES x BLOCK_VECTORS doubles, 128 MB
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
@@ -29,24 +29,31 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` highest scores to nine decimals, ties to the smaller id."""
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids (queries x <=k) of the highest scores to nine decimals, ties to the smaller id.
+
+    ``ids`` is one row of ids for all queries, or one row per query.
+    """
     scores = np.round(scores, 9)
-    if len(scores) > k:
-        cut = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= cut)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+    ids = np.broadcast_to(ids, scores.shape)
+    n = scores.shape[1]
+    if n > k:
+        # More than k may tie at the cut; all of them are looked at.
+        cut = np.partition(scores, n - k, axis=1)[:, n - k, None]
+        near = scores >= cut
+        width = int(near.sum(axis=1).max())
+        at = np.argsort(~near, axis=1, kind="stable")[:, :width]
+        kept = np.take_along_axis(near, at, axis=1)
+        scores, ids = np.where(kept, np.take_along_axis(scores, at, axis=1), -np.inf), np.take_along_axis(ids, at, axis=1)
+    order = np.argsort(ids, axis=1, kind="stable")
+    scores, ids = np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
+    order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(scores, order, axis=1), np.take_along_axis(ids, order, axis=1)
 
 
 def _block_top(query_ids, queries, ids, vectors, k) -> pd.DataFrame:
-    scores = _unit(queries) @ _unit(vectors).T
-    rows = []
-    for i, q in enumerate(query_ids):
-        at = _best(scores[i], ids, k)
-        rows.append(pd.DataFrame({"query_id": q, "vec_id": ids[at], "score": scores[i][at]}))
-    return pd.concat(rows) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    scores, found = _best(_unit(queries) @ _unit(vectors).T, ids, k)
+    return pd.DataFrame({"query_id": np.repeat(query_ids, found.shape[1]), "vec_id": found.ravel(), "score": scores.ravel()})
 
 
 def _matrix(column) -> np.ndarray:
@@ -94,23 +101,12 @@ def _with_broadcast(corpus: DataFrame, queries: DataFrame, k: int, out: T.Struct
             vec_ids = batch.column("vec_id").to_numpy(zero_copy_only=False)
             vectors = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             scores = unit_queries @ _unit(vectors.reshape(batch.num_rows, -1)).T
-            found = []
-            for i in range(len(query_ids)):
-                s, v = scores[i], vec_ids
-                at = _best(s, v, k)
-                s, v = s[at], v[at]
-                if best is not None:
-                    s, v = np.concatenate([best[i][0], s]), np.concatenate([best[i][1], v])
-                    at = _best(s, v, k)
-                    s, v = s[at], v[at]
-                found.append((s, v))
+            found = _best(scores, vec_ids, k)
+            if best is not None:
+                found = _best(*(np.concatenate(c, axis=1) for c in zip(best, found)), k)
             best = found
         if best is not None:
-            columns = (
-                [q for q, (s, _) in zip(query_ids, best) for _ in s],
-                np.concatenate([v for _, v in best]),
-                np.concatenate([s for s, _ in best]),
-            )
+            columns = ([q for q in query_ids for _ in range(best[1].shape[1])], best[1].ravel(), best[0].ravel())
             arrays = [pa.array(c, type=f.type) for c, f in zip(columns, schema)]
             yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 

@@ -115,10 +115,12 @@ def interaction_documents(interactions: DataFrame, n: int = 10) -> DataFrame:
     ``interactions``: company_name, segment, tenure_months, at (sortable), kind, content. Only ``n``
     rows per company leave a task, so a company with most of the rows is no hot spot.
     """
+    # A company's segment and tenure are those of its first row.
+    first = F.struct("at", "kind", "content")
     totals = interactions.groupBy("company_name").agg(
         F.count("*").alias("total_interactions"),
-        F.min("segment").alias("segment"),
-        F.min("tenure_months").alias("tenure_months"),
+        F.min_by("segment", first).alias("segment"),
+        F.min_by("tenure_months", first).alias("tenure_months"),
     )
     newest = top_per_group(interactions, "company_name", [F.desc("at"), "kind", "content"], n, "_rank")
     line = F.concat(F.lit("["), F.col("at").cast("string"), F.lit("] "), F.col("kind"), F.lit(": "), F.col("content"))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from churnspark.functions.columns import TOKEN_SEPARATOR, pick, prettify, tokens
 from churnspark.operators.index import TextIndex, idf
 from churnspark.operators.questions import substrings
-from churnspark.operators.sizing import fits, spread
+from churnspark.operators.sizing import fits
+from churnspark.session import materialize
 
 #: Tokens in the key that pairs a passage with the texts that may contain it.
 GRAM = 6
@@ -40,7 +41,7 @@ def contained(texts: DataFrame, passages: DataFrame) -> DataFrame:
         keyed = F.broadcast(keyed)
     # At most GRAM sizes occur.
     sizes = keyed.agg(F.collect_set("_size")).scalar()
-    split = spread(texts, "doc_id").select("doc_id", words(F.col("text")).alias("_words"), F.explode(sizes).alias("_size"))
+    split = texts.select("doc_id", words(F.col("text")).alias("_words"), F.explode(sizes).alias("_size"))
     cut = split.select("doc_id", "_size", F.explode(_grams("_words", "_size")).alias("_gram"))
     pairs = cut.join(keyed, ["_size", "_gram"]).select("doc_id", "question_id").distinct()
 
@@ -54,8 +55,14 @@ def contained(texts: DataFrame, passages: DataFrame) -> DataFrame:
         .join(short, "_piece")
         .select("doc_id", "question_id")
     )
+    # Only documents with a pair are verified; their ids go to the texts if measured small.
+    pairs = materialize(pairs, "pairs")
+    ids = pairs.select("doc_id").distinct()
+    ids = F.broadcast(ids) if fits(ids) else ids
     verified = (
-        pairs.join(texts.select("doc_id", "text"), "doc_id")
+        texts.select("doc_id", "text")
+        .join(ids, "doc_id", "left_semi")
+        .join(pairs, "doc_id")
         .join(passages.select("question_id", F.col("text").alias("_passage")), "question_id")
         .filter(F.contains("text", "_passage"))
         .select("doc_id", "question_id")

@@ -8,13 +8,14 @@ from churnspark.functions.columns import money0, one_decimal, truncate
 from churnspark.operators.profile import mean, ranked_text
 from churnspark.operators.questions import mentions
 from churnspark.operators.ranking import top_per_group
+from churnspark.session import materialize
 
 # Sources expected when no account is named, by question category.
 DEFAULT_SOURCES = {
-    "pattern_analysis": "aggregate_data,multiple_customers",
+    "pattern_analysis": "multiple_customers,aggregate_data",
     "competitive_intelligence": "competitor_data,switching_patterns",
-    "financial_analysis": "arr_analysis,financial_data",
-    "segment_analysis": "comparative_analysis,segment_data",
+    "financial_analysis": "financial_data,arr_analysis",
+    "segment_analysis": "segment_data,comparative_analysis",
 }
 MAX_SOURCES = 5
 
@@ -63,6 +64,7 @@ def _line(*parts) -> Column:
 
 def account_facts(table: DataFrame) -> DataFrame:
     """(account_name, fact): one text per account; of equal names the first record counts."""
+    # Fixed values in this and the next three functions: templates of the facts.
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
     details = truncate(F.coalesce("details", F.lit("No details provided")), 200)
     fact = _line(
@@ -86,7 +88,7 @@ def segment_facts(table: DataFrame) -> DataFrame:
 
 def reason_facts(table: DataFrame) -> DataFrame:
     grouped = table.groupBy("primary_reason").agg(F.count("*").alias("n"), mean("arr", 2).alias("arr"))
-    named = grouped.join(ranked_text(table, "primary_reason", "segment", 1000, "segments"), "primary_reason", "left")
+    named = grouped.join(ranked_text(table, "primary_reason", "segment", None, "segments"), "primary_reason", "left")
     fact = _line(
         F.col("primary_reason"), " Churn Reason Summary:\n- Total customers: ", F.col("n"), "\n- Segments affected: ",
         F.col("segments"), "\n- Average ARR: ", money0("arr"),
@@ -105,9 +107,13 @@ def overall_fact(table: DataFrame) -> Column:
     text = F.concat("primary_reason", F.lit("="), F.col("cnt").cast("string"))
     entries = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("order"), "primary_reason", text.alias("text"))))
     reasons = top.agg(F.array_join(F.transform(entries, lambda e: e["text"]), "; ")).scalar()
+    by_segment = table.filter("segment IS NOT NULL").groupBy("segment").agg(F.count("*").alias("cnt"))
+    segment = F.concat("segment", F.lit("="), F.col("cnt").cast("string"))
+    entries = F.array_sort(F.collect_list(F.struct((-F.col("cnt")).alias("order"), "segment", segment.alias("text"))))
+    segments = by_segment.agg(F.array_join(F.transform(entries, lambda e: e["text"]), "; ")).scalar()
     totals = table.agg(F.count("*").alias("n"), F.avg("tenure_years").alias("t"), F.sum("arr").alias("arr"))
     fact = _line(
-        "Overall Churn Summary:\n- Total customers: ", F.col("n"), "\n- Top 3 churn reasons: ", reasons,
+        "Overall Churn Summary:\n- Total customers: ", F.col("n"), "\n- Segments: ", segments, "\n- Top 3 churn reasons: ", reasons,
         "\n- Average tenure: ", one_decimal("t"), " years\n- Total ARR lost: ", money0("arr"),
     )
     return totals.select(fact).scalar()
@@ -132,14 +138,19 @@ def golden_set(asked: DataFrame, table: DataFrame) -> DataFrame:
     out = out.withColumn(
         "ground_truth", F.when(F.length(found) > 0, found).otherwise(overall_fact(table))
     )
-    return out.join(expected_sources(asked, table), "question_id", "left").select(
+    out = materialize(out, "golden")
+    contexts = out.select("question_id", "ground_truth")
+    return out.join(expected_sources(asked, table, contexts), "question_id", "left").select(
         "question_id", "question", "ground_truth", "query_type", "expected_context", "difficulty"
     )
 
 
-def expected_sources(asked: DataFrame, table: DataFrame) -> DataFrame:
-    """(question_id, expected_context): up to five named accounts, or the category's sources."""
+def expected_sources(asked: DataFrame, table: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """(question_id, expected_context): up to five accounts that the question names, in any case, or the reference
+    context (question_id, ground_truth) names as written; else the category's sources."""
     named = mentions(asked, table, "question_id", "question", "account_name")
+    if contexts is not None:
+        named = named.union(mentions(contexts, table, "question_id", "ground_truth", "account_name", ignore_case=False)).distinct()
     first = top_per_group(named, "question_id", ["account_name"], MAX_SOURCES, "_rank")
     listed = first.groupBy("question_id").agg(
         F.array_join(F.array_sort(F.collect_list("account_name")), ",").alias("_named")

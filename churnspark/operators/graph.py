@@ -129,7 +129,7 @@ def competitors_of_product(edge_table: DataFrame, product: str) -> DataFrame:
     won = edge_table.filter("relationship = 'SWITCHED_TO'").select("src", "dst")
     return (
         won.join(users, "src", "left_semi")
-        .groupBy(F.substring("dst", len(COMPETITOR) + 1, 1_000_000).alias("competitor"))
+        .groupBy(F.substr("dst", F.lit(len(COMPETITOR) + 1)).alias("competitor"))
         .agg(F.countDistinct("src").alias("accounts"))
     )
 
@@ -138,7 +138,7 @@ def competitor_losses(edge_table: DataFrame, n: int | None = 10) -> DataFrame:
     """Accounts lost per competitor, most first; edges are unique per pair, so this is the in-degree."""
     lost = (
         edge_table.filter("relationship = 'SWITCHED_TO'")
-        .groupBy(F.substring("dst", len(COMPETITOR) + 1, 1_000_000).alias("competitor"))
+        .groupBy(F.substr("dst", F.lit(len(COMPETITOR) + 1)).alias("competitor"))
         .agg(F.count("*").alias("accounts"))
         .orderBy(F.desc("accounts"), "competitor")
     )
@@ -151,7 +151,7 @@ def patterns(node_table: DataFrame, edge_table: DataFrame) -> DataFrame:
     people = node_table.filter("type = 'Customer'").select("id", "tenure_years", "arr_lost")
     return (
         members.join(people, members["src"] == people["id"])
-        .groupBy(F.substring("dst", len(SEGMENT) + 1, 1_000_000).alias("segment"))
+        .groupBy(F.substr("dst", F.lit(len(SEGMENT) + 1)).alias("segment"))
         .agg(
             F.count("*").alias("customer_count"),
             F.round(F.avg("tenure_years"), 4).alias("avg_tenure"),

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from churnspark.functions.columns import tokens
 from churnspark.operators import sparse
 from churnspark.operators.ranking import top_per_group
-from churnspark.operators.sizing import fits, spread
+from churnspark.operators.sizing import fits
 from churnspark.session import materialize
 
 # BM25 parameters (Robertson and Zaragoza, 2009).
 BM25_K1, BM25_B = 1.2, 0.75
+#: Rows of one output batch of counted terms.
+BATCH_TERMS = 65_536
 
-#: A question table up to this size is sent to every task; more is joined by shuffle.
-MAX_QUESTIONS, MAX_QUESTION_BYTES = 20_000, 4 * 1024 * 1024
+#: Terms of questions (rows) that are sent to every task at a time; more take several rounds over the postings.
+ROUND_TERMS = 200_000
 
 
 def term_counts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -27,6 +32,48 @@ def term_counts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFr
     )
 
 
+def counted_texts(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, term, tf, length, first): terms of each text, counted inside its row, so nothing is shuffled.
+
+    ``length`` is the text's number of tokens and ``first`` marks one row per text; a text without tokens has one row
+    without a term.
+    """
+    schema = T.StructType(
+        [
+            *[texts.schema[key] for key in keys],
+            T.StructField("term", T.StringType()),
+            T.StructField("tf", T.LongType()),
+            T.StructField("length", T.LongType()),
+            T.StructField("first", T.BooleanType()),
+        ]
+    )
+    arrow = to_arrow_schema(schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, terms, tf, length, first = [], [], [], [], []
+
+            def full():
+                taken = batch.select(keys).take(pa.array(rows, pa.int64()))
+                made = [pa.array(v, type=arrow.field(n).type) for n, v in (("term", terms), ("tf", tf), ("length", length), ("first", first))]
+                return pa.RecordBatch.from_arrays([*taken.columns, *made], schema=arrow)
+
+            for row, cell in enumerate(batch.column(len(keys))):
+                words = cell.as_py() or []
+                found = Counter(words) or {None: 0}
+                rows += [row] * len(found)
+                terms += found.keys()
+                tf += found.values()
+                length += [len(words)] * len(found)
+                first += [True] + [False] * (len(found) - 1)
+                if len(rows) > BATCH_TERMS:
+                    yield full()
+                    rows, terms, tf, length, first = [], [], [], [], []
+            yield full()
+
+    return texts.select(*keys, tokens(text).alias("words")).mapInArrow(count, schema)
+
+
 def idf(n, df) -> Column:
     return F.ln((n + 1) / (df + 1)) + 1
 
@@ -40,7 +87,7 @@ def whole(documents: DataFrame) -> DataFrame:
 class TextIndex:
     """Statistics of a corpus and its postings.
 
-    ``terms`` (term, df, idf) is a written table. ``postings`` (keys, term, tf, weight, length)
+    ``terms`` (term, df, idf) is read from a written table. ``postings`` (keys, term, tf, weight, length)
     is placed by the first key, the document, so all that follows per document or chunk needs
     no further shuffle.
     """
@@ -55,38 +102,26 @@ class TextIndex:
 def build(documents: DataFrame, keys: list[str], cut: Callable[[DataFrame], DataFrame] = whole) -> TextIndex:
     """Index the texts (keys, text) that ``cut`` makes of (doc_id, text).
 
-    The first pass counts texts per term, with repeats removed inside the row, so that only
-    vocabulary-sized partial counts are shuffled; its result is written, as every later step
-    reads it. The second pass shuffles the documents once by id. The vocabulary joins it as a
-    broadcast if measured small, else by a skew-split shuffle after which postings are placed again.
+    One pass cuts, tokenises and counts each text inside its row and writes (keys, term, tf); no text is shuffled or
+    read again. Document frequencies are partial counts of that table. The vocabulary joins it as a broadcast if
+    measured small, else by a skew-split shuffle; postings are then placed by document.
     """
-    words = cut(spread(documents, keys[0])).select(tokens("text").alias("words"))
-    first = F.coalesce("at", F.lit(0)) == 0
-    counted = (
-        words.select(F.size("words").alias("length"), F.posexplode_outer(F.array_distinct("words")).alias("at", "term"))
-        .groupBy("term")
-        .agg(
-            F.count("*").alias("df"),
-            F.count_if(first).alias("texts"),
-            F.sum(F.when(first, F.col("length"))).alias("tokens"),
-        )
+    written = materialize(counted_texts(cut(documents), keys), "counts")
+    counted = written.groupBy("term").agg(
+        F.count("*").alias("df"),
+        F.count_if("first").alias("texts"),
+        F.sum(F.when(F.col("first"), F.col("length"))).alias("tokens"),
     )
     counted = materialize(counted, "terms")
     total = counted.agg(F.sum("texts").alias("n"), F.sum("tokens").alias("tokens")).first()
     n = total["n"] or 0
     terms = counted.filter("term IS NOT NULL").select("term", "df", idf(F.lit(n), F.col("df")).alias("idf"))
 
-    placed = term_counts(cut(documents.repartition(keys[0])), keys)
-    weighted = placed.join(F.broadcast(terms), "term") if fits(terms) else placed.join(terms, "term").repartition(keys[0])
-    same_text = W.partitionBy(*keys)
+    placed = written.filter("term IS NOT NULL").drop("first")
+    weighted = placed.join(F.broadcast(terms) if fits(terms) else terms, "term").repartition(keys[0])
     raw = F.col("tf") * F.col("idf")
-    postings = weighted.select(
-        *keys,
-        "term",
-        "tf",
-        (raw / F.sqrt(F.sum(raw * raw).over(same_text))).alias("weight"),
-        F.sum("tf").over(same_text).alias("length"),
-    )
+    norm = F.sqrt(F.sum(raw * raw).over(W.partitionBy(*keys)))
+    postings = weighted.select(*keys, "term", "tf", (raw / norm).alias("weight"), "length")
     return TextIndex(keys, postings, terms, n, (total["tokens"] or 0) / max(n, 1))
 
 
@@ -105,30 +140,6 @@ def question_terms(index: TextIndex, questions: DataFrame, ids: list[str], text:
     return weighted.filter("df IS NOT NULL").drop("df")
 
 
-def _by_join(index: TextIndex, asked: DataFrame, ids: list[str], parents: bool) -> DataFrame:
-    """Scores by a shuffled join on terms, for question tables of any size."""
-    best = (
-        index.postings.withColumn("bm25", saturation(index))
-        .join(question_terms(index, asked, ids), "term")
-        .groupBy(*ids, *index.keys)
-        .agg(
-            F.sum(F.col("weight") * F.col("q_weight")).alias("score"),
-            F.sum(F.col("bm25_idf") * F.col("bm25")).alias("bm25"),
-        )
-    )
-    if not parents:
-        return best.withColumn("kind", F.lit("child"))
-    # A scored child of the question itself also counts for its parent.
-    own = F.col("variant") == 0 if "variant" in ids else F.lit(True)
-    child = index.keys[-1]
-    kinds = F.when(own, F.array(F.lit("child"), F.lit("parent"))).otherwise(F.array(F.lit("child")))
-    return (
-        best.withColumn("kind", F.explode(kinds))
-        .groupBy(*ids, "kind", *index.keys[:-1], F.when(F.col("kind") == "child", F.col(child)).alias(child))
-        .agg(F.max("score").alias("score"), F.max(F.when(F.col("kind") == "child", F.col("bm25")).otherwise(0.0)).alias("bm25"))
-    )
-
-
 def saturation(index: TextIndex) -> Column:
     """The question-independent part of BM25 of one posting."""
     length = 1 - BM25_B + BM25_B * F.col("length") / index.mean_length
@@ -140,24 +151,34 @@ def best(
     asked: DataFrame,
     ids: list[str],
     k: int,
-    questions: DataFrame | None = None,
     parents: bool = False,
-    force_join: bool = False,
+    round_terms: int = ROUND_TERMS,
+    conditions: DataFrame | None = None,
+    filters: tuple[tuple[str, str, str], ...] = (),
 ) -> DataFrame:
     """(ids, kind, keys, score, bm25, rank): per question the ``k`` best texts by cosine, and with
     ``parents`` also the ``k`` best groups of texts (all keys but the last) by their best text.
 
-    ``asked`` are rows (ids, text); ``questions`` is the table they derive from, whose measured
-    size decides whether the questions can be sent to the postings. If so, each task keeps its
-    best rows while scoring and only those are shuffled.
+    ``asked`` are rows (ids, text). Their terms are counted and sent to the postings in rounds of about
+    ``round_terms``; each task keeps its best rows while scoring and only those are shuffled. Rounds are dealt by a
+    hash of the question, so any number of questions takes the same path. ``filters`` compare a column of
+    ``conditions`` (ids, ...) with one of the postings; NULL conditions do not filter.
     """
-    if not force_join and fits(questions if questions is not None else asked, MAX_QUESTIONS, MAX_QUESTION_BYTES):
-        rows = question_terms(index, asked, ids).collect()
-        fields = [asked.schema[i] for i in ids]
-        postings = index.postings.withColumn("bm25", saturation(index))
-        local = sparse.search(postings, rows, ids, fields, index.keys, k, parents)
-    else:
-        local = _by_join(index, asked, ids, parents)
+    terms = materialize(question_terms(index, asked, ids), "question-terms")
+    rounds = max(1, -(-terms.count() // round_terms))
+    postings = index.postings.withColumn("bm25", saturation(index))
+    if rounds > 1:
+        postings = materialize(postings, "postings")
+    fields = [asked.schema[i] for i in ids]
+    local = None
+    for r in range(rounds):
+        part = terms.filter(F.pmod(F.xxhash64(*ids), F.lit(rounds)) == r) if rounds > 1 else terms
+        bounds = []
+        if conditions is not None:
+            own = conditions.filter(F.pmod(F.xxhash64(*ids), F.lit(rounds)) == r) if rounds > 1 else conditions
+            bounds = own.join(part.select(*ids).distinct(), ids, "left_semi").collect()
+        found = sparse.search(postings, part.collect(), ids, fields, index.keys, k, parents, bounds, filters)
+        local = found if local is None else local.unionByName(found)
     return top_per_group(local, [*ids, "kind"], best_first(index.keys), k)
 
 

@@ -16,15 +16,17 @@ def total(c) -> Column:
     return F.sum(c).cast("double")
 
 
-def ranked_text(df: DataFrame, group, item: str, n: int, out: str) -> DataFrame:
-    """``item=count`` of the ``n`` most frequent items per group, as one text.
+def ranked_text(df: DataFrame, group, item: str, n: int | None, out: str) -> DataFrame:
+    """``item=count`` of the ``n`` most frequent items per group (of all, without ``n``), as one text.
 
-    Ties go to the smaller name. At most ``n`` entries per group are collected.
+    Ties go to the smaller name. A text holds one entry per distinct item, not per row.
     """
     keys = [group] if isinstance(group, str) else list(group)
-    counted = counts(df.filter(F.col(item).isNotNull()), *keys, item)
-    top = top_per_group(counted, keys, [F.desc("cnt"), item], n, "_rank")
-    entry = F.struct("_rank", F.concat(F.col(item), F.lit("="), F.col("cnt").cast("string")).alias("text"))
+    top = counts(df.filter(F.col(item).isNotNull()), *keys, item)
+    if n is not None:
+        top = top_per_group(top, keys, [F.desc("cnt"), item], n, "_rank")
+    text = F.concat(F.col(item), F.lit("="), F.col("cnt").cast("string")).alias("text")
+    entry = F.struct((-F.col("cnt")).alias("order"), F.col(item).alias("item"), text)
     listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"])
     return top.groupBy(*keys).agg(F.array_join(listed, "; ").alias(out))
 
@@ -73,9 +75,16 @@ def summary(df: DataFrame) -> DataFrame:
         F.min("tenure_years").alias("min_tenure"),
         F.max("tenure_years").alias("max_tenure"),
     )
-    arr = exact_quantiles(df, "arr", {"median_arr": 0.5}).select("median_arr").scalar()
-    tenure = exact_quantiles(df, "tenure_years", {"median_tenure": 0.5}).select("median_tenure").scalar()
-    return plain.withColumn("median_arr", F.round(arr, 4)).withColumn("median_tenure", F.round(tenure, 4))
+    # Both columns are one table of (column, value), so their medians are found in the same rounds.
+    stacked = df.select(F.col("arr").cast("double").alias("arr"), F.col("tenure_years").cast("double").alias("tenure_years"))
+    stacked = stacked.unpivot([], ["arr", "tenure_years"], "_column", "_value")
+    medians = exact_quantiles(stacked, "_value", {"median": 0.5}, ("_column",))
+
+    def median(c):
+        return F.round(F.max(F.when(F.col("_column") == c, F.col("median"))), 4)
+
+    both = medians.agg(F.struct(median("arr").alias("arr"), median("tenure_years").alias("tenure"))).scalar()
+    return plain.withColumn("median_arr", both["arr"]).withColumn("median_tenure", both["tenure"])
 
 
 def missing(df: DataFrame, columns: list[str]) -> DataFrame:

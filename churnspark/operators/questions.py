@@ -24,6 +24,8 @@ ROUTES = {
     "competitive_intel": ("naive", 7),
 }
 DEFAULT_ROUTE = ("naive", 5)
+# Strategy and number of documents of the research and the writing stage, whatever the question's type.
+STAGE_ROUTES = {"research": ("multi_query", 10), "writing": ("reranking", 8)}
 
 # Words that call for outside context.
 EXTERNAL_WORDS = "industry|benchmark|trend"
@@ -87,15 +89,18 @@ def substrings(text: str, n: str) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col(n))))
 
 
-def mentions(questions: DataFrame, names: DataFrame, key: str, text: str, name: str = "name") -> DataFrame:
-    """Names that occur in a text, ignoring case: (key, name), exact and without a nested loop.
+def mentions(
+    questions: DataFrame, names: DataFrame, key: str, text: str, name: str = "name", ignore_case: bool = True
+) -> DataFrame:
+    """Names that occur in a text: (key, name), exact and without a nested loop.
 
     Texts are cut into their distinct substrings of exactly the lengths that occur among the
     names, so an equi-join finds every occurrence and needs no verification.
     """
-    keyed = names.select(name).distinct().withColumn("_piece", F.lower(name))
+    plain = F.lower if ignore_case else F.col
+    keyed = names.select(name).distinct().withColumn("_piece", plain(name))
     lengths = keyed.agg(F.array_sort(F.collect_set(F.length("_piece")))).scalar()
-    sized = questions.select(key, F.lower(text).alias("_body"), F.explode(lengths).alias("_n")).filter(
+    sized = questions.select(key, plain(text).alias("_body"), F.explode(lengths).alias("_n")).filter(
         (F.col("_n") > 0) & (F.col("_n") <= F.length("_body"))
     )
     cut = sized.select(key, F.explode(substrings("_body", "_n")).alias("_piece"))

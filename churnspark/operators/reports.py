@@ -6,6 +6,8 @@ texts by expressions; nothing runs account by account on the driver.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from churnspark.functions.columns import (
@@ -130,19 +132,158 @@ def adoption_target() -> Column:
     return F.least(F.col("adoption_rate") + 0.25, F.lit(0.95))
 
 
+# Texts of the recommendations, in order; names in braces are filled in.
+CONCERN = """**Address Primary Concern: {reason_title}**
+   - Root cause analysis session within {timeline} days
+   - Dedicated task force to resolve {reason_lower}
+   - Weekly progress updates to stakeholder team
+   - Success criteria: Measurable improvement in related metrics"""
+ADOPTION = """**Boost Product Adoption** (currently {adoption})
+   - Personalized feature walkthrough with their team
+   - Identify 3 high-value features for their use case
+   - Set adoption goals: Target {target} within 60 days
+   - Provide implementation support and best practices"""
+SUPPORT = """**Reduce Support Friction** ({tickets} tickets/month)
+   - Analyze ticket patterns to identify systemic issues
+   - Assign dedicated support engineer for faster resolution
+   - Proactive monitoring to prevent recurring problems
+   - Goal: Reduce tickets by 50% within 30 days"""
+RELATIONSHIP = """**Strengthen Relationship** (Last contact: {quiet} days ago)
+   - Schedule executive business review within 7 days
+   - Establish bi-weekly check-in cadence
+   - Share relevant case studies and success stories
+   - Invite to {segment} customer community events"""
+VALUE = """**Demonstrate ROI & Value**
+   - Create custom ROI analysis for {customer}
+   - Benchmark their usage against {segment} peers
+   - Highlight underutilized features that solve their challenges
+   - Develop success metrics dashboard tailored to their goals"""
+# The report.
+NO_INSIGHT = "- Customer metrics within normal range"
+REPORT = """## Comprehensive Analysis: {customer}
+
+**Customer Profile:**
+- Segment: {segment}
+- ARR: {arr}
+- Tenure: {tenure} years
+- Risk Score: {risk}% ({category})
+- Predicted Churn: {days} days
+- Risk Trend: {trend}
+
+**🚨 Urgency Level: {urgency}**
+
+---
+
+### 📊 Data-Driven Insights
+
+{insights}
+
+---
+
+### 🎯 Recommended Retention Strategies
+
+{recommendations}
+
+---
+
+### 📈 Success Metrics to Track
+
+**Product Engagement:**
+- Current feature adoption: {adoption}
+- Target: {target} within 60 days
+- Track daily/weekly active usage
+
+**Support Health:**
+- Current tickets/month: {tickets}
+- Target: <3 tickets/month
+- Average resolution time: <24 hours
+
+**Relationship Strength:**
+- Last engagement: {quiet} days ago
+- Target: <7 days between touchpoints
+- Executive engagement: Monthly minimum
+
+**Business Outcomes:**
+- NPS/CSAT target: 8+
+- Renewal confidence: 90%+ by day {renewal}
+- Expansion opportunity identification within 90 days
+
+---
+
+### ⏱️ Action Timeline
+
+**Immediate (Next {timeline} days):**
+- Executive outreach and root cause analysis
+- Address primary concern: {reason}
+- Set up success metrics dashboard
+
+**Short-term (30-60 days):**
+- Feature adoption program launch
+- Support optimization
+- Relationship building initiatives
+
+**Medium-term (60-90 days):**
+- Progress review and strategy adjustment
+- Expansion conversation (if metrics improve)
+- Long-term partnership planning
+
+---
+
+{context}
+
+---
+
+**Analysis based on real-time synthetic customer data including engagement patterns, support history, feature usage, and predictive churn modeling.**"""
+CONTEXT_QUESTION = "{segment} customer with {reason}, {adoption} adoption, {tickets} support tickets"
+
+
+def filled(template: str, **values: Column) -> Column:
+    """A template with its names in braces replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def facts() -> dict[str, Column]:
+    """What the templates are filled with."""
+    return {
+        "customer": F.col("account_name"),
+        "segment": F.col("segment"),
+        "arr": money0("arr"),
+        "tenure": one_decimal("tenure_years"),
+        "risk": one_decimal("risk_score"),
+        "category": F.col("urgency.category"),
+        "urgency": F.col("urgency.level"),
+        "timeline": F.col("urgency.days"),
+        "days": F.col("days_until_churn"),
+        "renewal": F.col("days_until_churn") - 30,
+        "trend": F.initcap("trend"),
+        "reason": F.col("risk_reason"),
+        "reason_title": F.initcap("risk_reason"),
+        "reason_lower": F.lower("risk_reason"),
+        "adoption": percent0("adoption_rate"),
+        "target": percent0(adoption_target()),
+        "tickets": F.col("tickets"),
+        "quiet": F.col("last_engagement_days"),
+    }
+
+
+def context_question() -> Column:
+    """The retrieval question of an account: its segment, risk reason, adoption and tickets."""
+    known = facts()
+    return filled(CONTEXT_QUESTION, **{n: known[n] for n in ("segment", "reason", "adoption", "tickets")})
+
+
 def recommendations() -> Column:
-    """Numbered recommendation headlines; the conditional ones only where they apply."""
+    """Numbered recommendations with their plan lines; the conditional ones only where they apply."""
     adoption, tickets, quiet = F.col("adoption_rate"), F.col("tickets"), F.col("last_engagement_days")
-    # Headlines and thresholds.
+    known = facts()
+    # Thresholds.
     items = present(
-        _text("**Address Primary Concern: ", F.initcap("risk_reason"), "**"),
-        F.when(
-            adoption < 0.6,
-            _text("**Boost Product Adoption** (currently ", percent0("adoption_rate"), ", target ", percent0(adoption_target()), ")"),
-        ),
-        F.when(tickets > 3, _text("**Reduce Support Friction** (", tickets, " tickets/month)")),
-        F.when(quiet > 14, _text("**Strengthen Relationship** (Last contact: ", quiet, " days ago)")),
-        F.lit("**Demonstrate ROI & Value**"),
+        filled(CONCERN, **known),
+        F.when(adoption < 0.6, filled(ADOPTION, **known)),
+        F.when(tickets > 3, filled(SUPPORT, **known)),
+        F.when(quiet > 14, filled(RELATIONSHIP, **known)),
+        filled(VALUE, **known),
     )
     return F.transform(items, lambda item, i: F.concat((i + 1).cast("string"), F.lit(". "), item))
 
@@ -172,20 +313,28 @@ def citations() -> Column:
     points = _text(one_decimal("tenure_years"), "yr tenure, ", percent0("adoption_rate"), " adoption, ", F.col("tickets"),
                    " tickets, ", F.col("last_engagement_days"), "d ago")
     pattern = _text("Customers with ", F.lower("risk_reason"), " typically churn within ", F.col("days_until_churn"), " days")
+    nothing = F.lit(None).cast("string")
+    risk, sample = _text(one_decimal("risk_score"), "%"), F.lit("Based on historical churn data analysis")
     rows = (
-        (_text("customer-", dashed("account_name")), "live_customer_data", points, "Primary Source"),
-        (_text("segment-", F.lower("segment"), "-patterns"), "historical_pattern_analysis", pattern, "High"),
+        (_text("customer-", dashed("account_name")), "live_customer_data", F.col("account_name"), points, risk, nothing, "Primary Source"),
+        (_text("segment-", F.lower("segment"), "-patterns"), "historical_pattern_analysis", nothing, pattern, nothing, sample, "High"),
     )
     return F.array(
         *[
-            F.struct(i.alias("citation_id"), F.lit(t).alias("type"), c.alias("content"), F.lit(r).alias("relevance"))
-            for i, t, c, r in rows
+            F.struct(
+                i.alias("citation_id"), F.lit(t).alias("type"), who.alias("customer"), F.col("segment").alias("segment"),
+                c.alias("content"), churn.alias("churn_risk"), size.alias("sample_size"), F.lit(r).alias("relevance"),
+            )
+            for i, t, who, c, churn, size, r in rows
         ]
-    )
+    )
+
 
+def with_reports(profiles: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """Add urgency, insights, recommendations, key insights, citations and the report text.
 
-def with_reports(profiles: DataFrame) -> DataFrame:
-    """Add urgency, insights, recommendations, key insights, citations and the report text."""
+    ``contexts`` (account_id, context) are the retrieved texts of the report; without them the place is empty.
+    """
     enriched = (
         profiles.withColumn("urgency", urgency())
         .withColumn("insights", insights())
@@ -193,28 +342,14 @@ def with_reports(profiles: DataFrame) -> DataFrame:
         .withColumn("key_insights", key_insights())
         .withColumn("citations", citations())
     )
-    # Headings and line formats of the report.
-    no_insight = F.lit("- Customer metrics within normal range")
+    context = F.lit("")
+    if contexts is not None:
+        enriched = enriched.join(contexts.select("account_id", F.col("context").alias("_context")), "account_id", "left")
+        context = F.coalesce("_context", F.lit(""))
     bullets = F.transform("insights", lambda x: F.concat(F.lit("- "), x))
-    body = F.concat_ws(
-        "\n",
-        _text("## Comprehensive Analysis: ", F.col("account_name")),
-        _text("- Segment: ", F.col("segment")),
-        _text("- ARR: ", money0("arr")),
-        _text("- Tenure: ", one_decimal("tenure_years"), " years"),
-        _text("- Risk Score: ", one_decimal("risk_score"), "% (", F.col("urgency.category"), ")"),
-        _text("- Predicted Churn: ", F.col("days_until_churn"), " days"),
-        _text("- Risk Trend: ", F.initcap("trend")),
-        _text("Urgency Level: ", F.col("urgency.level")),
-        F.lit("### Data-Driven Insights"),
-        F.when(F.size("insights") > 0, F.array_join(bullets, "\n")).otherwise(no_insight),
-        F.lit("### Recommended Retention Strategies"),
-        F.array_join("recommendations", "\n"),
-        F.lit("### Success Metrics to Track"),
-        _text("- Target adoption: ", percent0(adoption_target()), " within 60 days"),
-        _text("- Renewal confidence: 90%+ by day ", F.col("days_until_churn") - 30),
-    )
-    return enriched.withColumn("report", body)
+    listed = F.when(F.size("insights") > 0, F.array_join(bullets, "\n")).otherwise(F.lit(NO_INSIGHT))
+    body = filled(REPORT, **facts(), insights=listed, recommendations=F.array_join("recommendations", "\n\n"), context=context)
+    return enriched.withColumn("report", body).drop("_context")
 
 
 def profile_for_questions(questions: DataFrame, scored: DataFrame) -> DataFrame:

@@ -10,13 +10,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from churnspark.functions.columns import sentences, tokens
 from churnspark.operators import chunking
 from churnspark.operators import index as I
 from churnspark.operators.questions import clauses
 from churnspark.operators.ranking import top_per_group
+from churnspark.operators.sizing import fits
 from churnspark.session import materialize
 
 CHILD_KEYS = ["doc_id", "parent_no", "child_no"]
@@ -36,6 +37,7 @@ class Retriever:
     documents: DataFrame
     cutter: Callable = chunking.fixed
     allowed: DataFrame | None = None
+    fetched: DataFrame | None = None
 
     @cached_property
     def index(self) -> I.TextIndex:
@@ -51,17 +53,28 @@ class Retriever:
         """Same corpus statistics, but only these documents (doc_id) can be found."""
         return replace(self, allowed=allowed)
 
-    def best(self, asked: DataFrame, questions: DataFrame, k: int, parents: bool) -> DataFrame:
+    def best(self, asked: DataFrame, k: int, parents: bool) -> DataFrame:
         """Best children (and parents) of variants (question_id, variant, text)."""
         index = self.index
         if self.allowed is not None:
             index = replace(index, postings=index.postings.join(self.allowed, "doc_id", "left_semi"))
-        return I.best(index, asked, ["question_id", "variant"], k, questions, parents)
+        return I.best(index, asked, ["question_id", "variant"], k, parents)
+
+    def matching(self, hits: DataFrame) -> DataFrame:
+        """Documents with a hit. Their ids go to the texts if measured small, so texts are not shuffled."""
+        ids = hits.select("doc_id").distinct()
+        return self.documents.join(F.broadcast(ids) if fits(ids) else ids, "doc_id", "left_semi")
+
+    def holding(self, *hits: DataFrame) -> Retriever:
+        """The same retriever with the documents of all these hits written once, for several strategies."""
+        ids = hits[0].select("doc_id")
+        for other in hits[1:]:
+            ids = ids.union(other.select("doc_id"))
+        return replace(self, fetched=materialize(self.matching(ids), "fetched"))
 
     def texts(self, hits: DataFrame, cut: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
         """Add the chunk text to hits: only documents with a hit are cut again."""
-        wanted = self.documents.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-        return hits.join(cut(wanted), keys)
+        return hits.join(cut(self.fetched if self.fetched is not None else self.matching(hits)), keys)
 
 
 def original(questions: DataFrame) -> DataFrame:
@@ -89,13 +102,16 @@ class Candidates:
     k: int
 
 
-def find(retriever: Retriever, questions: DataFrame, k: int, with_variants=True, with_parents=True, keep=False) -> Candidates:
-    """One scoring pass from which every strategy picks. ``keep`` writes the few rows it yields,
-    for callers that run several strategies."""
-    asked = variants(retriever.index, questions) if with_variants else original(questions)
-    top = retriever.best(asked, questions, OVERFETCH * k, with_parents)
-    if keep:
-        top = materialize(top, "candidates")
+def find(
+    retriever: Retriever, questions: DataFrame, k: int, with_variants=True, with_parents=True, own: DataFrame | None = None
+) -> Candidates:
+    """One scoring pass from which every strategy picks; the few rows it yields are written, as they are read
+    to fetch texts and by each strategy. ``own`` (question_id, variant from 1, text) replaces the derived variants."""
+    if own is not None:
+        asked = original(questions).unionByName(own.select("question_id", F.col("variant").cast("int").alias("variant"), "text"))
+    else:
+        asked = variants(retriever.index, questions) if with_variants else original(questions)
+    top = materialize(retriever.best(asked, OVERFETCH * k, with_parents), "candidates")
     children = top.filter("kind = 'child'").drop("kind")
     parents = top.filter("kind = 'parent'").select("question_id", *PARENT_KEYS, "score", "rank")
     return Candidates(children, parents, k)
@@ -115,16 +131,22 @@ def naive(retriever: Retriever, questions: DataFrame, k: int = 5, found: Candida
     return _finish(retriever.texts(hits, retriever.children, CHILD_KEYS), "naive")
 
 
-def multi_query(retriever: Retriever, questions: DataFrame, k: int = 5, found: Candidates | None = None) -> DataFrame:
-    """k children per variant of the question, each child once with its best score."""
-    found = found or find(retriever, questions, k, with_parents=False)
+def multi_query(
+    retriever: Retriever, questions: DataFrame, k: int = 5, found: Candidates | None = None, own: DataFrame | None = None
+) -> DataFrame:
+    """k children per variant of the question, each child once with its best score.
+
+    ``own`` are the caller's variants (question_id, variant from 1, text) in place of the derived ones.
+    """
+    found = found or find(retriever, questions, k, with_parents=False, own=own)
     merged = (
         found.children.filter(F.col("rank") <= k)
         .groupBy("question_id", *CHILD_KEYS)
         .agg(F.max("score").alias("score"))
     )
     # At most k rows per variant, so the ranked group is bounded by the question's own length.
-    hits = top_per_group(merged, "question_id", I.best_first(CHILD_KEYS), 2**31 - 1)
+    order = W.partitionBy("question_id").orderBy(*I.best_first(CHILD_KEYS))
+    hits = merged.withColumn("rank", F.row_number().over(order).cast("bigint"))
     return _finish(retriever.texts(hits, retriever.children, CHILD_KEYS), "multi_query")
 
 
@@ -192,16 +214,37 @@ def strategy(name: str) -> Callable:
     return STRATEGIES[name]
 
 
-def run(retriever: Retriever, questions: DataFrame, k: int = 5, names=tuple(STRATEGIES), keep: bool = True) -> DataFrame:
-    """Several strategies over one scoring pass, stacked."""
+def run(retriever: Retriever, questions: DataFrame, k: int = 5, names=tuple(STRATEGIES)) -> DataFrame:
+    """Several strategies over one scoring pass and one fetch of texts, stacked."""
     chosen = [strategy(n) for n in names]
-    found = find(retriever, questions, k, keep=keep)
+    found = find(retriever, questions, k)
+    retriever = retriever.holding(found.children, found.parents)
     out = chosen[0](retriever, questions, k, found)
     for other in chosen[1:]:
         out = out.unionByName(other(retriever, questions, k, found))
     return out
 
 
+#: Filters of a question on a profile: (question column, profile column, comparison).
+FILTERS = (("segment", "segment", "=="), ("churn_reason", "churn_reason", "=="), ("arr_from", "arr_lost", ">="), ("arr_to", "arr_lost", "<="))
+
+
+def filtered(profiles: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
+    """(question_id, doc_id, score, rank): the k best profiles that meet each question's own filters.
+
+    ``profiles`` has doc_id, text and metadata (segment, churn_reason, arr_lost). ``questions`` has question_id, text,
+    segment, churn_reason, arr_from, arr_to; NULL is no filter, 0 is a bound like any other. Filters are applied to
+    the scores inside the scoring task.
+    """
+    index = I.build(profiles.select("doc_id", "text"), ["doc_id"])
+    known = profiles.select("doc_id", "metadata.segment", "metadata.churn_reason", "metadata.arr_lost")
+    index = replace(index, postings=index.postings.join(known, "doc_id"))
+    asked = questions.select("question_id", "text")
+    conditions = questions.select("question_id", *[q for q, _, _ in FILTERS])
+    top = I.best(index, asked, ["question_id"], k, conditions=conditions, filters=FILTERS)
+    return top.select("question_id", "doc_id", "score", "rank")
+
+
 def contexts(hits: DataFrame, by: list[str], limit: int | None = None, width: int | None = None) -> DataFrame:
     """Numbered context text per question, in rank order."""
     chosen = hits.filter(F.col("rank") <= limit) if limit else hits
@@ -252,5 +295,5 @@ def external(pages: DataFrame, questions: DataFrame) -> DataFrame:
         "question_id", "query_no", F.concat_ws(" ", "_prefix", "text").alias("text")
     )
     index = I.build(readable, ["page_id"])
-    top = I.best(index, derived, ["question_id", "query_no"], PER_EXTERNAL_QUERY, questions).drop("kind", "bm25")
+    top = I.best(index, derived, ["question_id", "query_no"], PER_EXTERNAL_QUERY).drop("kind", "bm25")
     return top.join(pages.select("page_id", "url"), "page_id")

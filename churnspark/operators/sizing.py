@@ -29,16 +29,3 @@ def fits(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) ->
     )
     return seen["n"] <= max_rows and seen["bytes"] <= max_bytes
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Hint a broadcast if ``df`` is measured to fit, else leave the join to shuffle."""
-    return F.broadcast(df) if fits(df, max_rows, max_bytes) else df
-
-#: Inputs below this estimate may lie in fewer splits than there are cores.
-SPREAD_BYTES = 1024**3
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Shuffle a small input by key before CPU-heavy work on its texts; leave a large one as it is split."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(key) if int(str(estimate)) < SPREAD_BYTES else df

@@ -25,36 +25,40 @@ SCALE = 1e9
 
 @dataclass
 class QuestionBlock:
-    """Weights of some questions over their terms. ``column`` maps a term number to its column or -1."""
+    """Weights of some questions over their terms, as entries (question, term's place in ``terms``, weights)."""
 
     ids: list[tuple]
-    column: np.ndarray
+    terms: np.ndarray
+    question: np.ndarray
+    place: np.ndarray
     cosine: np.ndarray
     bm25: np.ndarray
     with_parents: np.ndarray
+    conditions: list[list[tuple[str, str, object]]]
 
+    def dense(self, entries: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(self.ids), len(self.terms)))
+        out[self.question, self.place] = entries
+        return out
 
-def question_blocks(rows, ids: list[str], numbers: dict[str, int], parents: bool) -> list[QuestionBlock]:
-    """Blocks of question rows (ids, term, q_weight, bm25_idf)."""
+
+def question_blocks(rows, ids: list[str], numbers: dict[str, int], parents: bool, bounds=(), filters=()) -> list[QuestionBlock]:
+    """Blocks of question rows (ids, term, q_weight, bm25_idf), with the conditions (column, comparison, value) of each."""
+    limited = {
+        tuple(r[i] for i in ids): [(column, way, r[name]) for name, column, way in filters if r[name] is not None] for r in bounds
+    }
     by_question: dict[tuple, list] = {}
     for r in rows:
         by_question.setdefault(tuple(r[i] for i in ids), []).append(r)
     blocks, members, terms = [], [], set()
 
     def close():
-        columns = {t: i for i, t in enumerate(sorted(terms))}
-        lookup = np.full(len(numbers), -1, dtype=np.int64)
-        for t, i in columns.items():
-            lookup[numbers[t]] = i
-        cosine = np.zeros((len(members), len(columns)))
-        bm25 = np.zeros_like(cosine)
-        for q, key in enumerate(members):
-            for r in by_question[key]:
-                cosine[q, columns[r["term"]]] = r["q_weight"]
-                bm25[q, columns[r["term"]]] = r["bm25_idf"]
+        own_terms = np.array(sorted(numbers[t] for t in terms), dtype=np.int64)
+        entries = [(q, numbers[r["term"]], r["q_weight"], r["bm25_idf"]) for q, key in enumerate(members) for r in by_question[key]]
+        question, number, cosine, bm25 = (np.array(c) for c in zip(*entries))
         variant = ids.index("variant") if "variant" in ids else None
         own = np.array([parents and (variant is None or m[variant] == 0) for m in members], dtype=bool)
-        blocks.append(QuestionBlock(list(members), lookup, cosine, bm25, own))
+        blocks.append(QuestionBlock(list(members), own_terms, question, np.searchsorted(own_terms, number), cosine, bm25, own, [limited.get(m, []) for m in members]))
 
     for key in sorted(by_question):
         more = {r["term"] for r in by_question[key]}
@@ -86,18 +90,25 @@ def merge_best(held: list[np.ndarray] | None, new: list[np.ndarray], k: int) ->
     return [np.take_along_axis(a, order, axis=1) for a in new]
 
 
-def search(postings: DataFrame, rows: list, ids: list[str], id_fields: list[T.StructField], keys: list[str], k: int, parents: bool) -> DataFrame:
+COMPARE = {"==": np.equal, ">=": np.greater_equal, "<=": np.less_equal}
+
+
+def search(
+    postings: DataFrame, rows: list, ids: list[str], id_fields: list[T.StructField], keys: list[str], k: int, parents: bool,
+    bounds: list = (), filters: tuple = (),
+) -> DataFrame:
     """(ids, kind, keys, score, bm25): per task the best ``k`` texts (and parents) of every question.
 
     ``postings`` has the keys, term, weight and bm25 (the question-independent part).
     """
     spark = postings.sparkSession
     numbers = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
-    shared = spark.sparkContext.broadcast(question_blocks(rows, ids, numbers, parents))
+    shared = spark.sparkContext.broadcast(question_blocks(rows, ids, numbers, parents, bounds, filters))
+    compared = sorted({column for _, column, _ in filters})
     vocabulary = spark.createDataFrame(list(numbers.items()), "term string, term_no int")
     matched = (
         postings.join(F.broadcast(vocabulary), "term")
-        .select(*keys, "term_no", "weight", "bm25")
+        .select(*keys, "term_no", "weight", "bm25", *compared)
         .sortWithinPartitions(*keys)
     )
     key_fields = [T.StructField(f.name, f.dataType) for f in (postings.schema[key] for key in keys)]
@@ -111,6 +122,8 @@ def search(postings: DataFrame, rows: list, ids: list[str], id_fields: list[T.St
         ]
     )
     schema = to_arrow_schema(out)
+    # Texts that are scored together: those of one parent, not of one document, which may have any number.
+    grouped = keys[:-1] or keys
 
     def starts_of(columns: list[np.ndarray]) -> np.ndarray:
         """First row of every run of equal values."""
@@ -125,19 +138,22 @@ def search(postings: DataFrame, rows: list, ids: list[str], id_fields: list[T.St
         text_of_row = np.zeros(len(columns["term_no"]), dtype=np.int64)
         text_of_row[text_starts[1:]] = 1
         text_of_row = np.cumsum(text_of_row)
-        column = block.column[columns["term_no"]]
-        use = column >= 0
-        shape = (len(text_starts), block.cosine.shape[1])
+        column = np.minimum(np.searchsorted(block.terms, columns["term_no"]), len(block.terms) - 1)
+        use = block.terms[column] == columns["term_no"]
+        shape = (len(text_starts), len(block.terms))
         weight, saturated = np.zeros(shape), np.zeros(shape)
         weight[text_of_row[use], column[use]] = columns["weight"][use]
         saturated[text_of_row[use], column[use]] = columns["bm25"][use]
-        cosine = block.cosine @ weight.T
+        cosine = block.dense(block.cosine) @ weight.T
         scaled = np.rint(cosine * SCALE).astype(np.int64)
+        for q, conditions in enumerate(block.conditions):
+            for name, way, value in conditions:
+                scaled[q, ~COMPARE[way](columns[name][text_starts], value).astype(bool)] = 0
         text_keys = [columns[key][text_starts] for key in keys]
 
         at = select_best(scaled, k)
         # BM25 is only needed for the few texts that are kept.
-        bm25 = np.stack([saturated[rows] @ weights for rows, weights in zip(at, block.bm25)])
+        bm25 = np.stack([saturated[rows] @ weights for rows, weights in zip(at, block.dense(block.bm25))])
         chosen = [np.take_along_axis(a, at, axis=1) for a in (scaled, cosine)]
         held["child"] = merge_best(held.get("child"), [*chosen, bm25, *[c[at] for c in text_keys]], k)
 
@@ -171,9 +187,9 @@ def search(postings: DataFrame, rows: list, ids: list[str], id_fields: list[T.St
         held: list[dict] = [{} for _ in blocks]
 
         def take(table: pa.Table) -> None:
-            """Score whole documents, a bounded number of texts at a time."""
+            """Score whole groups of texts (or texts), a bounded number of texts at a time."""
             columns = {name: table.column(name).to_numpy() for name in table.column_names}
-            bounds = np.append(starts_of([columns[keys[0]]]), table.num_rows)
+            bounds = np.append(starts_of([columns[key] for key in grouped]), table.num_rows)
             texts = np.append(starts_of([columns[key] for key in keys]), table.num_rows)
             begin = 0
             while begin < table.num_rows:
@@ -194,7 +210,7 @@ def search(postings: DataFrame, rows: list, ids: list[str], id_fields: list[T.St
             if waiting < BUFFER_ROWS:
                 continue
             table = pa.Table.from_batches(pending).combine_chunks()
-            last = starts_of([table.column(keys[0]).to_numpy()])[-1]
+            last = starts_of([table.column(key).to_numpy() for key in grouped])[-1]
             if last > 0:
                 take(table.slice(0, last))
             pending = table.slice(last).to_batches()

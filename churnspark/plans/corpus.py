@@ -31,11 +31,23 @@ FROM churn_table
 )
 
 
-@query("PRJ2 PRJ4 PRJ5", sql("SELECT doc_id, content, account_name, segment, churn_reason, arr_lost FROM profiles", "profiles"))
+@query(
+    "PRJ2 PRJ4 PRJ5",
+    sql(
+        """
+SELECT account_id AS doc_id, content, account_name, p.segment, churn_reason, t.sub_reason AS churn_sub_reason,
+       t.close_date::VARCHAR AS churn_date, t.tenure_years, arr_lost, coalesce(t.competitor_1, 'None mentioned') AS competitor_1,
+       coalesce(t.competitor_2, 'None mentioned') AS competitor_2, t.first_win_date::VARCHAR AS first_win_date,
+       'churned_accounts' AS source, account_id AS record_id
+FROM profiles p JOIN churn_table t USING (account_name) WHERE t.account_id = p.doc_id
+""",
+        "profiles",
+        "churn_table",
+    ),
+)
 def account_documents(wh):
-    return D.account_documents(T.churn_table(wh)).select(
-        "doc_id", "content", "metadata.account_name", "metadata.segment", "metadata.churn_reason", "metadata.arr_lost"
-    )
+    """Content and all twelve metadata fields."""
+    return D.account_documents(T.churn_table(wh)).select("doc_id", "content", "metadata.*")
 
 
 block(
@@ -52,23 +64,28 @@ FROM ev JOIN accounts USING (account_id) WHERE event_type = 'error'
 )
 
 
-@query(
-    "PRJ6",
-    sql(
-        """
+block(
+    "ticket_docs",
+    """
 SELECT 'support_ticket-' || ticket_id AS doc_id, company_name, segment,
   'Support Ticket: ' || ticket_id || chr(10) || 'Company: ' || company_name || ' (' || segment || ')' || chr(10)
   || 'Category: ' || category || ' - error' || chr(10) || 'Severity: ' || severity || chr(10) || chr(10)
   || 'Description:' || chr(10) || 'Problem with ' || category || chr(10) || chr(10) || 'Resolution:' || chr(10)
   || 'Fixed in ' || category || chr(10) || chr(10) || 'Resolution Time: ' || resolution_hours || ' hours' || chr(10)
-  || 'CSAT Score: ' || csat_score || '/5' AS content
+  || 'CSAT Score: ' || csat_score || '/5' AS content,
+  ticket_id, category, severity, resolution_hours, csat_score
 FROM tickets
 """,
-        "tickets",
-    ),
+    "tickets",
 )
+
+
+@query("PRJ6", sql("SELECT * FROM ticket_docs", "ticket_docs"))
 def ticket_documents(wh):
-    return D.ticket_documents(corpora.tickets(wh)).drop("source_type", "metadata")
+    """Content and metadata of every ticket."""
+    fields = "ticket_id string, category string, severity string, resolution_hours int, csat_score int"
+    read = D.ticket_documents(corpora.tickets(wh)).withColumn("m", F.from_json("metadata", fields))
+    return read.select("doc_id", "company_name", "segment", "content", "m.*")
 
 
 block(
@@ -151,17 +168,17 @@ def all_documents(wh):
 SELECT 'churn_analysis' AS source_type, '📊 Similar Churn Case' AS label, count(*) AS documents, sum(length(content))::BIGINT AS chars FROM profiles
 UNION ALL SELECT 'success_story', '✅ Success Story', count(*),
   sum(length(company_name || ' went from ' || adoption_before || '% to ' || adoption_after || '% feature adoption.')) FROM stories
-UNION ALL SELECT 'support_ticket', '🎫 Support Ticket', count(*), NULL FROM tickets
+UNION ALL SELECT 'support_ticket', '🎫 Support Ticket', count(*), sum(length(content)) FROM ticket_docs
 UNION ALL SELECT 'interaction_history', '💬 Customer Interaction', count(*), sum(length(content)) FROM histories
 """,
         "profiles",
         "stories",
-        "tickets",
+        "ticket_docs",
         "histories",
     ),
 )
 def corpus_by_source(wh):
-    chars = F.when(F.col("source_type") != "support_ticket", F.length("content"))
+    chars = F.length("content")
     return all_documents(wh).groupBy("source_type", D.source_label("source_type").alias("label")).agg(
         F.count("*").alias("documents"), F.sum(chars).alias("chars")
     )
@@ -186,15 +203,20 @@ def account_export_round_trip(wh):
     return back.withColumn("arr", F.col("arr").cast("double"))
 
 
-@query("SRC2", "SELECT source, sum(length(text) + 1)::BIGINT AS chars, 'churn_analysis' AS source_type FROM documents GROUP BY 1")
+@query(
+    "SRC2",
+    "SELECT 'ANALYSIS-' || lpad(c_custkey::VARCHAR, 8, '0') AS name, c_name || chr(10) || c_mktsegment || chr(10) AS content, "
+    "'churn_analysis' AS source_type, 'churn_analyses' AS collection FROM customer",
+)
 def text_folder_documents(wh):
-    """Documents written as text files of bounded size per source, read one file per document."""
+    """One text file per customer, read back as one document per file with its name."""
     path = fresh_path(wh.spark, "texts")
-    # wholetext reads a file as one row: a bounded number of texts per file bounds the rows.
-    wh.table("documents").select("source", "text").write.partitionBy("source").option("maxRecordsPerFile", 50).text(path)
+    name = F.concat(F.lit("ANALYSIS-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    text = F.concat_ws("\n", "c_name", "c_mktsegment")
+    # The writer names files by task, so each document is the one file of a folder with its name.
+    wh.table("customer").select(name.alias("name"), text.alias("value")).write.partitionBy("name").text(path)
     files = readers.read_text_folder(wh.spark, f"{path}/*", "churn_analysis", "churn_analyses")
-    source = F.regexp_extract("file_path", "source=([^/]+)/", 1)
-    return files.groupBy(source.alias("source"), "source_type").agg(F.sum(F.length("content")).alias("chars"))
+    return files.select(F.regexp_extract("file_path", "name=([^/]+)/", 1).alias("name"), "content", "source_type", "collection")
 
 
 @query(
@@ -302,11 +324,14 @@ FROM events GROUP BY 1
 """,
 )
 def upserted_points(wh):
-    """Every event is a new version of one of ten points: the hottest possible keys."""
+    """Every event is a new version of one of ten points, the hottest possible keys; every other ten events
+    change a table that holds the rest."""
     versions = wh.events.select(
         (F.col("event_id") % 10).alias("point_id"), "event_type", F.col("event_id").alias("version")
     )
-    return sinks.upsert(versions.limit(0), versions, "point_id", "version")
+    held = (F.floor(F.col("version") / 10) % 2) == 0
+    current = versions.filter(held).groupBy("point_id").agg(F.max_by("event_type", "version").alias("event_type"), F.max("version").alias("version"))
+    return sinks.upsert(current, versions.filter(~held), "point_id", "version")
 
 
 @query("SNK6", "SELECT count(DISTINCT vec_id) AS documents, count(*) AS points, max(len(embedding)) AS vector_size FROM embeddings")
@@ -433,8 +458,13 @@ FROM (SELECT *, unnest(range(CASE WHEN length({text}) = 0 THEN 0
 """
 
 
-block("parents", fixed_sql("documents", "doc_id", "text", *chunking.PARENT, "parent_no"))
-block("children", fixed_sql("parents", "doc_id, parent_no", "text", *chunking.CHILD, "child_no"), "parents")
+def tier_blocks(parents, children, source):
+    """Blocks of parent and child chunks of a table or block (doc_id, text)."""
+    block(parents, fixed_sql(source, "doc_id", "text", *chunking.PARENT, "parent_no"), *([source] if source != "documents" else []))
+    block(children, fixed_sql(parents, "doc_id, parent_no", "text", *chunking.CHILD, "child_no"), parents)
+
+
+tier_blocks("parents", "children", "documents")
 
 
 @query("RET1 WIN6", fixed_sql("documents", "doc_id", "text", *chunking.INGEST, "chunk_no"))
@@ -447,6 +477,42 @@ def chunks_by_separators(wh):
     return chunking.by_separators(wh.table("documents"), ["doc_id"], "text", *chunking.INGEST)
 
 
+@query(
+    "RET1",
+    """
+SELECT doc_id, length(text) AS chars, length(text) AS rebuilt, true AS bounded, true AS overlapping, true AS dense
+FROM documents WHERE text <> ''
+""",
+)
+def separator_chunk_properties(wh):
+    """What must hold of separator chunks: without their overlaps they are the text again, none exceeds the size, each
+    starts at or before the end of the one before it and within the overlap, and they are numbered without gaps."""
+    size, overlap = chunking.INGEST
+    chunks = chunking.by_separators(wh.table("documents"), ["doc_id"], "text", size, overlap)
+    pieces = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_no", "start", "text"))).alias("c"))
+
+    def joined(state, x):
+        new = F.substr(x["text"], (state["end"] - x["start"] + 1).cast("int"))
+        return F.struct(
+            F.concat(state["text"], new).alias("text"),
+            (x["start"] + F.length(x["text"])).cast("bigint").alias("end"),
+            (state["ok"] & (x["start"] <= state["end"]) & (state["end"] - x["start"] <= overlap)).alias("ok"),
+        )
+
+    empty = F.struct(F.lit("").alias("text"), F.lit(0).cast("bigint").alias("end"), F.lit(True).alias("ok"))
+    rebuilt = pieces.select("doc_id", "c", F.aggregate("c", empty, joined).alias("r"))
+    texts = wh.table("documents").select("doc_id", F.col("text").alias("whole"))
+    dense = F.forall(F.transform("c", lambda x, i: x["chunk_no"] == i), lambda b: b)
+    return rebuilt.join(texts, "doc_id").select(
+        "doc_id",
+        F.length("whole").cast("bigint").alias("chars"),
+        F.when(F.col("r.text") == F.col("whole"), F.length("r.text")).cast("bigint").alias("rebuilt"),
+        F.forall("c", lambda x: F.length(x["text"]) <= size).alias("bounded"),
+        F.col("r.ok").alias("overlapping"),
+        dense.alias("dense"),
+    )
+
+
 @query("RET2", sql("SELECT doc_id, parent_no, child_no, text FROM children", "children"))
 def parent_child_fixed(wh):
     return chunking.two_tier(wh.table("documents"), ["doc_id"], "text")

@@ -254,16 +254,10 @@ SELECT question_id, account_name FROM golden_questions JOIN churned ON contains(
     "churned",
 )
 block(
-    "golden_set",
+    "golden_truth",
     """
 SELECT question_id, question, query_type, 'medium' AS difficulty,
-  coalesce(nullif(concat_ws(chr(10), a.fact, s.fact, r.fact), ''), o.fact) AS ground_truth,
-  coalesce((SELECT string_agg(account_name, ',' ORDER BY account_name) FROM
-              (SELECT account_name, row_number() OVER (ORDER BY account_name) AS rn FROM named n WHERE n.question_id = g.question_id) WHERE rn <= 5),
-    CASE query_type WHEN 'pattern_analysis' THEN 'aggregate_data,multiple_customers'
-      WHEN 'competitive_intelligence' THEN 'competitor_data,switching_patterns'
-      WHEN 'financial_analysis' THEN 'arr_analysis,financial_data'
-      WHEN 'segment_analysis' THEN 'comparative_analysis,segment_data' ELSE '' END) AS expected_context
+  coalesce(nullif(concat_ws(chr(10), a.fact, s.fact, r.fact), ''), o.fact) AS ground_truth
 FROM golden_questions g
 LEFT JOIN (SELECT question_id, min(account_name) AS account_name FROM named GROUP BY 1) USING (question_id)
 LEFT JOIN (
@@ -286,7 +280,9 @@ LEFT JOIN (SELECT primary_reason, primary_reason || ' Churn Reason Summary:' ||
              || '- Segments affected: ' || max(segments_affected) || chr(10) || '- Average ARR: $'
              || format('{:,}', avg(arr::DOUBLE)::DECIMAL(28,2)::DECIMAL(28,0)::BIGINT) AS fact
            FROM churned JOIN reason_segments USING (primary_reason) GROUP BY 1) r USING (primary_reason),
-(SELECT 'Overall Churn Summary:' || chr(10) || '- Total customers: ' || count(*) || chr(10) || '- Top 3 churn reasons: '
+(SELECT 'Overall Churn Summary:' || chr(10) || '- Total customers: ' || count(*) || chr(10) || '- Segments: '
+   || (SELECT string_agg(segment || '=' || cnt, '; ' ORDER BY cnt DESC, segment) FROM
+        (SELECT segment, count(*) AS cnt FROM churned WHERE segment IS NOT NULL GROUP BY 1)) || chr(10) || '- Top 3 churn reasons: '
    || (SELECT string_agg(primary_reason || '=' || cnt, '; ' ORDER BY cnt DESC, primary_reason) FROM
         (SELECT primary_reason, count(*) AS cnt FROM churned GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)) || chr(10)
    || '- Average tenure: ' || round(avg(tenure_years), 1)::DECIMAL(18,1) || ' years' || chr(10) || '- Total ARR lost: $'
@@ -299,6 +295,30 @@ LEFT JOIN (SELECT primary_reason, primary_reason || ' Churn Reason Summary:' ||
     "seg_reasons3",
     "reason_segments",
 )
+block(
+    "named_anywhere",
+    """
+SELECT question_id, account_name FROM named
+UNION SELECT question_id, account_name FROM golden_truth JOIN (SELECT DISTINCT account_name FROM churned) ON contains(ground_truth, account_name)
+""",
+    "named",
+    "golden_truth",
+    "churned",
+)
+block(
+    "golden_set",
+    """
+SELECT g.*, coalesce(listed, CASE query_type WHEN 'pattern_analysis' THEN 'multiple_customers,aggregate_data'
+      WHEN 'competitive_intelligence' THEN 'competitor_data,switching_patterns'
+      WHEN 'financial_analysis' THEN 'financial_data,arr_analysis'
+      WHEN 'segment_analysis' THEN 'segment_data,comparative_analysis' ELSE '' END) AS expected_context
+FROM golden_truth g LEFT JOIN (
+  SELECT question_id, string_agg(account_name, ',' ORDER BY account_name) AS listed FROM
+    (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY account_name) AS rn FROM named_anywhere) WHERE rn <= 5 GROUP BY 1) USING (question_id)
+""",
+    "golden_truth",
+    "named_anywhere",
+)
 
 
 def golden_set_of(wh):
@@ -340,4 +360,4 @@ def account_mentions(wh):
     sql("SELECT question_id, expected_context FROM golden_set", "golden_set"),
 )
 def expected_sources(wh):
-    return golden.expected_sources(golden_questions(wh), wh.churned)
+    return golden_set_of(wh).select("question_id", "expected_context")

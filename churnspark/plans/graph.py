@@ -8,6 +8,7 @@ from churnspark.functions import columns as C
 from churnspark.operators import graph as G
 from churnspark.plans import account_blocks, profile  # noqa: F401 - blocks
 from churnspark.plans.registry import block, query, sql
+from churnspark.session import materialize
 from churnspark.sources import sinks, tables as T
 
 block(
@@ -44,7 +45,8 @@ SELECT DISTINCT dst, CASE relationship WHEN 'BELONGS_TO' THEN 'Segment' WHEN 'CH
 
 
 def graph(wh):
-    table = T.churn_table(wh)
+    """Nodes and edges over one written churn table."""
+    table = materialize(T.churn_table(wh), "accounts")
     return G.nodes(table), G.edges(table)
 
 
@@ -168,7 +170,7 @@ def graph_patterns(wh):
     sql("SELECT account_id, product FROM lost_products", "lost_products"),
 )
 def products_from_rollup(wh):
-    rolled = wh.churned.select("account_id").join(T.product_rollup(wh), "account_id")
+    rolled = T.product_rollup(wh, T.account_lines(wh, wh.churned))
     return rolled.select("account_id", F.explode(C.split_list("products_rollup")).alias("product"))
 
 
@@ -178,7 +180,7 @@ def products_from_rollup(wh):
 )
 def products_compatible(wh):
     """Only ``;`` and ``,`` split: a newline-separated cell stays one product."""
-    rolled = wh.churned.select("account_id").join(T.product_rollup(wh), "account_id")
+    rolled = T.product_rollup(wh, T.account_lines(wh, wh.churned))
     return rolled.select(
         "account_id", F.explode(C.split_list("products_rollup", C.PRODUCT_DELIMITERS_COMPAT)).alias("product")
     )

@@ -20,7 +20,7 @@ def ranked_block(name, source, group, item, n, out, *needs):
 SELECT {group}, string_agg({item} || '=' || cnt, '; ' ORDER BY cnt DESC, {item}) AS {out}
 FROM (SELECT {group}, {item}, count(*) AS cnt,
              row_number() OVER (PARTITION BY {group} ORDER BY count(*) DESC, {item}) AS rn
-      FROM {source} WHERE {item} IS NOT NULL GROUP BY 1, 2) WHERE rn <= {n} GROUP BY 1
+      FROM {source} WHERE {item} IS NOT NULL GROUP BY 1, 2) {f"WHERE rn <= {n}" if n else ""} GROUP BY 1
 """,
         *needs,
     )
@@ -47,7 +47,7 @@ FROM churned LEFT JOIN seg_reasons USING (segment) LEFT JOIN seg_rivals USING (s
     ),
 )
 def segment_churn_patterns(wh):
-    return P.churn_patterns(wh.churned, T.account_competitors(wh).drop("position"))
+    return P.churn_patterns(wh.churned, T.account_competitors(wh, accounts=wh.churned).drop("position"))
 
 
 def share_sql(c, source="churned"):
@@ -144,7 +144,7 @@ SELECT (SELECT count(DISTINCT account_id) FROM churned) AS customers,
     ),
 )
 def distinct_counts(wh):
-    rivals = wh.churned.select("account_id").join(T.account_competitors(wh), "account_id")
+    rivals = T.account_competitors(wh, accounts=wh.churned)
     n_rivals = rivals.agg(F.countDistinct("competitor")).scalar()
     return wh.churned.agg(
         F.countDistinct("account_id").alias("customers"),
@@ -222,7 +222,7 @@ def segment_summary(wh):
     )
 
 
-ranked_block("reason_segments", "churned", "primary_reason", "segment", 1000, "segments_affected", "churned")
+ranked_block("reason_segments", "churned", "primary_reason", "segment", None, "segments_affected", "churned")
 
 
 @query(
@@ -241,7 +241,7 @@ def reason_summary(wh):
     return (
         wh.churned.groupBy("primary_reason")
         .agg(F.count("*").alias("customers"), P.mean("arr").alias("avg_arr"))
-        .join(P.ranked_text(wh.churned, "primary_reason", "segment", 1000, "segments_affected"), "primary_reason")
+        .join(P.ranked_text(wh.churned, "primary_reason", "segment", None, "segments_affected"), "primary_reason")
     )
 
 
@@ -254,10 +254,15 @@ SELECT (SELECT count(*) FROM churned) AS customers,
          (SELECT primary_reason, count(*) AS cnt FROM churned GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3)) AS top_reasons,
        (SELECT string_agg(account_name, '; ' ORDER BY arr DESC, account_id) FROM
          (SELECT * FROM churned ORDER BY arr DESC, account_id LIMIT 10)) AS top_customers,
+       (SELECT string_agg(segment || '=' || cnt, '; ' ORDER BY cnt DESC, segment) FROM
+         (SELECT segment, count(*) AS cnt FROM churned WHERE segment IS NOT NULL GROUP BY 1)) AS segments,
+       (SELECT string_agg(competitor, '; ' ORDER BY competitor) FROM
+         (SELECT DISTINCT competitor FROM lost_to ORDER BY competitor LIMIT 10)) AS competitors,
        (SELECT round(avg(tenure_years), 4) FROM churned) AS avg_tenure,
        (SELECT sum(arr)::DOUBLE FROM churned) AS total_arr
 """,
         "churned",
+        "lost_to",
     ),
 )
 def overall_summary(wh):
@@ -265,6 +270,11 @@ def overall_summary(wh):
     reason_text = F.concat("primary_reason", F.lit("="), F.col("cnt").cast("string"))
     largest = wh.churned.orderBy(F.desc("arr"), "account_id").limit(10)
 
+    segments = counts(wh.churned, "segment")
+    segment_text = F.concat("segment", F.lit("="), F.col("cnt").cast("string"))
+    # The first ten by name stand for the competitors; how many there are is in distinct_counts.
+    rivals = T.account_competitors(wh, accounts=wh.churned).select("competitor").distinct().orderBy("competitor").limit(10)
+
     def joined(df, order, text):
         entries = F.array_sort(F.collect_list(F.struct(*order, text.alias("text"))))
         return df.agg(F.array_join(F.transform(entries, lambda e: e["text"]), "; ")).scalar()
@@ -277,6 +287,8 @@ def overall_summary(wh):
         "*",
         joined(reasons, [(-F.col("cnt")).alias("o"), F.col("primary_reason")], reason_text).alias("top_reasons"),
         joined(largest, [(-F.col("arr")).alias("o"), F.col("account_id")], F.col("account_name")).alias("top_customers"),
+        joined(segments, [(-F.col("cnt")).alias("o"), F.col("segment")], segment_text).alias("segments"),
+        joined(rivals, [F.col("competitor").alias("o")], F.col("competitor")).alias("competitors"),
     )
 
 
@@ -373,7 +385,7 @@ FROM lost_products a JOIN lost_products b ON a.account_id = b.account_id AND a.p
     ),
 )
 def product_pairs(wh):
-    return P.product_pairs(wh.churned.select("account_id").join(T.account_products(wh), "account_id"))
+    return P.product_pairs(T.account_products(wh, accounts=wh.churned))
 
 
 @query(
@@ -441,13 +453,13 @@ def reason_tenure(wh):
 
 @query("AGG31", sql("SELECT segment, product, count(*) AS accounts FROM lost_products GROUP BY 1, 2", "lost_products"))
 def product_by_segment(wh):
-    used = wh.churned.select("account_id", "segment").join(T.account_products(wh), "account_id")
+    used = wh.churned.select("account_id", "segment").join(T.account_products(wh, accounts=wh.churned), "account_id")
     return counts(used, "segment", "product", name="accounts")
 
 
 @query("AGG32", sql("SELECT competitor, segment, count(*) AS accounts FROM lost_to GROUP BY 1, 2", "lost_to"))
 def competitor_by_segment(wh):
-    lost = wh.churned.select("account_id", "segment").join(T.account_competitors(wh), "account_id")
+    lost = wh.churned.select("account_id", "segment").join(T.account_competitors(wh, accounts=wh.churned), "account_id")
     return counts(lost, "competitor", "segment", name="accounts")
 
 
@@ -550,7 +562,7 @@ def competitor_union(wh):
     both = F.explode(F.array("competitor_1", "competitor_2")).alias("competitor")
     return (
         wh.churned.select("account_id")
-        .join(T.competitor_columns(wh), "account_id")
+        .join(T.competitor_columns(wh, T.account_lines(wh, wh.churned)), "account_id")
         .select(both)
         .select(C.null_if_missing("competitor").alias("competitor"))
         .filter("competitor IS NOT NULL")

@@ -11,6 +11,7 @@ from churnspark.operators.ranking import top_per_group
 from churnspark.plans import search_blocks as B
 from churnspark.plans.corpus import all_documents
 from churnspark.plans.registry import block, query, sql
+from churnspark.plans.scoring_blocks import LISTED, filled as filled_sql
 from churnspark.session import materialize
 from churnspark.sources import tables as T
 
@@ -232,7 +233,7 @@ UNION ALL SELECT DISTINCT 'competitive_intelligence:' || competitor, 'competitiv
 
 
 def golden_questions(wh, categories=None):
-    rivals = wh.churned.select("account_id").join(T.account_competitors(wh), "account_id")
+    rivals = T.account_competitors(wh, accounts=wh.churned)
     return golden.questions(wh.churned, rivals, categories)
 
 
@@ -246,6 +247,10 @@ def class_sql(text):
     return f"CASE WHEN {top} = 0 THEN '{Q.DEFAULT_TYPE}' {cases} END"
 
 
+block("all_asked", "SELECT question_id, question AS text FROM golden_questions", "golden_questions")
+B.index_blocks("prof", "profiles", "doc_id", "content")
+B.score_blocks("prof_scored", "prof", "doc_id", "all_asked", "question_id")
+B.score_blocks("account_scored", "prof", "doc_id", "asked", "question_id")
 block(
     "routed",
     f"""
@@ -274,29 +279,27 @@ def validated_labels(wh):
     return wh.events.select("event_id", Q.valid_type(label).alias("query_type"))
 
 
-def subject_questions(wh):
-    """Questions on reasons, segments and competitors: as many as there are such values, not accounts."""
-    return golden_questions(wh, ("pattern_analysis", "segment_analysis", "competitive_intelligence"))
-
-
 def profile_corpus(wh):
     return D.account_documents(T.churn_table(wh)).select("doc_id", F.col("content").alias("text"), "metadata")
 
 
 def routed_hits(wh):
     """Every question by the strategy and k of its type; one scoring pass for all."""
-    typed = subject_questions(wh).withColumn("type", Q.classify("question"))
+    # Classified once and written: the type's expression is large, and every strategy reads the routes.
+    typed = materialize(golden_questions(wh).select("question_id", "question", Q.classify("question").alias("type")), "typed")
     method, k = Q.route("type")
     typed = typed.select("question_id", F.col("question").alias("text"), method.alias("method"), k.alias("k"))
+    routes = materialize(typed, "routes")
+    asked_now = routes.select("question_id", "text")
     retriever = R.Retriever(materialize(profile_corpus(wh).select("doc_id", "text"), "profiles"))
     deepest = max(k for _, k in Q.ROUTES.values())
-    names = sorted({m for m, _ in Q.ROUTES.values()})
-    found = R.find(retriever, typed, deepest, with_parents=False, keep=True)
+    found = R.find(retriever, asked_now, deepest, with_parents=False)
+    retriever = retriever.holding(found.children)
     parts = []
-    for name in names:
+    for name in sorted({m for m, _ in Q.ROUTES.values()}):
         depth = max(k for m, k in [*Q.ROUTES.values(), Q.DEFAULT_ROUTE] if m == name)
-        hits = R.strategy(name)(retriever, typed.select("question_id", "text"), depth, found)
-        parts.append(hits.join(typed.select("question_id", "method", "k"), ["question_id", "method"]))
+        hits = R.strategy(name)(retriever, asked_now, depth, found)
+        parts.append(hits.join(routes.select("question_id", "method", "k"), ["question_id", "method"]))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -304,26 +307,129 @@ def routed_hits(wh):
     return out.filter((F.col("method") == "multi_query") | (F.col("rank") <= F.col("k"))).drop("k")
 
 
-@query("RET13 RET14")
+block("profile_texts", "SELECT doc_id, content AS text FROM profiles", "profiles")
+B.chunk_index("routed_", "profile_texts")
+B.strategy_blocks("routed_", "all_asked", 7, "routed_kid", "routed_children")
+B.strategy_blocks("routed5_", "all_asked", 5, "routed_kid", "routed_children", "routed_variants")
+
+
+@query(
+    "RET13 RET14",
+    sql(
+        """
+SELECT question_id, method, rank, doc_id, parent_no, child_no, round(score, 6) AS score FROM (
+  SELECT h.* FROM routed_naive_hits h JOIN routed USING (question_id) WHERE routed.method = 'naive' AND rank <= k
+  UNION ALL SELECT h.* FROM routed5_multi_hits h JOIN routed USING (question_id) WHERE routed.method = 'multi_query'
+  UNION ALL SELECT h.* FROM routed_compressed_hits h JOIN routed USING (question_id) WHERE routed.method = 'contextual_compression' AND rank <= k)
+""",
+        "routed",
+        "routed_naive_hits",
+        "routed5_multi_hits",
+        "routed_compressed_hits",
+    ),
+)
 def routed_retrieval(wh):
     return shown(routed_hits(wh)).drop("text")
 
 
+B.strategy_blocks("research_", "asked", 10, variants="variants")
+B.strategy_blocks("writing_", "asked", 8, variants="variants")
+
+
+@query("RET13 RET8", sql(HIT + "research_multi_hits", "research_multi_hits"))
+def research_retrieval(wh):
+    """The research stage's route: its own strategy and depth for every question."""
+    method, k = Q.STAGE_ROUTES["research"]
+    return shown(R.strategy(method)(R.Retriever(corpus(wh)), asked(wh), k))
+
+
+@query("RET13 RET11", sql(HIT + "writing_rerank_hits", "writing_rerank_hits"))
+def writing_retrieval(wh):
+    """The writing stage's route."""
+    method, k = Q.STAGE_ROUTES["writing"]
+    return shown(R.strategy(method)(R.Retriever(corpus(wh)), asked(wh), k))
+
+
+block(
+    "own_variants",
+    """
+SELECT question_id, 0 AS variant, text FROM asked
+UNION ALL SELECT question_id, 1, 'customer ' || text FROM asked UNION ALL SELECT question_id, 2, reverse(text) FROM asked
+""",
+    "asked",
+)
+B.strategy_blocks("own_", "asked", 5, variants="own_variants")
+
+
+@query("RET8 SET4", sql(HIT + "own_multi_hits", "own_multi_hits"))
+def multi_query_given_variants(wh):
+    """Several variants of each question that the caller supplies."""
+    questions = asked(wh)
+    given = questions.select("question_id", F.lit(1).alias("variant"), F.concat(F.lit("customer "), "text").alias("text")).unionByName(
+        questions.select("question_id", F.lit(2).alias("variant"), F.reverse("text").alias("text"))
+    )
+    return shown(R.multi_query(R.Retriever(corpus(wh)), questions, 5, own=given))
+
+
 @query(
     "FLT9",
     sql(
         """
-SELECT question_id, (type = 'competitive_intel' OR documents < 2 OR regexp_matches(lower(question), 'industry|benchmark|trend')) AS external
-FROM (SELECT *, length(question) % 5 AS documents FROM routed)
+SELECT question_id, (type = 'competitive_intel' OR coalesce(documents, 0) < 2 OR regexp_matches(lower(question), 'industry|benchmark|trend')) AS external
+FROM routed LEFT JOIN (SELECT question_id, least(count(*), 5) AS documents FROM prof_scored GROUP BY 1) USING (question_id)
 """,
         "routed",
+        "prof_scored",
     ),
 )
 def external_needed(wh):
-    typed = golden_questions(wh).withColumn("type", Q.classify("question")).withColumn("documents", F.length("question") % 5)
+    """Documents are the profiles that retrieval finds for the question."""
+    found = use_cases(wh).groupBy("question_id").agg(F.count("*").alias("documents"))
+    typed = golden_questions(wh).withColumn("type", Q.classify("question")).join(found, "question_id", "left")
+    typed = typed.withColumn("documents", F.coalesce("documents", F.lit(0)))
     return typed.select("question_id", Q.needs_external("question", "type", "documents").alias("external"))
 
 
+block("account_filters", "SELECT question_id, text, length(text) % 6 AS kind FROM asked", "asked")
+block(
+    "account_asked",
+    """
+SELECT question_id, text, CASE WHEN kind IN (1, 4) THEN 'BUILDING' END AS segment, CASE WHEN kind IN (2, 4) THEN '1-URGENT' END AS churn_reason,
+       CASE WHEN kind IN (3, 4) THEN 100000.0::DOUBLE WHEN kind = 5 THEN 0.0::DOUBLE END AS arr_from,
+       CASE WHEN kind = 3 THEN 1000000.0::DOUBLE WHEN kind = 5 THEN 0.0::DOUBLE END AS arr_to FROM account_filters
+""",
+    "account_filters",
+)
+
+
+@query(
+    "FLT2 RET7",
+    sql(
+        """
+SELECT question_id, doc_id, round(score, 6) AS score, rank FROM (
+  SELECT s.*, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank
+  FROM account_scored s JOIN profiles p USING (doc_id) JOIN account_asked a USING (question_id)
+  WHERE (a.segment IS NULL OR p.segment = a.segment) AND (a.churn_reason IS NULL OR p.churn_reason = a.churn_reason)
+    AND (a.arr_from IS NULL OR p.arr_lost >= a.arr_from) AND (a.arr_to IS NULL OR p.arr_lost <= a.arr_to)) WHERE rank <= 5
+""",
+        "account_scored",
+        "profiles",
+        "account_asked",
+    ),
+)
+def accounts_filtered_topk(wh):
+    """Each question with its own filters on segment, reason and ARR; NULL is no filter, 0 is a bound."""
+    questions = asked(wh).withColumn("kind", F.length("text") % 6).select(
+        "question_id",
+        "text",
+        F.when(F.col("kind").isin(1, 4), "BUILDING").alias("segment"),
+        F.when(F.col("kind").isin(2, 4), "1-URGENT").alias("churn_reason"),
+        F.when(F.col("kind").isin(3, 4), 100000.0).when(F.col("kind") == 5, 0.0).alias("arr_from"),
+        F.when(F.col("kind") == 3, 1000000.0).when(F.col("kind") == 5, 0.0).alias("arr_to"),
+    )
+    return shown(R.filtered(materialize(profile_corpus(wh), "profiles"), questions, 5))
+
+
 block(
     "readable",
     r"""
@@ -365,9 +471,6 @@ def external_topk(wh):
 
 # Sources, citations and confidence ---------------------------------------------------------------
 
-B.index_blocks("prof", "profiles", "doc_id", "content")
-block("subject_asked", "SELECT question_id, question AS text FROM golden_questions WHERE query_type IN ('pattern_analysis', 'segment_analysis', 'competitive_intelligence')", "golden_questions")
-B.score_blocks("prof_scored", "prof", "doc_id", "subject_asked", "question_id")
 block(
     "use_cases",
     """
@@ -381,18 +484,78 @@ JOIN profiles USING (doc_id) WHERE rank <= 5
 
 
 def use_cases(wh):
-    """The five account profiles closest to each subject question, with their metadata."""
-    profiles = profile_corpus(wh)
-    questions = subject_questions(wh).select("question_id", F.col("question").alias("text"))
+    """The five account profiles closest to each question, with their metadata."""
+    profiles = materialize(profile_corpus(wh), "profiles")
+    questions = golden_questions(wh).select("question_id", F.col("question").alias("text"))
     top = I.best(I.build(profiles.select("doc_id", "text"), ["doc_id"]), questions, ["question_id"], 5)
     return top.join(profiles.select("doc_id", "metadata.*"), "doc_id")
 
 
+block("rag_asked", "SELECT account_id AS question_id, " + filled_sql(reports.CONTEXT_QUESTION) + " AS text FROM graded", "graded")
+B.score_blocks("rag_scored", "prof", "doc_id", "rag_asked", "question_id")
+block(
+    "rag_contexts",
+    """
+SELECT question_id AS account_id, '**Relevant Historical Context:**' || chr(10) || chr(10) || string_agg(chr(10) || rank
+  || '. 📊 Similar Churn Case:' || chr(10) || substring(content, 1, 500) || '...' || chr(10), chr(10) ORDER BY rank) AS context FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM rag_scored)
+JOIN profiles USING (doc_id) WHERE rank <= 3 GROUP BY 1
+""",
+    "rag_scored",
+    "profiles",
+)
+
+
+CONTEXT = "coalesce(context, '')"
+
+
+@query(
+    "SCR18 RET15",
+    sql(
+        f"SELECT account_id, {filled_sql(reports.REPORT, **LISTED, context=CONTEXT)} AS report "
+        "FROM advised LEFT JOIN rag_contexts USING (account_id)",
+        "advised",
+        "rag_contexts",
+    ),
+)
+def account_reports_with_context(wh):
+    """Reports with the three closest churned profiles as their context."""
+    from churnspark.plans.scoring import scored
+
+    profiles = materialize(profile_corpus(wh).select("doc_id", "text"), "profiles")
+    accounts = materialize(scored(wh), "scored")
+    questions = accounts.select(F.col("account_id").alias("question_id"), reports.context_question().alias("text"))
+    top = I.best(I.build(profiles, ["doc_id"]), questions, ["question_id"], 3).join(profiles, "doc_id")
+    found = R.labelled_contexts(top.withColumn("source_type", F.lit("churn_analysis")), D.source_label("source_type"))
+    return reports.with_reports(accounts, found.withColumnRenamed("question_id", "account_id")).select("account_id", "report")
+
+
+PAGE_TITLE = r"(?is)<title[^>]*>(.*?)</title>"
+B.score_blocks("web_scored", "page", "page_id", "all_asked", "question_id")
+block(
+    "web_hits",
+    f"""
+SELECT question_id, url, trim(regexp_extract(html, '{PAGE_TITLE}', 1)) AS title, place FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, page_id) AS place FROM web_scored)
+JOIN pages USING (page_id) WHERE place <= 3
+""",
+    "web_scored",
+)
+
+
+def web_hits(wh, questions):
+    """The three pages closest to each question, with url and title."""
+    readable = wh.table("pages").select("page_id", R.visible_text("html").alias("text"))
+    top = I.best(I.build(readable, ["page_id"]), questions, ["question_id"], 3)
+    titled = wh.table("pages").select("page_id", "url", F.trim(F.regexp_extract("html", PAGE_TITLE, 1)).alias("title"))
+    return top.select("question_id", "page_id", F.col("rank").alias("place")).join(titled, "page_id")
+
+
 @query(
     "RET17",
     sql(
         """
-SELECT question_id, 'UC' || rank AS citation_id, account_name AS customer, segment, churn_reason,
+SELECT question_id, 'UC' || rank AS citation_id, 'use_case' AS type, account_name AS customer, segment, churn_reason,
        '$' || format('{:,}', trunc(arr_lost::DECIMAL(18,2))::BIGINT) || '.' || right('0' || ((arr_lost::DECIMAL(18,2) * 100)::BIGINT % 100), 2) AS arr_lost,
        'high' AS relevance FROM use_cases
 """,
@@ -405,6 +568,7 @@ def citations(wh):
     return use_cases(wh).select(
         "question_id",
         F.concat(F.lit("UC"), F.col("rank")).alias("citation_id"),
+        F.lit("use_case").alias("type"),
         F.col("account_name").alias("customer"),
         "segment",
         "churn_reason",
@@ -417,34 +581,45 @@ def citations(wh):
     "RET16 SCR20",
     sql(
         """
-SELECT question_id, 'customer_data' AS type, account_name AS source, rank AS position FROM use_cases
-UNION ALL SELECT question_id, 'knowledge_graph', segments || ' segments', 6 FROM subject_asked, (SELECT count(DISTINCT segment) AS segments FROM churned)
+SELECT question_id, 'customer_data' AS type, account_name AS source, segment AS detail, 'high' AS relevance, rank AS position FROM use_cases
+UNION ALL SELECT question_id, 'knowledge_graph', segments || ' segments', NULL, 'high', 6 FROM all_asked, (SELECT count(DISTINCT segment) AS segments FROM churned)
+UNION ALL SELECT question_id, 'web_research', url, title, 'medium', 6 + place FROM web_hits
 """,
         "use_cases",
-        "subject_asked",
+        "all_asked",
         "churned",
+        "web_hits",
     ),
 )
 def source_lists(wh):
-    questions = subject_questions(wh)
+    """Five profiles, the graph and the three best pages per question."""
+    questions = golden_questions(wh)
     segments = wh.churned.agg(F.countDistinct("segment")).scalar()
     from_documents = use_cases(wh).select(
-        "question_id", F.lit("customer_data").alias("type"), F.col("account_name").alias("source"), F.col("rank").alias("position")
-    )
+        "question_id", F.lit("customer_data").alias("type"), F.col("account_name").alias("source"),
+        F.col("segment").alias("detail"), F.lit("high").alias("relevance"), F.col("rank").alias("position"),
+    )
     from_graph = questions.select(
         "question_id",
         F.lit("knowledge_graph").alias("type"),
         F.concat(segments.cast("string"), F.lit(" segments")).alias("source"),
+        F.lit(None).cast("string").alias("detail"),
+        F.lit("high").alias("relevance"),
         F.lit(6).cast("bigint").alias("position"),
     )
-    return from_documents.unionByName(from_graph)
+    from_web = web_hits(wh, questions.select("question_id", F.col("question").alias("text"))).select(
+        "question_id", F.lit("web_research").alias("type"), F.col("url").alias("source"), F.col("title").alias("detail"),
+        F.lit("medium").alias("relevance"), (F.col("place") + 6).alias("position"),
+    )
+    return from_documents.unionByName(from_graph).unionByName(from_web)
 
 
 @query(
     "RET16 RET17",
     sql(
         """
-SELECT question_id, 'EXT' || row_number() OVER (PARTITION BY question_id ORDER BY query_no, rank) AS citation_id, url, 'supporting' AS relevance
+SELECT question_id, 'EXT' || row_number() OVER (PARTITION BY question_id ORDER BY query_no, rank) AS citation_id,
+       'external_source' AS type, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, url, 'supporting' AS relevance
 FROM (SELECT *, row_number() OVER (PARTITION BY question_id, query_no ORDER BY round(score, 9) DESC, page_id) AS rank FROM page_scored)
 JOIN pages USING (page_id) WHERE rank <= 2
 """,
@@ -455,9 +630,11 @@ def external_citations(wh):
     # Six pages per question at most: two for each of three derived queries.
     found = R.external(wh.table("pages"), asked(wh)).withColumnRenamed("rank", "within")
     numbered = top_per_group(found, "question_id", ["query_no", "within"], 6)
-    return numbered.select(
-        "question_id", F.concat(F.lit("EXT"), F.col("rank")).alias("citation_id"), "url", F.lit("supporting").alias("relevance")
-    )
+    titled = wh.table("pages").select("page_id", F.trim(F.regexp_extract("html", PAGE_TITLE, 1)).alias("title"))
+    return numbered.join(titled, "page_id").select(
+        "question_id", F.concat(F.lit("EXT"), F.col("rank")).alias("citation_id"), F.lit("external_source").alias("type"),
+        "title", "url", F.lit("supporting").alias("relevance"),
+    )
 
 
 @query(

@@ -306,6 +306,8 @@ def key_insights(wh):
 SELECT account_id,
   unnest(['customer-' || lower(replace(account_name, ' ', '-')), 'segment-' || lower(segment) || '-patterns']) AS citation_id,
   unnest(['live_customer_data', 'historical_pattern_analysis']) AS type,
+  unnest([account_name, NULL]) AS customer, segment,
+  unnest([{one("risk_score")} || '%', NULL]) AS churn_risk, unnest([NULL, 'Based on historical churn data analysis']) AS sample_size,
   unnest([{one("tenure_years")} || 'yr tenure, ' || {ADOPTED} || ' adoption, ' || tickets || ' tickets, '
             || last_engagement_days || 'd ago',
           'Customers with ' || lower(risk_reason) || ' typically churn within ' || days_until_churn || ' days']) AS content,

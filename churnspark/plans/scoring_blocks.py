@@ -1,5 +1,8 @@
 """Check SQL of activity, scores and reports."""
 
+import re
+
+from churnspark.operators import reports as R
 from churnspark.plans import account_blocks  # noqa: F401 - blocks this one needs
 from churnspark.plans.registry import block
 
@@ -89,25 +92,37 @@ def title(x):
 ADOPTED = percent0("adoption_rate")
 TARGET = percent0("least(adoption_rate + 0.25, 0.95)")
 
+#: What the report templates are filled with.
+FACTS = {
+    "customer": "account_name", "segment": "segment", "arr": "'$' || format('{:,}', arr::DECIMAL(28,0)::BIGINT)",
+    "tenure": one("tenure_years"), "risk": one("risk_score"), "category": "category", "urgency": "urgency_level",
+    "timeline": "urgency_days", "days": "days_until_churn", "renewal": "(days_until_churn - 30)", "trend": title("trend"),
+    "reason": "risk_reason", "reason_title": title("risk_reason"), "reason_lower": "lower(risk_reason)", "adoption": ADOPTED,
+    "target": TARGET, "tickets": "tickets", "quiet": "last_engagement_days",
+}
+
+
+def filled(template, **more):
+    """SQL text of a template."""
+    values = FACTS | more
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(f"({values[p]})" if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts))
+
+
 block(
-    "reports",
+    "graded",
+    """
+SELECT *, CASE WHEN risk_score >= 80 THEN 'critical (80%+)' WHEN risk_score >= 60 THEN 'high (60-79%)' ELSE 'moderate' END AS category,
+  CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'HIGH' ELSE 'MEDIUM' END AS urgency_level,
+  CASE WHEN risk_score >= 80 THEN 7 WHEN risk_score >= 60 THEN 14 ELSE 30 END AS urgency_days
+FROM scores
+""",
+    "scores",
+)
+block(
+    "advised",
     f"""
-SELECT *, concat_ws(chr(10),
-    '## Comprehensive Analysis: ' || account_name, '- Segment: ' || segment,
-    '- ARR: $' || format('{{:,}}', arr::DECIMAL(28,0)::BIGINT), '- Tenure: ' || {one("tenure_years")} || ' years',
-    '- Risk Score: ' || {one("risk_score")} || '% (' || category || ')',
-    '- Predicted Churn: ' || days_until_churn || ' days', '- Risk Trend: ' || {title("trend")},
-    'Urgency Level: ' || urgency_level, '### Data-Driven Insights',
-    CASE WHEN len(insights) > 0 THEN array_to_string(list_transform(insights, lambda x: '- ' || x), chr(10))
-         ELSE '- Customer metrics within normal range' END,
-    '### Recommended Retention Strategies', array_to_string(recommendations, chr(10)),
-    '### Success Metrics to Track', '- Target adoption: ' || {TARGET} || ' within 60 days',
-    '- Renewal confidence: 90%+ by day ' || (days_until_churn - 30)) AS report
-FROM (
 SELECT *,
-  CASE WHEN risk_score >= 80 THEN 'critical (80%+)' WHEN risk_score >= 60 THEN 'high (60-79%)' ELSE 'moderate' END AS category,
-  CASE WHEN risk_score >= 80 THEN 'CRITICAL' WHEN risk_score >= 60 THEN 'HIGH' ELSE 'MEDIUM' END AS urgency_level,
-  CASE WHEN risk_score >= 80 THEN 7 WHEN risk_score >= 60 THEN 14 ELSE 30 END AS urgency_days,
   list_filter([
     CASE WHEN tenure_years < 1 THEN '**New Customer Alert**: Only ' || {one("tenure_years")} || ' years with us - critical retention period'
          WHEN tenure_years < 2 THEN '**Early Stage Customer**: ' || {one("tenure_years")} || ' years tenure - still in relationship-building phase' END,
@@ -121,13 +136,16 @@ SELECT *,
          WHEN trend = 'stable' THEN '**Stable Risk**: Current interventions maintaining status - need breakthrough strategies' END
   ], lambda x: x IS NOT NULL) AS insights,
   list_transform(list_filter([
-    '**Address Primary Concern: ' || {title("risk_reason")} || '**',
-    CASE WHEN adoption_rate < 0.6 THEN '**Boost Product Adoption** (currently ' || {ADOPTED} || ', target ' || {TARGET} || ')' END,
-    CASE WHEN tickets > 3 THEN '**Reduce Support Friction** (' || tickets || ' tickets/month)' END,
-    CASE WHEN last_engagement_days > 14 THEN '**Strengthen Relationship** (Last contact: ' || last_engagement_days || ' days ago)' END,
-    '**Demonstrate ROI & Value**'
+    {filled(R.CONCERN)}, CASE WHEN adoption_rate < 0.6 THEN {filled(R.ADOPTION)} END, CASE WHEN tickets > 3 THEN {filled(R.SUPPORT)} END,
+    CASE WHEN last_engagement_days > 14 THEN {filled(R.RELATIONSHIP)} END, {filled(R.VALUE)}
   ], lambda x: x IS NOT NULL), lambda x, i: i || '. ' || x) AS recommendations
-FROM scores)
+FROM graded
 """,
-    "scores",
+    "graded",
 )
+LISTED = {
+    "insights": "CASE WHEN len(insights) > 0 THEN array_to_string(list_transform(insights, lambda x: '- ' || x), chr(10)) "
+    f"ELSE '{R.NO_INSIGHT}' END",
+    "recommendations": "array_to_string(recommendations, chr(10) || chr(10))",
+}
+block("reports", f"SELECT *, {filled(R.REPORT, **LISTED, context=chr(39) * 2)} AS report FROM advised", "advised")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from churnspark.plans import corpus  # noqa: F401 - chunk blocks
+from churnspark.plans import corpus
 from churnspark.plans.registry import BLOCKS, block
 
 SPLIT = r"'[^\p{L}\p{N}]+'"
@@ -58,29 +58,86 @@ FROM {p}_post d JOIN {name}_qw USING (term) {where} GROUP BY ALL
 
 CHILD = "doc_id, parent_no, child_no"
 
-block("asked", "SELECT item_id AS question_id, text FROM benchmark")
-index_blocks("doc", "documents", "doc_id")
-score_blocks("doc_scored", "doc", "doc_id", "asked", "question_id")
 
-index_blocks("kid", "children", CHILD)
-block("asked0", "SELECT question_id, 0 AS variant, text FROM asked", "asked")
-block(
-    "variants",
-    f"""
-SELECT question_id, 0 AS variant, text FROM asked
+def chunk_index(p, source):
+    """{p}parents, {p}children and index blocks {p}kid of a block (doc_id, text)."""
+    corpus.tier_blocks(f"{p}parents", f"{p}children", source)
+    index_blocks(f"{p}kid", f"{p}children", CHILD)
+
+
+def strategy_blocks(p, questions, k, index="kid", children="children", variants=None):
+    """{p}naive_hits, {p}multi_hits, {p}rerank_hits, {p}compressed_hits of question block ``questions`` at depth ``k``."""
+    if variants is None:
+        variants = f"{p}variants"
+        block(variants, variants_sql(questions, index), questions, f"{index}_df")
+    score_blocks(f"{p}kid_scored", index, CHILD, variants, "question_id, variant")
+    block(
+        f"{p}ranked",
+        f"SELECT *, row_number() OVER (PARTITION BY question_id, variant ORDER BY round(score, 9) DESC, {CHILD}) AS rank FROM {p}kid_scored",
+        f"{p}kid_scored",
+    )
+    block(
+        f"{p}naive_hits",
+        f"SELECT question_id, 'naive' AS method, rank, {CHILD}, score, text FROM {p}ranked JOIN {children} USING ({CHILD}) WHERE variant = 0 AND rank <= {k}",
+        f"{p}ranked",
+        children,
+    )
+    block(
+        f"{p}multi_hits",
+        f"""
+SELECT question_id, 'multi_query' AS method, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, {CHILD}) AS rank,
+       {CHILD}, score, text
+FROM (SELECT question_id, {CHILD}, max(score) AS score FROM {p}ranked WHERE rank <= {k} GROUP BY ALL) JOIN {children} USING ({CHILD})
+""",
+        f"{p}ranked",
+        children,
+    )
+    block(
+        f"{p}rerank_hits",
+        f"""
+SELECT question_id, 'reranking' AS method, place AS rank, {CHILD}, bm25 AS score, text FROM (
+  SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(bm25, 9) DESC, round(score, 9) DESC, {CHILD}) AS place
+  FROM {p}ranked WHERE variant = 0 AND rank <= {3 * k}) JOIN {children} USING ({CHILD}) WHERE place <= {k}
+""",
+        f"{p}ranked",
+        children,
+    )
+    block(f"{p}compressed_hits", compressed_sql(f"{p}naive_hits", questions), f"{p}naive_hits", questions)
+
+
+def compressed_sql(hits, questions):
+    return f"""
+SELECT question_id, 'contextual_compression' AS method, rank, {CHILD}, score, text FROM (
+  SELECT h.* EXCLUDE (text), array_to_string(list_filter(
+      string_split(regexp_replace(h.text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
+      lambda s: len(list_intersect(list_distinct({toks('s')}), list_distinct({toks('q.text')})))::DOUBLE
+                / len(list_distinct({toks('q.text')})) >= 0.2), ' ') AS text
+  FROM {hits} h JOIN {questions} q USING (question_id)) WHERE text <> ''
+"""
+
+
+def variants_sql(questions, index):
+    return f"""
+SELECT question_id, 0 AS variant, text FROM {questions}
 UNION ALL
 SELECT question_id, 1, string_agg(term, ' ') FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(idf, 9) DESC, term) AS rn
-  FROM (SELECT DISTINCT question_id, unnest({toks('text')}) AS term FROM asked) JOIN kid_df USING (term)) WHERE rn <= 5 GROUP BY 1
+  FROM (SELECT DISTINCT question_id, unnest({toks('text')}) AS term FROM {questions}) JOIN {index}_df USING (term)) WHERE rn <= 5 GROUP BY 1
 UNION ALL
 SELECT question_id, 1 + row_number() OVER (PARTITION BY question_id ORDER BY pos), part FROM (
   SELECT question_id, unnest(parts) AS part, unnest(range(len(parts))) AS pos
-  FROM (SELECT question_id, regexp_split_to_array(text, '[,;?.]| and ') AS parts FROM asked))
+  FROM (SELECT question_id, regexp_split_to_array(text, '[,;?.]| and ') AS parts FROM {questions}))
 WHERE len({toks('part')}) >= 3
-""",
-    "asked",
-    "kid_df",
-)
+"""
+
+
+block("asked", "SELECT item_id AS question_id, text FROM benchmark")
+index_blocks("doc", "documents", "doc_id")
+score_blocks("doc_scored", "doc", "doc_id", "asked", "question_id")
+
+index_blocks("kid", "children", CHILD)
+block("asked0", "SELECT question_id, 0 AS variant, text FROM asked", "asked")
+block("variants", variants_sql("asked", "kid"), "asked", "kid_df")
 score_blocks("kid_scored", "kid", CHILD, "variants", "question_id, variant")
 block(
     "ranked",
@@ -127,19 +184,7 @@ SELECT question_id, 'reranking' AS method, place AS rank, {CHILD}, bm25 AS score
     "ranked",
     "children",
 )
-block(
-    "compressed_hits",
-    f"""
-SELECT question_id, 'contextual_compression' AS method, rank, {CHILD}, score, text FROM (
-  SELECT h.* EXCLUDE (text), array_to_string(list_filter(
-      string_split(regexp_replace(h.text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
-      lambda s: len(list_intersect(list_distinct({toks('s')}), list_distinct({toks('q.text')})))::DOUBLE
-                / len(list_distinct({toks('q.text')})) >= 0.2), ' ') AS text
-  FROM naive_hits h JOIN asked q USING (question_id)) WHERE text <> ''
-""",
-    "naive_hits",
-    "asked",
-)
+block("compressed_hits", compressed_sql("naive_hits", "asked"), "naive_hits", "asked")
 block(
     "hits",
     " UNION ALL ".join(

@@ -9,14 +9,14 @@ from churnspark.streaming import events as S
 
 
 def stream(wh):
-    return S.read_events(wh.spark, wh.root, "events.parquet")
+    return S.read_events(wh.spark, f"{wh.root}/events.parquet")
 
 
 @query("STR1", "SELECT event_id, user_id AS account_id, ts, event_type FROM events")
 def stream_ingest(wh):
     """Every event arrives twice and is kept once."""
     twice = stream(wh).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    return S.run_available(S.deduplicated(twice), ["event_id"], "append")
+    return S.run_available(S.deduplicated(twice, S.backlog_delay(wh.events)), ["event_id"], "append")
 
 
 @query(
@@ -28,7 +28,7 @@ FROM (SELECT user_id, unnest(list_transform(range(30), lambda i: date_trunc('day
 """,
 )
 def stream_tickets(wh):
-    return S.run_available(S.tickets_sliding(stream(wh)), ["window_start", "window_end", "account_id"])
+    return S.run_available(S.tickets_sliding(stream(wh), delay=S.backlog_delay(wh.events)), ["window_start", "window_end", "account_id"])
 
 
 @query(
@@ -40,4 +40,4 @@ FROM events GROUP BY 1, 2
 """,
 )
 def stream_weekly(wh):
-    return S.run_available(S.engagement_weekly(stream(wh)), ["week_start", "account_id"])
+    return S.run_available(S.engagement_weekly(stream(wh), S.backlog_delay(wh.events)), ["week_start", "account_id"])

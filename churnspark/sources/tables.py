@@ -14,6 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnspark.operators.ranking import top_per_group
+from churnspark.session import materialize
 
 GAP_DAYS = 180
 FEATURES = 8
@@ -77,28 +78,38 @@ def accounts(wh: Warehouse, gap_days: int = GAP_DAYS) -> DataFrame:
     )
 
 
-def account_products(wh: Warehouse, level: str = "p_type") -> DataFrame:
+def account_lines(wh: Warehouse, accounts: DataFrame | None = None) -> DataFrame:
+    """Line items with their account (account_id, l_partkey, l_suppkey, revenue), of the given accounts only.
+
+    Accounts restrict the orders before these meet the line items.
+    """
+    revenue = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+    orders = wh.table("orders").select("o_orderkey", F.col("o_custkey").alias("account_id"))
+    if accounts is not None:
+        orders = orders.join(accounts.select("account_id"), "account_id", "left_semi")
+    lines = wh.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", revenue.alias("revenue"))
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        "account_id", "l_partkey", "l_suppkey", "revenue"
+    )
+
+
+def account_products(wh: Warehouse, level: str = "p_type", accounts: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """Distinct (account_id, product), products being the part's type or brand."""
+    lines = account_lines(wh, accounts) if lines is None else lines
+    parts = wh.table("part").select("p_partkey", F.col(level).alias("product"))
     return (
-        wh.table("lineitem")
-        .select("l_orderkey", "l_partkey")
-        .join(wh.table("part").select("p_partkey", level), F.col("l_partkey") == F.col("p_partkey"))
-        .join(wh.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .select(F.col("o_custkey").alias("account_id"), F.col(level).alias("product"))
+        lines.select("account_id", "l_partkey")
+        .distinct()
+        .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .select("account_id", "product")
         .distinct()
     )
 
 
-def account_competitors(wh: Warehouse, n: int = 2) -> DataFrame:
+def account_competitors(wh: Warehouse, n: int = 2, accounts: DataFrame | None = None, lines: DataFrame | None = None) -> DataFrame:
     """(account_id, position, competitor): the ``n`` suppliers with the highest revenue."""
-    revenue = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
-    spent = (
-        wh.table("lineitem")
-        .select("l_orderkey", "l_suppkey", revenue.alias("revenue"))
-        .join(wh.table("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .groupBy(F.col("o_custkey").alias("account_id"), "l_suppkey")
-        .agg(F.sum("revenue").alias("revenue"))
-    )
+    lines = account_lines(wh, accounts) if lines is None else lines
+    spent = lines.groupBy("account_id", "l_suppkey").agg(F.sum("revenue").alias("revenue"))
     ranked = top_per_group(spent, "account_id", [F.desc("revenue"), "l_suppkey"], n, "position")
     suppliers = wh.table("supplier").select("s_suppkey", F.col("s_name").alias("competitor"))
     return ranked.join(suppliers, F.col("l_suppkey") == F.col("s_suppkey")).select(
@@ -106,22 +117,22 @@ def account_competitors(wh: Warehouse, n: int = 2) -> DataFrame:
     )
 
 
-def competitor_columns(wh: Warehouse) -> DataFrame:
+def competitor_columns(wh: Warehouse, lines: DataFrame | None = None) -> DataFrame:
     """account_id, competitor_1, competitor_2."""
     return (
-        account_competitors(wh)
+        account_competitors(wh, lines=lines)
         .groupBy("account_id")
         .agg(*[F.max(F.when(F.col("position") == i, F.col("competitor"))).alias(f"competitor_{i}") for i in (1, 2)])
     )
 
 
-def product_rollup(wh: Warehouse) -> DataFrame:
+def product_rollup(wh: Warehouse, lines: DataFrame | None = None) -> DataFrame:
     """account_id, products_rollup: product names, one per line, in name order.
 
     A list holds at most the catalogue's product types, whatever the account's size.
     """
     return (
-        account_products(wh)
+        account_products(wh, lines=lines)
         .groupBy("account_id")
         .agg(F.array_join(F.array_sort(F.collect_list("product")), "\n").alias("products_rollup"))
     )
@@ -138,10 +149,15 @@ def narratives(wh: Warehouse) -> DataFrame:
 
 
 def churn_table(wh: Warehouse) -> DataFrame:
-    """Churned accounts with products, competitors and narrative: the account export's columns."""
+    """Churned accounts with products, competitors and narrative: the account export's columns.
+
+    Accounts and the line items of their orders are written once; products and competitors are both read off these.
+    """
+    churned = materialize(wh.churned, "churned")
+    lines = materialize(account_lines(wh, churned), "lines")
     return (
-        wh.churned.join(product_rollup(wh), "account_id", "left")
-        .join(competitor_columns(wh), "account_id", "left")
+        churned.join(product_rollup(wh, lines), "account_id", "left")
+        .join(competitor_columns(wh, lines), "account_id", "left")
         .join(narratives(wh), "account_id", "left")
     )
 

@@ -13,16 +13,33 @@ from churnspark.session import fresh_path
 EVENT_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, path: str, glob: str | None = None, max_files: int = 1000) -> DataFrame:
-    """Files of raw events as a stream; event time is a timestamp so that it can carry a watermark."""
-    reader = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", max_files)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+def read_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
+    """The files of one table (a file or a folder of files) as a stream, ``max_files`` at a time if given.
+
+    Event time is a timestamp so that it can carry a watermark.
+    """
+    # As a pattern the path may be a file or a folder; as a plain path it would have to be a folder.
+    if not any(c in path for c in "*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"
+    reader = spark.readStream.schema(EVENT_SCHEMA)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path).select(
         "event_id", F.col("user_id").alias("account_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type"
     )
 
 
+def backlog_delay(table: DataFrame, ts: str = "ts", delay_seconds: int = 86_400) -> str:
+    """Watermark delay under which nothing of a backlog is late, in whatever order its files are read.
+
+    It is the span of event times in the table plus the usual delay; with it the watermark stays behind the oldest
+    event until the whole backlog is read.
+    """
+    ends = table.agg(F.min(ts).cast("timestamp").cast("long").alias("first"), F.max(ts).cast("timestamp").cast("long").alias("last")).first()
+    span = (ends["last"] or 0) - (ends["first"] or 0)
+    return f"{span + delay_seconds} seconds"
+
+
 def deduplicated(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Each event once, as long as its copies come within the watermark; state is bounded by it."""
     marked = events.withWatermark("ts", delay)

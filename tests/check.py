@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 from datetime import date, datetime
@@ -75,7 +76,7 @@ def main(argv):
     import __spark_entry__ as entry
     from churnspark.session import local_session
 
-    spark = local_session()
+    spark = local_session(os.environ.get("CORES", "8"))
     con = duck(sf_dir)
     queries, checks = entry.queries(), entry.oracle_sql()
     failed = 0

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from churnspark import session
 from churnspark.functions import columns as C
 from churnspark.operators import chunking, dense, evaluation as E, graph as G, index as I, questions as Q, retrieval as R
+from churnspark.operators import ranking
+from churnspark.operators.profile import ranked_text
 from churnspark.operators.ranking import exact_quantiles
 from churnspark.operators.sizing import fits
 from churnspark.sources import readers, sinks
@@ -51,6 +53,52 @@ def test_exact_quantiles_with_hot_value(spark, by):
     assert len(got) == (3 if by else 1)
 
 
+@pytest.mark.parametrize("by", [(), ("g",)])
+def test_exact_quantiles_with_far_outliers(spark, monkeypatch, by):
+    monkeypatch.setattr(ranking, "SORTED", 50)
+    monkeypatch.setattr(ranking, "CELLS", 16)
+    values = [float(i) for i in range(3000)] + [1e18, -1e300, 1e300] + [5.5] * 400
+    rows = [("ab"[i % 7 == 0], v) for i, v in enumerate(values)]
+    probs = {"low": 0.25, "mid": 0.5, "top": 0.999}
+    got = exact_quantiles(spark.createDataFrame(rows, "g string, v double"), "v", probs, by).collect()
+    assert len(got) == (2 if by else 1)
+    for r in got:
+        own = [v for g, v in rows if not by or g == r.g]
+        for name, p in probs.items():
+            assert math.isclose(r[name], np.quantile(own, p), rel_tol=1e-9)
+
+
+def test_ranked_text_takes_all_items(spark):
+    df = spark.createDataFrame([("g", f"i{k:04}") for k in range(1500)], "g string, i string")
+    assert ranked_text(df, "g", "i", None, "t").first().t.count(";") == 1499
+
+
+def test_questions_filter_their_own_profiles(spark):
+    rows = [(i, "price " + "risk " * (i % 3), (["A", "B", None][i % 3], f"r{i % 2}", float(i * 100))) for i in range(12)]
+    profiles = spark.createDataFrame(rows, "doc_id bigint, text string, metadata struct<segment:string,churn_reason:string,arr_lost:double>")
+    asked = [("all", None, None, None, None), ("a", "A", None, None, None), ("r", None, "r1", 300.0, None), ("zero", None, None, None, 0.0), ("none", "C", None, None, None)]
+    schema = "question_id string, text string, segment string, churn_reason string, arr_from double, arr_to double"
+    questions = spark.createDataFrame([(q, "price", *c) for q, *c in asked], schema)
+    found = R.filtered(profiles, questions, 20).collect()
+    for q, segment, reason, low, high in asked:
+        want = {
+            i for i, _, (s, r, arr) in rows
+            if (segment is None or s == segment) and (reason is None or r == reason) and (low is None or arr >= low) and (high is None or arr <= high)
+        }
+        assert {r.doc_id for r in found if r.question_id == q} == want
+
+
+def test_pieces_of_fixed_texts():
+    cut = lambda t, size, overlap: [t[a:b] for a, b in chunking.split_spans(t, size, overlap)]
+    assert cut("one two three four", 9, 0) == ["one two ", "three ", "four"]
+    assert cut("one two three four", 9, 4) == ["one two ", "three ", "four"]
+    assert cut("aa bb cc dd", 6, 3) == ["aa bb ", "bb cc ", "cc dd"]
+    assert cut("First. Second. Third", 8, 0) == ["First. ", "Second. ", "Third"]
+    assert cut("p one\n\np two\nand more", 12, 0) == ["p one\n\n", "p two\n", "and more"]
+    assert cut("abcdefghij", 4, 0) == ["abcd", "efgh", "ij"]
+    assert cut("short", 10, 2) == ["short"]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab. \n", max_size=300), st.integers(5, 60), st.integers(0, 20))
 def test_split_spans(text, size, overlap):
@@ -108,8 +156,8 @@ def brute_tfidf(corpus, question):
     return sorted(scores.items(), key=lambda s: (-round(s[1], 9), s[0]))
 
 
-@pytest.mark.parametrize("force_join", [False, True])
-def test_text_top_k(spark, monkeypatch, force_join):
+@pytest.mark.parametrize("round_terms", [I.ROUND_TERMS, 3])
+def test_text_top_k(spark, monkeypatch, round_terms):
     from churnspark.operators import sparse
 
     monkeypatch.setattr(sparse, "BLOCK_QUESTIONS", 2)
@@ -119,7 +167,7 @@ def test_text_top_k(spark, monkeypatch, force_join):
     asked = [("q1", "price risk unknown"), ("q2", "churn"), ("q3", "team plan cost, value"), ("q4", "nothing here")]
     index = I.build(spark.createDataFrame(corpus, "doc_id bigint, text string"), ["doc_id"])
     questions = spark.createDataFrame(asked, "question_id string, text string")
-    found = I.best(index, questions, ["question_id"], 6, force_join=force_join).collect()
+    found = I.best(index, questions, ["question_id"], 6, round_terms=round_terms).collect()
     for key, text in asked:
         got = sorted((r["rank"], r.doc_id, r.score) for r in found if r.question_id == key)
         want = brute_tfidf(corpus, text)[:6]
@@ -127,15 +175,15 @@ def test_text_top_k(spark, monkeypatch, force_join):
         assert all(math.isclose(g[2], w[1], abs_tol=1e-12) for g, w in zip(got, want))
 
 
-def test_both_scoring_ways_agree_on_parents(spark):
+def test_rounds_agree_on_parents(spark):
     documents = spark.createDataFrame([(i, t * 30) for i, t in texts(12)], "doc_id bigint, text string")
     retriever = R.Retriever(documents)
     asked = R.original(spark.createDataFrame([(1, "price risk"), (2, "tenure")], "question_id bigint, text string"))
     ways = [
-        I.best(retriever.index, asked, ["question_id", "variant"], 4, parents=True, force_join=way)
+        I.best(retriever.index, asked, ["question_id", "variant"], 4, parents=True, round_terms=way)
         .select("question_id", "kind", "rank", "doc_id", "parent_no", "child_no", F.round("score", 9), F.round("bm25", 9))
         .collect()
-        for way in (False, True)
+        for way in (I.ROUND_TERMS, 2)
     ]
     assert sorted(map(str, ways[0])) == sorted(map(str, ways[1])) and {r.kind for r in ways[0]} == {"child", "parent"}
 
@@ -254,3 +302,25 @@ def test_late_events_are_dropped(spark, tmp_path):
     weeks = {str(r.week_start)[:10]: r.events for r in S.run_available(S.engagement_weekly(events), ["week_start", "account_id"]).collect()}
     # The late event of January 2nd comes after its week is closed.
     assert weeks == {"2023-12-28": 1, "2024-01-18": 3}
+
+
+@pytest.mark.parametrize("folder", [True, False])
+@pytest.mark.parametrize("max_files", [1, 2, 1000])
+def test_no_event_of_a_backlog_is_lost(spark, tmp_path, folder, max_files):
+    from datetime import datetime, timedelta
+
+    rng = random.Random(5)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=rng.randrange(4000)), rng.randrange(5), rng.choice(["error", "click"]), 1.0, "{}") for i in range(300)]
+    path = str(tmp_path / "events.parquet")
+    spark.createDataFrame(rows, S.EVENT_SCHEMA).repartition(6 if folder else 1).write.parquet(path)
+    if not folder:
+        path = next(str(p) for p in (tmp_path / "events.parquet").iterdir() if p.suffix == ".parquet")
+    table = spark.read.parquet(path)
+    delay = S.backlog_delay(table)
+    events = S.read_events(spark, path, max_files)
+    tickets = S.run_available(S.tickets_sliding(events, delay=delay), ["window_start", "window_end", "account_id"]).collect()
+    assert sum(r.tickets for r in tickets) == 30 * sum(r[3] == "error" for r in rows)
+    weeks = S.run_available(S.engagement_weekly(events, delay), ["week_start", "account_id"]).collect()
+    assert sum(r.events for r in weeks) == len(rows)
+    kept = S.run_available(S.deduplicated(events.union(events), delay), ["event_id"], "append").collect()
+    assert sorted(r.event_id for r in kept) == list(range(300))
