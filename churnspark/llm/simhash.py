@@ -164,6 +164,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = members.groupBy("component").agg(F.min("least").alias("linked_id"))
     linked_least = members.join(least, "component").select(F.col("node").alias("bits"), "linked_id")
     classes = smallest.join(linked_least, "bits", "left").select("bits", F.coalesce("linked_id", "least").alias("component_id"))
+    # Written before the join: between two plain exchanges Spark can split the fingerprint of a large group of copies.
+    classes = materialize(classes, "classes")
     return prints.join(classes, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
