@@ -214,7 +214,7 @@ def _content(nodes: list[Node], body: Node) -> list[Node]:
         here = next(i for i, p in enumerate(beside) if id(p) in on_path)
         for i, part in enumerate(beside):
             heading = i < here and part.tag in HEADINGS
-            if part.chars and not part.link_chars and (heading or part.density >= threshold > 0):
+            if i != here and part.chars and not part.link_chars and (heading or part.density >= threshold > 0):
                 chosen.add(id(part))
     chosen.add(id(best))
     return [n for n in nodes if id(n) in chosen]
