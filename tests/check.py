@@ -74,7 +74,7 @@ def main(argv):
         sf_dir, argv = argv[1], argv[2:]
     sys.path.insert(0, str(__import__("pathlib").Path(__file__).resolve().parent.parent))
     import __spark_entry__ as entry
-    from churnspark.session import local_session
+    from churnspark.session import local_session, release
 
     spark = local_session(os.environ.get("CORES", "8"))
     con = duck(sf_dir)
@@ -92,6 +92,7 @@ def main(argv):
         except Exception as error:  # noqa: BLE001 - report and go on
             problem, n = f"{type(error).__name__}: {str(error)[:1500]}", -1
         failed += problem is not None
+        release(spark)
         mark = "FAIL" if problem else ("ok  " if name in checks else "rows")
         print(f"{mark} {name:32s} {n:7d} rows {time.time() - start:6.1f}s {problem or ''}", flush=True)
     print(f"{failed} failed")
