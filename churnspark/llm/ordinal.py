@@ -73,7 +73,7 @@ class Model:
         return float(above.sum()), float(above[-1])
 
 
-def fit(rows: list[tuple[int, list[int], list[float]]], epochs: int = 250, penalty: float = 7e-4, rate: float = 0.05, least: float = 0.0015) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 250, penalty: float = 7e-4, rate: float = 0.05, least: float = 0.0015) -> Model:
     """Maximum likelihood of (grade, slots, values), in two passes.
 
     The first pass has a penalty on the weights' sizes and selects features; slots seen in less than the share
@@ -83,9 +83,9 @@ def fit(rows: list[tuple[int, list[int], list[float]]], epochs: int = 250, penal
     grades = np.array([r[0] for r in rows], np.int64)
     if len(np.unique(grades)) < 2:
         return Model(np.zeros(1 << BITS, np.float32), np.linspace(-6.0, -5.0, GRADES - 1))
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    slots = np.concatenate([np.asarray(r[1], np.int64) for r in rows])
-    values = np.concatenate([np.asarray(r[2], np.float64) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
+    slots = np.concatenate([np.asarray(r[1], np.int32) for r in rows])
+    values = np.concatenate([np.asarray(r[2], np.float32) for r in rows])
     used = np.flatnonzero(np.bincount(slots, minlength=1 << BITS) >= max(2, least * len(rows)))
     found = _descend(grades, row, slots, values, used, epochs, penalty, rate)[0]
     used = used[np.abs(found) >= 0.02]
@@ -97,7 +97,7 @@ def fit(rows: list[tuple[int, list[int], list[float]]], epochs: int = 250, penal
 
 def _descend(grades, row, slots, values, used, epochs, penalty, rate):
     """Weights of the slots in ``used`` and thresholds, by Adam over all rows; rare grades weigh more."""
-    at = np.full(1 << BITS, -1)
+    at = np.full(1 << BITS, -1, np.int32)
     at[used] = np.arange(len(used))
     keep = at[slots] >= 0
     row, column, values = row[keep], at[slots[keep]], values[keep]
@@ -129,28 +129,28 @@ def _descend(grades, row, slots, values, used, epochs, penalty, rate):
 
 
 def labelled(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """(grade, slots, values) of a bounded sample of labelled documents, whole texts. Labels without a quality are skipped."""
+    """(grade, slots, values) of a bounded sample of labelled documents, whole texts; slots and values as the bytes of
+    32-bit arrays. Labels without a quality are skipped."""
     grade = F.coalesce("quality", F.lit(0)) + 1 - F.coalesce("toxic", F.lit(0))
     kept = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(grade).alias("grade"))
     order = F.xxhash64("doc_id", F.lit(17))
     sample = kept.orderBy(order, "doc_id").limit(rows)
-    schema = pa.schema([("grade", pa.int32()), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
+    schema = pa.schema([("grade", pa.int32()), ("slots", pa.binary()), ("values", pa.binary())])
 
     def featured(batches):
         for batch in batches:
             for g, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = features(text.as_py())
-                yield g, list(found), list(found.values())
+                yield g, np.fromiter(found, np.int32, len(found)).tobytes(), np.fromiter(found.values(), np.float32, len(found)).tobytes()
 
     # The sample is at most ``rows`` pairs of integers, so it may be broadcast and no text is shuffled.
-    return documents.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(arrow_rows(schema, featured, 256), "grade int, slots array<int>, values array<float>")
+    return documents.join(F.broadcast(sample), "doc_id").select("grade", "text").mapInArrow(arrow_rows(schema, featured, 256), "grade int, slots binary, values binary")
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **options) -> Model:
     """Fit on a bounded sample. The order of collected rows is made the same in every run."""
-    found = [(r["grade"], r["slots"], r["values"]) for r in labelled(documents, labels, rows).collect()]
-    found.sort(key=lambda r: (r[0], len(r[1]), sorted(r[1])))
-    return fit(found, **options)
+    found = sorted((r["grade"], bytes(r["slots"]), bytes(r["values"])) for r in labelled(documents, labels, rows).collect())
+    return fit([(g, np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for g, s, v in found], **options)
 
 
 def graded(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, accept: float = ACCEPT, extra: tuple[str, ...] = ()) -> DataFrame:
