@@ -41,7 +41,7 @@ def test_bands_and_texts(spark):
     assert (low.days_until_churn, low.urgency.level, low.risk_reason) == (60, "MEDIUM", "Product fit concerns")
     assert len(high.insights) == 5 and len(low.insights) == 0
     assert [r[:2] for r in high.recommendations] == ["1.", "2.", "3.", "4.", "5."]
-    assert "currently 10%, target 35%" in high.recommendations[1]
+    assert "(currently 10%)" in high.recommendations[1] and "Target 35% within 60 days" in high.recommendations[1]
     assert len(low.recommendations) == 2
     assert "Customer metrics within normal range" in low.report
     assert (high.i_engagement, high.i_product_usage, high.i_support_health, high.i_relationship_strength) == ("Poor", "Low", "At Risk", "Weak")
