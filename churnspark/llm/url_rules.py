@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from churnspark.llm.common import arrow_rows, components
+from churnspark.session import materialize
 
 # The rules of the url query, as (host, path, verdict).
 RULES = (
@@ -115,7 +116,8 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None, id_
     def place(c):
         return F.struct(host_of(F.col(c)).alias("host"), path_of(F.col(c)).alias("path"), node(c).alias("node"))
 
-    edges = edges.select(place("url").alias("a"), place("target").alias("b")).where("a.host <> '' and b.host <> ''")
+    # Written, as it is read three times and the pages' html should be read once.
+    edges = materialize(edges.select(place("url").alias("a"), place("target").alias("b")).where("a.host <> '' and b.host <> ''"), "redirects")
     joined = components(edges.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")))
     # Urls that are only named by others can be blocked by a rule too, so all ends of edges are judged.
     ends = edges.select("a.*").union(edges.select("b.*")).distinct()
