@@ -19,12 +19,16 @@ from churnspark.llm.common import arrow_rows, documents_of, row_of, words
 #: Grade of a rating: quality (0 or 1), plus 1 if it is not toxic.
 GRADES = 3
 BITS = 18
+#: Lengths in bytes of the beginnings of words that are features too; inflected forms share them.
+PREFIXES = (4, 5)
 #: The model is fitted on at most this many labelled documents, those with the smallest hash of their id.
 FIT_ROWS = 12_000
 #: A document is accepted if the probability of the top grade reaches this.
 ACCEPT = 0.5
 #: Classes of the shape of a token: lower-case and non-ASCII letters, capitals, digits; other signs stay.
 _CLASSES = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
+#: Features of every text: shares of odd tokens, of capitals, of repeated tokens, and whether it has none.
+SHARES = (b"odd", b"shouted", b"same", b"empty")
 _PLAIN = re.compile(rb"^[Aa0]+(?:['-][Aa0]+)*[,.;:?]?$")
 
 
@@ -33,12 +37,13 @@ def _slot(kind: bytes, value: bytes) -> int:
 
 
 def features(text: str) -> dict[int, float]:
-    """Hashed features of a whole text: presence of words and of words' first five bytes, and shares of token shapes, odd tokens and repeats."""
+    """Hashed features of a whole text: presence of words and of words' first bytes, and shares of token shapes, odd tokens and repeats."""
     raw = text.encode()
     digest, shift = xxhash.xxh64_intdigest, 64 - BITS
     distinct = set(words(text))
     out = dict.fromkeys([digest(w) >> shift for w in distinct], 1.0)
-    out.update(dict.fromkeys([digest(w, 1) >> shift for w in {w[:5] for w in distinct if len(w) > 5}], 1.0))
+    for n in PREFIXES:
+        out.update(dict.fromkeys([digest(w, n) >> shift for w in {w[:n] for w in distinct if len(w) > n}], 1.0))
     shapes = Counter(re.sub(rb"a{2,}", b"a", re.sub(rb"A{2,}", b"A", re.sub(rb"0{2,}", b"0", raw.translate(_CLASSES)))).split())
     total = max(shapes.total(), 1)
     odd = shouted = 0
@@ -51,9 +56,8 @@ def features(text: str) -> dict[int, float]:
             shouted += n
     tokens = raw.split()
     same = sum(map(bytes.__eq__, tokens, tokens[1:]))
-    for kind, n in ((b"odd", odd), (b"shouted", shouted), (b"same", same)):
+    for kind, n in zip(SHARES, (odd, shouted, same, total * (not tokens))):
         out[_slot(b"share:", kind)] = 10.0 * (n / total) ** 0.5
-    out[_slot(b"share:", b"empty")] = float(not tokens)
     return out
 
 
@@ -73,11 +77,12 @@ class Model:
         return float(above.sum()), float(above[-1])
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 250, penalty: float = 7e-4, rate: float = 0.05, least: float = 0.0015) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 250, penalty: float = 1e-3, rate: float = 0.05, least: float = 0.0015, most: float = 0.1) -> Model:
     """Maximum likelihood of (grade, slots, values), in two passes.
 
     The first pass has a penalty on the weights' sizes and selects features; slots seen in less than the share
-    ``least`` of the rows, or once, are left out. The second pass fits the selected features almost without penalty.
+    ``least`` of the rows, or once, or in more than the share ``most`` are left out, but for the shares of odd tokens,
+    capitals and repeats. Without the common words a score does not grow with the length of a text. The second pass fits the selected features almost without penalty.
     Without rows, or with one grade only, every weight is 0 and the thresholds accept everything.
     """
     grades = np.array([r[0] for r in rows], np.int64)
@@ -86,7 +91,10 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 250, penal
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
     slots = np.concatenate([np.asarray(r[1], np.int32) for r in rows])
     values = np.concatenate([np.asarray(r[2], np.float32) for r in rows])
-    used = np.flatnonzero(np.bincount(slots, minlength=1 << BITS) >= max(2, least * len(rows)))
+    seen = np.bincount(slots, minlength=1 << BITS)
+    chosen = (seen >= max(2, least * len(rows))) & (seen <= most * len(rows))
+    chosen[[_slot(b"share:", kind) for kind in SHARES]] = True
+    used = np.flatnonzero(chosen & (seen > 0))
     found = _descend(grades, row, slots, values, used, epochs, penalty, rate)[0]
     used = used[np.abs(found) >= 0.02]
     found, thresholds = _descend(grades, row, slots, values, used, 2 * epochs, 1e-6, 2 * rate)

@@ -343,7 +343,7 @@ def test_gradient_of_the_ordinal_loss():
     score = x @ np.array([2.0, -1.0, 0.0]) + r.logistic(size=600)
     grades = (score > -1).astype(int) + (score > 1.5)
     rows = [(int(g), [5, 6, 7], v.tolist()) for g, v in zip(grades, x)]
-    model = ordinal.fit(rows, penalty=1e-4)
+    model = ordinal.fit(rows, penalty=1e-4, most=1.0)
     assert model.weights[5] == pytest.approx(2.0, abs=0.4) and model.weights[6] == pytest.approx(-1.0, abs=0.3) and abs(model.weights[7]) < 0.25
     assert model.thresholds[0] == pytest.approx(-1.0, abs=0.6) and model.thresholds[1] == pytest.approx(1.5, abs=0.6)
     expected, top = model.grade(10.0)
