@@ -57,6 +57,14 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the settings that may be changed at run time and send the package to the executors."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    ship_package(spark)
+    return spark
+
+
 #: Local-mode fallback folders, by application.
 _LOCAL_DIRS: dict[str, str] = {}
 
