@@ -83,10 +83,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id; of rows that share it, one."""
+    # One key for the join and for repeated ids, null included, so that texts are placed once.
+    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")
     grouped = simhash.near_duplicates(docs)
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    chosen = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
