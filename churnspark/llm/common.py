@@ -28,6 +28,14 @@ def documents_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added while ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_of(columns: tuple[str, ...]) -> list:
     """Columns that were carried as _0, _1, ... as one struct ``row`` under their own names; none for no columns."""
     return [F.struct(*[F.col(f"_{i}").alias(c) for i, c in enumerate(columns)]).alias("row")] if columns else []

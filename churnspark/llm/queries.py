@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnspark.llm import best_fit, bwt_repeats, char_lm, external_shuffle, html_density, imatch, ordinal, simhash, url_rules, winnowing
+from churnspark.llm.common import free_name
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +85,10 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id; of rows that share it, one."""
     # One key for the join and for repeated ids, null included, so that texts are placed once.
-    key = F.coalesce("doc_id", F.lit(-(2**63))).alias("_key")
+    name, key = free_name(docs, "_key"), F.coalesce("doc_id", F.lit(-(2**63)))
     grouped = simhash.near_duplicates(docs)
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias(name)).distinct()
+    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -105,7 +106,8 @@ PASSAGE_BYTES, PASSAGE_GRAM = 200, 64
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    return winnowing.marked(docs, _table(spark, sf_dir, "benchmark")).where(~F.col("_contaminated")).drop("_contaminated")
+    mark = free_name(docs, "_contaminated")
+    return winnowing.marked(docs, _table(spark, sf_dir, "benchmark"), mark).where(~F.col(mark)).drop(mark)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

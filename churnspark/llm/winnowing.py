@@ -157,12 +157,12 @@ def _searched(docs: DataFrame, items, span: int, gram: int, keep_text: bool) ->
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(arrow_rows(schema, rows, 512), columns)
 
 
-def marked(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, round_bytes: int = ROUND_BYTES) -> DataFrame:
-    """The rows of ``df`` with a column ``_contaminated``: whether a window of an item occurs in the text.
+def marked(df: DataFrame, benchmark: DataFrame, mark: str = "_contaminated", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = SPAN, gram: int = GRAM, round_bytes: int = ROUND_BYTES) -> DataFrame:
+    """The rows of ``df`` with a column ``mark``: whether a window of an item occurs in the text.
 
     One pass over whole rows per round of the benchmark; nothing is shuffled.
     """
-    out = df.withColumn("_contaminated", F.lit(False))
+    out = df.withColumn(mark, F.lit(False))
     names = out.columns
     text_at = names.index(text_col)
     for items in rounds_of(benchmark, item_col, item_text_col, round_bytes):
