@@ -48,8 +48,10 @@ MARKS = frozenset(
     "breadcrumb breadcrumbs sidebar side aside footer header masthead topbar toolbar comment comments disqus reply "
     "replies respond responses discussion share sharing social related recommended recommendations newsletter subscribe "
     "subscription signup login search form widget pagination pager copyright legal disclaimer complementary contentinfo "
-    "skip hidden".split()
+    "skip hidden commentlist commentform subnav topnav sidenav adbox adslot adunit leaderboard".split()
 )
+#: After one of these words a mark tells about the layout around the element, not about the element.
+ABOUT = frozenset("has with no without".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -66,8 +68,11 @@ class Node:
 def marked(attrs) -> bool:
     """Whether class, id, role or a hiding attribute says that the element is not part of the article."""
     for name, value in attrs:
-        if name in ("class", "id", "role") and value and not MARKS.isdisjoint(t.lower() for t in _TOKEN.findall(value)):
-            return True
+        if name in ("class", "id", "role") and value:
+            for word in value.split():
+                tokens = [t.lower() for t in _TOKEN.findall(word)]
+                if any(t in MARKS and before not in ABOUT for before, t in zip(["", *tokens], tokens)):
+                    return True
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):

@@ -32,6 +32,8 @@ PARAGRAPH = "A paragraph of plain text that is long enough to be dense, with com
         (f"<p>{PARAGRAPH}<table><tr><td>a<td>b<tr><td>c</table>", f"{PARAGRAPH}\na\nb\nc"),
         (f"<article><div class=ad>Buy</div><p><b>{PARAGRAPH}<br><p>next</article></div></p><p>", f"{PARAGRAPH}\nnext"),
         (f"<!-- c --><body><main><header>Site</header><p>{PARAGRAPH}</p><aside>Note</aside><blockquote>Said</blockquote></main>", f"{PARAGRAPH}\nSaid"),
+        (f"<body class='has-sidebar'><div class='wrap with-sidebar no-ads'><p>{PARAGRAPH}</p><ol class=commentlist><li>Me too</ol></div>", PARAGRAPH),
+        (f"<div class='pageHeader'>Top</div><div class=story><h2>Head</h2><p>{PARAGRAPH}</p><div id='ad-3'>Buy</div><p>{PARAGRAPH}</p></div>", f"Head\n{PARAGRAPH}\n{PARAGRAPH}"),
         ("<article><p>x", "x"),
         ("<a <b <p>", ""),
     ],
