@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -18,6 +19,8 @@ from churnspark.session import materialize
 
 # BM25 parameters (Robertson and Zaragoza, 2009).
 BM25_K1, BM25_B = 1.2, 0.75
+#: A token of a lower-case text: letters and digits, as in ``functions.columns.tokens``.
+TOKEN = re.compile(r"[^\W_]+")
 #: Rows of one output batch of counted terms.
 BATCH_TERMS = 65_536
 
@@ -59,7 +62,7 @@ def counted_texts(texts: DataFrame, keys: list[str], text: str = "text") -> Data
                 return pa.RecordBatch.from_arrays([*taken.columns, *made], schema=arrow)
 
             for row, cell in enumerate(batch.column(len(keys))):
-                words = cell.as_py() or []
+                words = TOKEN.findall(cell.as_py() or "")
                 found = Counter(words) or {None: 0}
                 rows += [row] * len(found)
                 terms += found.keys()
@@ -71,7 +74,7 @@ def counted_texts(texts: DataFrame, keys: list[str], text: str = "text") -> Data
                     rows, terms, tf, length, first = [], [], [], [], []
             yield full()
 
-    return texts.select(*keys, tokens(text).alias("words")).mapInArrow(count, schema)
+    return texts.select(*keys, F.lower(text).alias("_lower")).mapInArrow(count, schema)
 
 
 def idf(n, df) -> Column:

@@ -188,6 +188,14 @@ def test_rounds_agree_on_parents(spark):
     assert sorted(map(str, ways[0])) == sorted(map(str, ways[1])) and {r.kind for r in ways[0]} == {"child", "parent"}
 
 
+def test_both_ways_of_cutting_tokens_agree(spark):
+    odd = ["a_b c-d", "Émile ÉCOLE ñ 3½ x² Ⅷ", "naïve\u0301 e\u0301", "日本語 text😀tail", "", "'quoted' 1,000.5", "ß ẞ ﬁ \u200bzero", "tab\tnew\nline"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id bigint, text string")
+    native = {(r.doc_id, r.w) for r in df.select("doc_id", F.explode(C.tokens("text")).alias("w")).collect()}
+    counted = {(r.doc_id, r.term) for r in I.counted_texts(df, ["doc_id"]).collect() if r.term is not None}
+    assert native == counted
+
+
 def test_filtered_is_part_of_unfiltered(spark):
     documents = spark.createDataFrame(texts(40), "doc_id bigint, text string")
     questions = spark.createDataFrame([(1, "price of support")], "question_id bigint, text string")
