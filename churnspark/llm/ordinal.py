@@ -22,7 +22,7 @@ BITS = 18
 #: Lengths in bytes of the beginnings of words that are features too; inflected forms share them.
 PREFIXES = (4, 5)
 #: The model is fitted on at most this many labelled documents, those with the smallest hash of their id.
-FIT_ROWS = 12_000
+FIT_ROWS = 8_000
 #: A document is accepted if the probability of the top grade reaches this.
 ACCEPT = 0.5
 #: Classes of the shape of a token: lower-case and non-ASCII letters, capitals, digits; other signs stay.
@@ -95,6 +95,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = 250, penal
     chosen = (seen >= max(2, least * len(rows))) & (seen <= most * len(rows))
     chosen[[_slot(b"share:", kind) for kind in SHARES]] = True
     used = np.flatnonzero(chosen & (seen > 0))
+    # Only entries of chosen slots are held while fitting.
+    keep = chosen[slots]
+    row, slots, values = row[keep], slots[keep], values[keep]
     found = _descend(grades, row, slots, values, used, epochs, penalty, rate)[0]
     used = used[np.abs(found) >= 0.02]
     found, thresholds = _descend(grades, row, slots, values, used, 2 * epochs, 1e-6, 2 * rate)
@@ -157,8 +160,9 @@ def labelled(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> D
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **options) -> Model:
     """Fit on a bounded sample. The order of collected rows is made the same in every run."""
-    found = sorted((r["grade"], bytes(r["slots"]), bytes(r["values"])) for r in labelled(documents, labels, rows).collect())
-    return fit([(g, np.frombuffer(s, np.int32), np.frombuffer(v, np.float32)) for g, s, v in found], **options)
+    found = labelled(documents, labels, rows).collect()
+    found.sort(key=lambda r: (r["grade"], r["slots"], r["values"]))
+    return fit([(r["grade"], np.frombuffer(r["slots"], np.int32), np.frombuffer(r["values"], np.float32)) for r in found], **options)
 
 
 def graded(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = FIT_ROWS, accept: float = ACCEPT, extra: tuple[str, ...] = ()) -> DataFrame:
