@@ -2,7 +2,8 @@
 
 Pass 1 scatters rows uniformly by seeded hashes: to a shard (the shard with the largest hash of id and shard wins, so
 one more shard takes rows only into itself), and within the shard to one of several buckets that fit in memory.
-Pass 2 shuffles each bucket by itself (Fisher-Yates, ``functions.shuffle``) and lays the buckets of a shard end to end.
+Pass 2 shuffles each bucket by itself (Fisher-Yates, ``functions.shuffle``), writes its whole records in that order and
+lays the buckets of a shard end to end. What the query reports is read from the written shards.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
+from churnspark.llm.common import free_name
 from churnspark.session import fresh_path
 
 #: Mean bytes of the records of one bucket.
@@ -28,15 +30,6 @@ def _shard(doc, shards: int, seed: int):
     return F.array_max(draws)["s"]
 
 
-def scatter(df: DataFrame, shards: int, seed: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pass 1 as columns: doc_id, size, text_crc32, shard, grown_shard. Only the id and the shard count decide."""
-    doc, text = F.col(f"`{id_col}`").cast("bigint"), F.col(f"`{text_col}`").cast("string")
-    raw = F.coalesce(text, F.lit("")).cast("binary")
-    return df.select(doc.alias("doc_id"), (F.octet_length(raw) + 16).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32")).select(
-        "doc_id", "size", "text_crc32", _shard(F.col("doc_id"), shards, seed).alias("shard"), _shard(F.col("doc_id"), shards + 1, seed).alias("grown_shard")
-    )
-
-
 def buckets_per_shard(rows: int, size: int, shards: int, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> int:
     return max(1, math.ceil(max(size / bucket_bytes, rows / bucket_rows) / shards))
 
@@ -44,32 +37,27 @@ def buckets_per_shard(rows: int, size: int, shards: int, bucket_bytes: int = BUC
 def external_shuffle(df: DataFrame, shards: int, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ('key'), shard, slot, grown_shard.
 
-    ``slot`` runs from 0 without gaps within each shard. A null text has size 16 and the checksum of no bytes. Repeated
-    rows and null ids are rows like any other (equal ids share a shard). An empty table gives no rows.
+    The whole records are written by ``write_shards``, and shard and slot are the places they have there. ``slot`` runs
+    from 0 without gaps within each shard. A null text has size 16 and the checksum of no bytes. Repeated rows and null
+    ids are rows like any other (equal ids share a shard). An empty table gives no rows.
     """
-    dealt = scatter(df, shards, seed, id_col, text_col)
-    total = df.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))).alias("bytes")).first()
-    sub = buckets_per_shard(total["n"], (total["bytes"] or 0) + 16 * total["n"], shards, bucket_bytes, bucket_rows)
-    # Rows of one id are spread over the buckets of their shard by their checksum as well.
-    dealt = dealt.withColumn("bucket", F.pmod(_draw(seed + 1, "doc_id", "text_crc32"), F.lit(sub)).cast("int"))
-    record = F.struct("doc_id", "size", "text_crc32", "grown_shard")
-    filled = dealt.groupBy("shard", "bucket").agg(F.sort_array(F.collect_list(record)).alias("rows"))
-    # Buckets are in a fixed order within each task, so a task that is run again draws the same shuffles.
-    mixed = filled.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("rows", seed).alias("rows"))
+    path = write_shards(df, shards, None, seed, id_col, bucket_rows, text_col, bucket_bytes)
+    name = _names(df)
+    kinds = [f"`{id_col}` {dict(df.dtypes)[id_col]}", *(f"{name[c]} {t}" for c, t in _KINDS.items())]
+    written = df.sparkSession.read.schema(", ".join(kinds)).parquet(path)
+    placed = written.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), *[F.col(name[c]).alias(c) for c in _KINDS])
     # Starts of the buckets: as many rows as there are buckets.
-    counts = dealt.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(_up_to_previous()), F.lit(0))
     starts = counts.select("shard", "bucket", before.alias("start"))
-    placed = mixed.join(starts, ["shard", "bucket"])
-    out = placed.select("shard", "start", F.posexplode("rows").alias("pos", "r"))
-    return out.select(
-        "r.doc_id",
-        "r.size",
-        "r.text_crc32",
+    return placed.join(starts, ["shard", "bucket"]).select(
+        "doc_id",
+        "size",
+        "text_crc32",
         F.lit("key").alias("law"),
         "shard",
         (F.col("start") + F.col("pos")).cast("bigint").alias("slot"),
-        "r.grown_shard",
+        "grown_shard",
     )
 
 
@@ -79,15 +67,55 @@ def _up_to_previous():
     return Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def write_shards(df: DataFrame, shards: int, path: str | None = None, seed: int = 1, id_col: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> str:
+#: Columns that are written beside those of a record.
+_KINDS = {"size": "bigint", "text_crc32": "bigint", "grown_shard": "int", "pos": "int", "shard": "int", "bucket": "int"}
+
+
+def _names(df: DataFrame) -> dict[str, str]:
+    """Names of the columns beside the record's own that do not clash with them."""
+    return {c: free_name(df, c) for c in _KINDS}
+
+
+def write_shards(
+    df: DataFrame,
+    shards: int,
+    path: str | None = None,
+    seed: int = 1,
+    id_col: str = "doc_id",
+    bucket_rows: int = BUCKET_ROWS,
+    text_col: str = "text",
+    bucket_bytes: int = BUCKET_BYTES,
+) -> str:
     """Write whole records: ``path/shard=s/bucket=b`` holds the shuffled records of one bucket of one shard.
 
-    Both passes on whole rows: one exchange to the buckets, then a sort by a seeded draw inside the task, which spills.
+    Beside the record stand its size, checksum, ``grown_shard`` and ``pos``, its place in the bucket; names that the
+    record has itself get underscores. One exchange of whole records to the buckets; a bucket is held by one task.
     """
     path = path or fresh_path(df.sparkSession, "shards")
-    sub = buckets_per_shard(df.count(), 0, shards, bucket_rows=bucket_rows)
+    name = _names(df)
     doc = F.col(f"`{id_col}`").cast("bigint")
-    every = F.xxhash64(F.lit(seed + 1), *[F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith("map")])
-    dealt = df.withColumns({"shard": _shard(doc, shards, seed), "bucket": F.pmod(every, F.lit(sub)).cast("int"), "_draw": F.xxhash64(F.lit(seed + 2), every)})
-    dealt.repartition("shard", "bucket").sortWithinPartitions("shard", "bucket", "_draw").drop("_draw").write.partitionBy("shard", "bucket").parquet(path)
+    raw = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
+    sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary") and c != text_col]
+    held = F.octet_length(raw) + sum(sizes, F.lit(16))  # bytes of the whole record that can be long
+    total = df.agg(F.count("*").alias("n"), F.sum(held.cast("bigint")).alias("bytes")).first()
+    sub = buckets_per_shard(total["n"], total["bytes"] or 0, shards, bucket_bytes, bucket_rows)
+    maps = {c for c, t in df.dtypes if t.startswith("map")}
+    own = [(F.map_entries(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)]
+    dealt = df.select(
+        _shard(doc, shards, seed).alias("shard"),
+        # Rows of one id are spread over the buckets of their shard by their checksum as well.
+        F.pmod(_draw(seed + 1, doc, F.crc32(raw)), F.lit(sub)).cast("int").alias("bucket"),
+        F.struct(
+            doc.alias("doc"), (F.octet_length(raw) + 16).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), _shard(doc, shards + 1, seed).alias("grown_shard"), *own
+        ).alias("record"),
+    )
+    # Rows go to their buckets one by one: no task gathers records before the exchange, and a task has about one bucket.
+    filled = dealt.repartition(shards * sub, "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("record")).alias("rows"))
+    # Buckets are in a fixed order within each task, so a task that is run again draws the same shuffles.
+    mixed = filled.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("rows", seed).alias("rows"))
+    laid = mixed.select("shard", "bucket", F.posexplode("rows").alias("pos", "r"))
+    back = [(F.map_from_entries(f"r._{i}") if c in maps else F.col(f"r._{i}")).alias(c) for i, c in enumerate(df.columns)]
+    beside = [F.col(f"r.{c}" if c in ("size", "text_crc32", "grown_shard") else c).alias(name[c]) for c in _KINDS]
+    keys = [name["shard"], name["bucket"]]
+    laid.select(*back, *beside).sortWithinPartitions(*keys, name["pos"]).write.partitionBy(*keys).parquet(path)
     return path

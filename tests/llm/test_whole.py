@@ -1,8 +1,12 @@
 """Whole results where an operator once did less than its whole job."""
 
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
-from churnspark.llm import char_lm
+from churnspark import session
+from churnspark.llm import char_lm, external_shuffle
+from pyspark.sql import functions as F
 
 # Languages
 
@@ -24,3 +28,27 @@ def test_model_holds_every_gram(spark, part_bytes):
     assert char_lm.entropies(model, texts) == pytest.approx(char_lm.entropies(known, texts), rel=1e-4)
     found = char_lm.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), model).collect()
     assert {r["doc_id"]: r["lang_pred"] for r in found} == {i: x for i, _, x in rows}
+
+
+# Shards
+
+
+def test_written_records_lie_in_the_reported_slots(spark, make, monkeypatch):
+    paths = []
+    monkeypatch.setattr(external_shuffle, "fresh_path", lambda s, label: paths.append(session.fresh_path(s, label)) or paths[-1])
+    pairs = [(i, f"text {i} " * (i % 5)) for i in range(300)] + [(None, None), (None, None), (5, "other")]
+    docs = make(pairs).withColumns({"shard": F.lit("own"), "bucket": F.col("n") + 1, "pos": F.create_map(F.lit("k"), F.col("n"))})
+    found = external_shuffle.external_shuffle(docs, 3, bucket_bytes=500).collect()
+    written = spark.read.parquet(paths[0])
+    rows = written.collect()
+    assert Counter((r["doc_id"], r["text"], r["shard"], r["bucket"], r["pos"]["k"]) for r in rows) == Counter((i, t, "own", k + 1, k) for k, (i, t) in enumerate(pairs))
+    buckets = defaultdict(list)
+    for r in rows:
+        buckets[r["shard_"], r["bucket_"]].append((r["pos_"], r["doc_id"], r["text_crc32"]))
+    assert len(buckets) > 9  # by bytes; one bucket per shard by rows
+    want, start = {}, Counter()
+    for shard, bucket in sorted(buckets):
+        for pos, doc, crc in buckets[shard, bucket]:
+            want[shard, start[shard] + pos] = (doc, crc)
+        start[shard] += len(buckets[shard, bucket])
+    assert {(r["shard"], r["slot"]): (r["doc_id"], r["text_crc32"]) for r in found} == want
