@@ -83,12 +83,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id; of rows that share it, one."""
-    # One key for the join and for repeated ids, null included, so that texts are placed once.
-    name, key = free_name(docs, "_key"), F.coalesce("doc_id", F.lit(-(2**63)))
-    grouped = simhash.near_duplicates(docs)
-    kept = grouped.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias(name)).distinct()
-    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
+    """One document of each component of near copies: the one with the smallest id, and of rows that share it, the
+    smallest key of the text; of rows equal in both, one. Rows that share an id, or have none, but not their text are
+    represented each by a row of its own component."""
+    # One key for the join and for repeated rows, so that texts are placed once.
+    name = free_name(docs, "_key")
+    kept = simhash.representatives(docs).withColumnRenamed("row_key", name)
+    return docs.withColumn(name, simhash.row_key()).join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

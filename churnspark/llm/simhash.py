@@ -47,16 +47,18 @@ def simhash(text: str, width: int = 3) -> int:
 
 
 def fingerprints(documents: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, bits): the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64())])
+    """(doc_id, bits): the fingerprint as a signed long. Columns after ``text`` (strings) are carried."""
+    carried = documents.columns[2:]
+    schema = pa.schema([("doc_id", pa.int64()), ("bits", pa.int64()), *[(c, pa.string()) for c in carried]])
 
     def rows(batches):
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            others = [batch.column(i).to_pylist() for i in range(2, batch.num_columns)]
+            for doc, text, *other in zip(batch.column(0).to_pylist(), batch.column(1), *others):
                 bits = simhash(text.as_py(), width)
-                yield doc, bits - 2**64 if bits >= 2**63 else bits
+                yield doc, bits - 2**64 if bits >= 2**63 else bits, *other
 
-    return documents.mapInArrow(arrow_rows(schema, rows), "doc_id bigint, bits bigint")
+    return documents.mapInArrow(arrow_rows(schema, rows), ", ".join(["doc_id bigint, bits bigint", *[f"{c} string" for c in carried]]))
 
 
 def pivots(n: int = PIVOTS, seed: int = 5) -> np.ndarray:
@@ -169,3 +171,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(classes, "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """A string that two rows share only if they share id (null is one of its own) and text (null is empty)."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.concat_ws(":", F.col(f"`{id_col}`").cast("bigint").cast("string"), F.md5(text.cast("binary")))
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = RADIUS) -> DataFrame:
+    """(row_key): one for each component of near copies, that of its row with the smallest (doc_id, row_key).
+
+    Components are those of fingerprints, so rows that share an id, or have none, are apart unless their texts are near.
+    A null id is taken only if the component has no other.
+    """
+    documents = documents_of(df, id_col, text_col).withColumn("row_key", row_key())
+    prints = materialize(fingerprints(documents, width), "simhash")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    smallest = prints.groupBy("bits").agg(first)
+    joined = components(links(prints, radius))
+    classes = smallest.join(joined, smallest["bits"] == joined["node"], "left").select(F.coalesce("component", "bits").alias("class"), "first")
+    return classes.groupBy("class").agg(F.min("first").alias("first")).select("first.row_key")

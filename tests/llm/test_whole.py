@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from churnspark import session
-from churnspark.llm import char_lm, external_shuffle
+from churnspark.llm import char_lm, external_shuffle, queries
 from pyspark.sql import functions as F
 
 # Languages
@@ -52,3 +52,14 @@ def test_written_records_lie_in_the_reported_slots(spark, make, monkeypatch):
             want[shard, start[shard] + pos] = (doc, crc)
         start[shard] += len(buckets[shard, bucket])
     assert {(r["shard"], r["slot"]): (r["doc_id"], r["text_crc32"]) for r in found} == want
+
+
+# Near copies
+
+
+def test_every_text_is_represented_by_a_near_copy(spark, make):
+    a, b, c, d, e = (" ".join(f"w{i}x{j}" for j in range(120)) for i in range(5))
+    docs = make([(5, a), (5, b), (3, a), (None, c), (None, d), (None, d), (7, None), (None, ""), (8, e), (None, e), (-(2**63), e)])
+    kept = queries.keep_one_of_near_copies(spark, docs, "").collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(3, a), (5, b), (None, c), (None, d), (7, None), (-(2**63), e)])
+    assert queries.keep_one_of_near_copies(spark, docs, "").dtypes == docs.dtypes
