@@ -2,8 +2,9 @@
 
 The page becomes a tree of block elements. Every node gets its characters per tag, adjusted for the share of link
 characters and link tags; a node's density sum is the sum of its children's densities. The content is the node with
-the largest density sum; nodes beside its path are content too if they are as dense as the sparsest node of the path
-from the body and hold no links.
+the largest density sum, or what holds it if that is a list, quotation or paragraph; nodes beside its path are content
+too if they are as dense as the sparsest node of the path from the body, where links in a text of mostly plain words do
+not count against it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ DROPPED = frozenset(
     "noembed noframes noscript object option output progress script select style svg template textarea title video".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of an article that are never the whole of it.
+TEXT_PARTS = frozenset("p ul ol dl li dt dd blockquote pre figure".split())
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -176,6 +179,24 @@ def _preorder(root: Node) -> list[Node]:
     return out
 
 
+def _ratio(body: Node) -> float:
+    return body.link_chars / body.chars if body.chars else 0.0
+
+
+def _density(c: int, t: int, lc: int, lt: int, ratio: float) -> float:
+    """Composite text density of characters, tags, link characters and link tags."""
+    if not c:
+        return 0.0
+    t = max(t, 1)
+    base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
+    spread = c / max(lc, 1) * t / max(lt, 1)
+    return c / t * max(math.log(max(spread, 1.0)) / math.log(base) if base > 1.0 else math.log(max(spread, 1.0)), 0.0)
+
+
+def _mostly_links(node: Node) -> bool:
+    return 2 * node.link_chars > node.chars
+
+
 def _weigh(nodes: list[Node], body: Node) -> None:
     """Composite density of every node: children first."""
     for node in reversed(nodes):
@@ -185,14 +206,8 @@ def _weigh(nodes: list[Node], body: Node) -> None:
                 node.tags += part.tags
                 node.link_chars += part.link_chars
                 node.link_tags += part.link_tags
-    ratio = body.link_chars / body.chars if body.chars else 0.0
     for node in nodes:
-        c, t, lc, lt = node.chars, max(node.tags, 1), node.link_chars, node.link_tags
-        if not c:
-            continue
-        base = math.log(c / max(c - lc, 1) * lc + ratio * c + math.e)
-        spread = c / max(lc, 1) * t / max(lt, 1)
-        node.density = c / t * max(math.log(max(spread, 1.0)) / math.log(base) if base > 1.0 else math.log(max(spread, 1.0)), 0.0)
+        node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, _ratio(body))
     for node in nodes:
         node.total = sum(p.density for p in node.parts if isinstance(p, Node) and not p.dropped)
 
@@ -213,13 +228,33 @@ def _content(nodes: list[Node], body: Node) -> list[Node]:
         if n.tag in ("article", "main"):
             path, best = path[path.index(n) :], n
             break
+    ratio = _ratio(body)
+
+    def passes(part: Node) -> bool:
+        if not part.chars or not threshold > 0:
+            return False
+        if part.density >= threshold:
+            return True
+        plain = _density(part.chars - part.link_chars, part.tags - part.link_tags, 0, 0, ratio)
+        return bool(part.link_chars) and not _mostly_links(part) and plain >= threshold
+
+    grown = 0
+    while path[grown].tag in TEXT_PARTS and path[grown] is not body:
+        grown += 1
+    if grown:
+        # The part's siblings are parts of the same article, but for those of links and for sparse containers.
+        inner, path = path[grown - 1], path[grown:]
+        best = path[0]
+        for part in best.parts:
+            if isinstance(part, Node) and part is not inner and not part.dropped:
+                part.dropped = _mostly_links(part) or part.tag not in TEXT_PARTS | HEADINGS | VOID and not passes(part)
     chosen, on_path = set(), set(map(id, path))
     for parent in path[1:]:
         beside = [p for p in parent.parts if isinstance(p, Node) and not p.dropped]
         here = next(i for i, p in enumerate(beside) if id(p) in on_path)
         for i, part in enumerate(beside):
-            heading = i < here and part.tag in HEADINGS
-            if i != here and part.chars and not part.link_chars and (heading or part.density >= threshold > 0):
+            heading = i < here and part.tag in HEADINGS and part.chars and not part.link_chars
+            if i != here and (heading or passes(part)):
                 chosen.add(id(part))
     chosen.add(id(best))
     return [n for n in nodes if id(n) in chosen]

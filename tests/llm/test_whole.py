@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from churnspark import session
-from churnspark.llm import char_lm, external_shuffle, queries
+from churnspark.llm import char_lm, external_shuffle, html_density, queries
 from pyspark.sql import functions as F
 
 # Languages
@@ -63,3 +63,27 @@ def test_every_text_is_represented_by_a_near_copy(spark, make):
     kept = queries.keep_one_of_near_copies(spark, docs, "").collect()
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(3, a), (5, b), (None, c), (None, d), (7, None), (-(2**63), e)])
     assert queries.keep_one_of_near_copies(spark, docs, "").dtypes == docs.dtypes
+
+
+# Pages
+
+PLAIN = "plain words of text " * 15
+LINKED = "words before " * 20 + "<a href=/x>a link of twenty char</a> and after"
+ITEMS = "".join(f"<li>{'item words ' * 18}</li>" for _ in range(10))
+LINKS = "<div>" + "".join(f"<a href=/{i}>Some other page</a> " for i in range(12)) + "</div>"
+
+
+@pytest.mark.parametrize("links", ["", LINKS])
+@pytest.mark.parametrize(
+    "article",
+    [
+        f"<div><p>{PLAIN}</p><p>{PLAIN}</p><p>{LINKED}</p><p>{PLAIN}</p><ul>{ITEMS}</ul></div>",
+        f"<div><p>{PLAIN}</p><ul>{ITEMS}</ul><p>{LINKED}</p></div>",
+        f"<div><p>{PLAIN}</p><p>{PLAIN}</p><p>{PLAIN}</p></div><div><p>{PLAIN}</p><p>{LINKED}</p><p>{PLAIN}</p></div>",
+        f"<section><p>{PLAIN}</p><p>{LINKED}</p></section><section><p>{PLAIN}</p><p>{PLAIN}</p></section>",
+    ],
+)
+def test_parts_with_a_link_are_kept(article, links):
+    text = html_density.main_text(f"<body>{links}{article}{links}")
+    whole = html_density.main_text(f"<body><article>{article}</article>")
+    assert text == whole and "a link of twenty char" in text and "other page" not in text
