@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnspark.llm import best_fit, bwt_repeats, char_lm, external_shuffle, html_density, imatch, ordinal, simhash, url_rules, winnowing
+from churnspark.llm import (
+    best_fit, bwt_repeats, char_lm, conversation_repair, external_shuffle, html_density, imatch, ordinal, resampling, simhash, token_cache, url_rules, winnowing,
+)
 from churnspark.llm.common import free_name
 
 
@@ -63,14 +65,35 @@ def op10_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.graded(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cheapest repair of every conversation after planted damage."""
+    rows = conversation_repair.damaged(_table(spark, sf_dir, "conversations"))
+    return conversation_repair.digested(conversation_repair.repaired(rows, "present"))
+
+
+def op12_regular_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents drawn towards the benchmark's distribution, ranked by score."""
+    return resampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents, through a cache that starts empty."""
+    return token_cache.token_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_imatch, op2_simhash, op3_html_density, op4_external_shuffle, op5_char_lm, op6_bwt_repeats, op7_best_fit, op8_winnowing, op9_url_rules, op10_ordinal,
+        op11_prefix_doubling, op12_regular_sampling, op13_digest_cache,
     )
 }
 
-CHECKS = {"op9_url_rules": url_rules.CHECK_SQL}
+CHECKS = {
+    "op9_url_rules": url_rules.CHECK_SQL,
+    "op11_prefix_doubling": conversation_repair.CHECK_SQL,
+    "op12_regular_sampling": resampling.CHECK_SQL,
+}
 
 
 # Stages of the pipeline: documents in, documents of the same columns out, but for the last.
