@@ -26,7 +26,7 @@ from churnspark.session import fresh_path, materialize
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Characters that are encoded at a time, so that a task holds the tokens of no more than these.
+#: Characters that are cut into pieces at a time, so that a task holds the pieces of no more than these.
 BLOCK = 1 << 18
 CACHE = "tokenizer string, digest binary, n_tokens bigint"
 
@@ -75,37 +75,36 @@ def counter(tokenizer: str = TOKENIZER) -> tuple[Callable[[list[str]], list[int]
     return lambda texts: [len(e) for e in made.encode_batch_fast(texts, add_special_tokens=False)], bool(byte_level and plain)
 
 
+_GAP, _WORD = re.compile(r"\s\s|\0"), re.compile(r"(?<=\S)(?= \S)")
+#: A task forgets its pieces beyond this many characters.
+PIECE_CHARS = 1 << 22
+
+
+def pieces(text: str) -> list[str]:
+    """The text cut before every space between two characters that are not white space; each piece but the first begins
+    with that space. A byte-level tokenizer cuts there in any case."""
+    return _WORD.split(text) if _GAP.search(text) else text.replace(" ", "\0 ").split("\0")
+
+
 def _counts(texts: Iterator[str], tokenizer: str, block: int) -> Iterator[int]:
-    """Token counts of texts, in order, encoded about ``block`` characters at a time."""
+    """Token counts of texts, in order. Where pieces can be told apart, a task encodes each piece it meets once."""
     count, divisible = counter(tokenizer)
-    held: list[str] = []
+    known: dict[str, int] = {}
     size = 0
-    owners: list[int] = []  # number of the text that each held part belongs to
-    done = first = 0
-    sums: list[int] = []
-
-    def flush():
-        for owner, n in zip(owners, count(held)):
-            sums[owner - first] += n
-        held.clear()
-        owners.clear()
-
     for text in texts:
-        sums.append(0)
-        for part in parts(text, block) if divisible else [text]:
-            held.append(part)
-            owners.append(done)
-            size += len(part)
-            if size >= block:
-                flush()
-                size = 0
-        done += 1
-        if not held:
-            yield from sums
-            sums, first = [], done
-    if held:
-        flush()
-    yield from sums
+        if not divisible:
+            yield count([text])[0]
+            continue
+        total = 0
+        for part in parts(text, block):
+            cut = pieces(part)
+            new = list(set(cut).difference(known))
+            known.update(zip(new, count(new)))
+            size += sum(map(len, new))
+            total += sum(map(known.__getitem__, cut))
+            if size > PIECE_CHARS:
+                known, size = {}, 0
+        yield total
 
 
 def digest(text):
