@@ -15,6 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from churnspark.llm.common import arrow_rows, documents_of
 from churnspark.session import materialize
@@ -27,11 +28,23 @@ VOCABULARY, SPECIAL, SPECIAL_ID = "byte_bpe_50k", "<|endoftext|>", 50256
 
 
 def encoder(name: str = VOCABULARY):
-    """The byte-level BPE of ``<name>.json``, read from the same vocabulary's rank file; special strings are one id."""
+    """The byte-level BPE of ``<name>.json``, read from the same vocabulary's rank file; special strings are one id.
+
+    The rank file's library cannot match runs of about a million white spaces; such a text is encoded by ``tokenizers``."""
     with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     made = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-    return lambda text: made.encode(text, allowed_special="all")
+    slow = []
+
+    def encode(text: str) -> list[int]:
+        try:
+            return made.encode(text, allowed_special="all")
+        except ValueError:
+            if not slow:
+                slow.append(Tokenizer.from_file(public_tokenizers.path(f"{name}.json")))
+            return slow[0].encode(text, add_special_tokens=False).ids
+
+    return encode
 
 
 class BestFit:

@@ -38,6 +38,8 @@ BATCH = 16_384
 #: Most rows and bytes of ranges or kinds that are sent to the documents; beyond either, documents are shuffled to them.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 48 * 1024 * 1024
 _PLACE = np.uint64((1 << 28) - 1)
+#: Windows of a text that are read at a time.
+BLOCK = 1 << 23
 
 
 def _gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
@@ -62,19 +64,27 @@ def _sliding_min(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(values[:n], values[window - size : window - size + n]) if size < window else values[:n]
 
 
-def anchors(data: bytes, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first window, last window, place) of every anchor; windows are named by their first byte."""
+def anchors(data: bytes, length: int = LENGTH, k: int = GRAM, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, last window, place) of every anchor; windows are named by their first byte. A text is read
+    ``block`` windows at a time, so places in a block fit the bits that they have."""
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.view(np.uint64), none, none, none
-    h = _gram_hashes(np.frombuffer(data, np.uint8), k)
-    # Smallest upper bits, the rightmost place among equals: both follow from the window's bytes alone.
-    best = _sliding_min((h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64)), length - k + 1)
-    place = (_PLACE - (best & _PLACE)).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(place))
-    first, last = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(place) - 1]])
-    at = place[first]
-    return h[at], first, last, at
+    found = []
+    windows = len(data) - length + 1
+    for start in range(0, windows, block):
+        h = _gram_hashes(np.frombuffer(data, np.uint8, min(block, windows - start) + length - 1, start), k)
+        # Smallest upper bits, the rightmost place among equals: both follow from the window's bytes alone.
+        best = _sliding_min((h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64)), length - k + 1)
+        place = (_PLACE - (best & _PLACE)).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(place))
+        first, last = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(place) - 1]])
+        at = place[first]
+        found.append((h[at], first + start, last + start, at + start))
+    h, first, last, at = (np.concatenate(c) for c in zip(*found))
+    # Windows on both sides of a cut between blocks may share their anchor.
+    fresh = np.flatnonzero(np.diff(at, prepend=-1))
+    return h[fresh], first[fresh], last[np.append(fresh[1:], len(at)) - 1], at[fresh]
 
 
 def _refine(group: np.ndarray, right: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +158,9 @@ def _segments(docs: DataFrame, length: int, k: int) -> DataFrame:
     schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int64())])
     digest = xxhash.xxh3_64_intdigest
 
+    if length > 0xFFFF:
+        raise ValueError("distances from a window to its anchor are held in 16 bits")
+
     def run(batches):
         for batch in batches:
             parts, ids, keys, segs = [], [], [], []
@@ -192,12 +205,6 @@ def _interleaved(kinds: DataFrame, length: int, batch_rows: int) -> DataFrame:
         anchor, seg, offset, texts = [], [], [], []
 
         def settle(n):
-            # A kind comes again for each repeat of its whole row.
-            again = [i for i in range(1, n) if anchor[i] == anchor[i - 1] and seg[i] == seg[i - 1]]
-            for held in (anchor, seg, offset, texts) if again else ():
-                for i in reversed(again):
-                    del held[i]
-            n -= len(again)
             keys = np.array(anchor[:n], np.int64)
             least, largest = repeated_windows(np.cumsum(np.diff(keys, prepend=keys[0]) != 0), texts[:n], np.array(offset[:n], np.int64), length)
             for i in np.flatnonzero(least >= 0).tolist():
@@ -206,10 +213,13 @@ def _interleaved(kinds: DataFrame, length: int, batch_rows: int) -> DataFrame:
                 del held[:n]
 
         for batch in batches:
-            anchor += batch.column(0).to_pylist()
-            seg += batch.column(1).to_pylist()
-            offset += batch.column(2).to_pylist()
-            texts += batch.column(3).to_pylist()
+            for i, kind in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if anchor and kind == (anchor[-1], seg[-1]):
+                    continue  # a kind comes again from other tasks
+                anchor.append(kind[0])
+                seg.append(kind[1])
+                offset.append(batch.column(2)[i].as_py())
+                texts.append(batch.column(3)[i].as_py())
             if len(anchor) >= batch_rows:
                 n = anchor.index(anchor[-1])  # the last anchor may go on in the next batch
                 if n:
@@ -220,6 +230,18 @@ def _interleaved(kinds: DataFrame, length: int, batch_rows: int) -> DataFrame:
     return kinds.mapInArrow(arrow_rows(schema, rows), "anchor bigint, seg bigint, least int, largest int")
 
 
+def _once_a_task(kinds: DataFrame) -> DataFrame:
+    """Without the rows whose kind (anchor, seg) the same task has passed on before: repeats of a whole row have it."""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            fresh = [i for i, kind in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())) if kind not in seen and not seen.add(kind)]
+            yield batch if len(fresh) == batch.num_rows else batch.take(pa.array(fresh, pa.int64()))
+
+    return kinds.mapInArrow(run, kinds.schema)
+
+
 def _counted(kinds: DataFrame, length: int, k: int) -> DataFrame:
     """The same by counting the hashes of all windows of the kinds: for anchors with too many kinds for one task."""
     schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("x", pa.int32()), ("h", pa.int64())])
@@ -232,7 +254,7 @@ def _counted(kinds: DataFrame, length: int, k: int) -> DataFrame:
                     yield anchor, seg, o - a, xxhash.xxh3_64_intdigest(view[a : a + length]) - 2**63
 
     windows = kinds.mapInArrow(arrow_rows(schema, rows, 16384), "anchor bigint, seg bigint, x int, h bigint")
-    # Kinds, not rows: a kind comes again for each repeat of its whole row.
+    # Kinds, not rows: a kind may come from several tasks.
     again = windows.groupBy("anchor", "x", "h").agg(F.min("seg").alias("low"), F.max("seg").alias("high")).where("low <> high").select("anchor", "x", "h")
     return windows.join(again, ["anchor", "x", "h"]).groupBy("anchor", "seg").agg(F.min("x").alias("least"), F.max("x").alias("largest"))
 
@@ -252,7 +274,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, max_group: int
     counts = shared.groupBy("anchor", "seg", "unlike").agg(F.count("*").alias("n"))
     one = materialize(shared.where("unlike").dropDuplicates(["anchor", "seg"]).select("anchor", "seg", "doc_id", "text_key", first.alias("u"), to_anchor.alias("o"), to_last.alias("w")), "kinds")
     cut = F.substring(F.col("text").cast("binary"), F.col("u") + 1, F.col("w") + length)
-    kinds = _with(docs, one, "inner").select("anchor", "seg", "o", cut.alias("bytes"))
+    kinds = _once_a_task(_with(docs, one, "inner").select("anchor", "seg", "o", cut.alias("bytes")))
     sizes = one.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > max_group).select("anchor")
     large = materialize(sizes, "large")
     usual = kinds.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor", "seg")
@@ -269,7 +291,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, k: int = GRAM, max_group: int
             (F.when(F.col("n") > 1, first + to_last).otherwise(first + to_anchor - F.col("least")) + length).alias("b"),
         ).alias("span"),
     )
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
+    # Rows that repeat with id and text have the same ranges.
+    return spans.distinct().groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
 
 
 def _merged(spans) -> list[tuple[int, int]]:

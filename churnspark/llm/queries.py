@@ -41,8 +41,7 @@ def op5_char_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of every text without the 400-byte strings that occur twice."""
-    found = bwt_repeats.without_repeats(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return bwt_repeats.without_repeats(_table(spark, sf_dir, "documents"))
 
 
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,9 +105,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest id, and of rows that share it, the
-    smallest key of the text; of rows equal in both, one. Rows that share an id, or have none, but not their text are
-    represented each by a row of its own component."""
+    """One document of each component of near copies (five-word Jaccard similarity of 0.8 or more): the one with the
+    smallest id, and of rows that share it, the smallest key of the text; of rows equal in both, one. Rows that share an
+    id, or have none, but not their text are represented each by a row of its own component."""
     # One key for the join and for repeated rows, so that texts are placed once.
     name = free_name(docs, "_key")
     kept = simhash.representatives(docs).withColumnRenamed("row_key", name)
@@ -116,7 +115,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of PASSAGE_BYTES or more that occur twice; every document stays."""
+    """Documents without the passages of PASSAGE_BYTES or more that occur twice; every document stays. Bytes of a
+    character that a cut leaves incomplete go as well."""
     others = tuple(c for c in docs.columns if c != "text")
     cut = bwt_repeats.without_repeats(docs, length=PASSAGE_BYTES, k=PASSAGE_GRAM, extra=others)
     length = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
@@ -124,7 +124,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cut.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
-#: A passage of over 50 words has more bytes than this.
+#: A passage of over 50 words has more bytes than this if its words have three letters on average.
 PASSAGE_BYTES, PASSAGE_GRAM = 200, 64
 
 

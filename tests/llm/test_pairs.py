@@ -82,6 +82,26 @@ def test_repeats_of_an_empty_table(make):
     assert bwt_repeats.without_repeats(make([])).count() == 0
 
 
+def test_blocks_do_not_change_anchors():
+    data = " ".join(words_of(300, s) for s in range(3)).encode() + b"a" * 500
+    whole = bwt_repeats.anchors(data, 60, 16)
+    for block in (1, 37, 1000):
+        assert all((a == b).all() for a, b in zip(whole, bwt_repeats.anchors(data, 60, 16, block)))
+
+
+def test_many_equal_rows_are_held_once(make, monkeypatch):
+    """A row that repeats adds neither kinds to an anchor nor ranges to its class; distances beyond 16 bits are refused."""
+    shared = words_of(20, 1)
+    pairs = [(1, words_of(20, 2) + shared)] * 3000 + [(2, shared + words_of(20, 3)), (3, "plain")]
+    docs = make(pairs, 4).selectExpr("doc_id", "xxhash64(text) AS text_key", "text")
+    spans = {r["doc_id"]: r["spans"] for r in bwt_repeats.repeats(docs, 60, 16).collect()}
+    assert set(spans) == {1, 2} and len(spans[1]) == len({(s["a"], s["b"]) for s in spans[1]})
+    found = bwt_repeats.without_repeats(make(pairs, 4), length=60, k=16).collect()
+    assert {(r["doc_id"], r["n_removed"] == r["n_bytes"], r["n_removed"] > 0) for r in found} == {(1, True, True), (2, False, True), (3, False, False)}
+    with pytest.raises(ValueError):
+        bwt_repeats.without_repeats(make(pairs, 4), length=70_000)
+
+
 # SimHash
 
 
@@ -154,6 +174,49 @@ def test_links_of_dense_and_hot_groups(spark, max_group):
     assert [find(i) for i in range(len(prints))] == brute_components(prints, 3)
 
 
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {b" ".join(w)} if w else set()
+
+
+def brute_near(texts, radius=12):
+    """Components over pairs of five-word Jaccard similarity of 0.8 or more whose fingerprints are within the radius."""
+    prints, sets = [brute_simhash(t) for t in texts], [five_words(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_representatives_of_near_copies(make):
+    """Copies with a few changed words go, texts that share less stay; verification drops links of fingerprints alone."""
+    r = random.Random(8)
+    texts = [words_of(r.randrange(30, 200), 1000 + s) for s in range(40)]
+    for t in texts[:30]:
+        for changes in (1, 2, 3, 12):
+            w = t.split()
+            for _ in range(changes):
+                w[r.randrange(len(w))] = f"changed{r.randrange(99)}"
+            texts.append(" ".join(w))
+    texts += [None, "", " \t", "one", "ONE", texts[0], texts[0]]
+    kept = simhash.representatives(make(list(enumerate(texts)))).collect()
+    classes = brute_near(texts)
+    kept = sorted(int(k["row_key"].split(":")[0]) for k in kept)
+    assert kept == sorted({classes.index(c) for c in classes})
+    sets = [five_words(t) for t in texts]
+    similar = [(i, j) for i in range(160) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(classes[i] == classes[j] for i, j in similar) >= 0.9 * len(similar)
+
+
 def test_near_duplicates_of_odd_rows(make):
     assert simhash.near_duplicates(make([])).count() == 0
     found = simhash.near_duplicates(make([(None, "a b c"), (4, "a b c"), (4, "a b c"), (None, "z y")])).collect()

@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from check import compare, duck
 from churnspark.llm import best_fit, queries
-from test_pairs import brute_components, brute_hits, brute_repeats, brute_simhash
+from test_pairs import brute_components, brute_hits, brute_near, brute_repeats, brute_simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -78,7 +78,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     graded = {r["doc_id"] for r in corpus_pipeline.STAGES[0][1](spark, docs, SF).collect()}
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in graded)
-    first = brute_components([brute_simhash(t) for _, t in rows], 3)
+    first = brute_near([t for _, t in rows])
     rows = [x for i, x in enumerate(rows) if first[i] == i]
     data, gone = brute_repeats([t for _, t in rows], queries.PASSAGE_BYTES)
     rows = [(i, bytes(b for b, x in zip(d, g) if not x).decode(errors="ignore")) for (i, _), d, g in zip(rows, data, gone)]

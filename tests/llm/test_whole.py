@@ -1,11 +1,12 @@
 """Whole results where an operator once did less than its whole job."""
 
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from churnspark import session
-from churnspark.llm import char_lm, external_shuffle, html_density, queries
+from churnspark.llm import best_fit, char_lm, external_shuffle, html_density, queries
 from pyspark.sql import functions as F
 
 # Languages
@@ -87,3 +88,16 @@ def test_parts_with_a_link_are_kept(article, links):
     text = html_density.main_text(f"<body>{links}{article}{links}")
     whole = html_density.main_text(f"<body><article>{article}</article>")
     assert text == whole and "a link of twenty char" in text and "other page" not in text
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "." * 2_000_000, "x" + " " * 1_500_000 + "<|endoftext|>\n\ny"])
+def test_packing_of_long_runs(make, text):
+    """Ids of a text with a very long run of one character are those of the library that the vocabulary is made for."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    ids = [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids, 0]
+    assert [*best_fit.encoder()(text), 0] == ids
+    found = best_fit.packed(make([(1, text), (2, "short")])).where("doc_id = 1").orderBy("piece").collect()
+    assert sum(r["length"] for r in found) == len(ids)
+    assert [r["ids_crc32"] for r in found] == [zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in found]
