@@ -88,11 +88,10 @@ def whole(documents: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class TextIndex:
-    """Statistics of a corpus and its postings.
+    """Statistics of a corpus and its postings, both read from written tables, so every search reads the same index.
 
-    ``terms`` (term, df, idf) is read from a written table. ``postings`` (keys, term, tf, weight, length)
-    is placed by the first key, the document, so all that follows per document or chunk needs
-    no further shuffle.
+    ``terms`` has term, df, idf. ``postings`` (keys, term, tf, weight, length) are stored as one row per text, or per
+    parent of texts, so however the files are cut into tasks, all postings of a text are read by one.
     """
 
     keys: list[str]
@@ -107,7 +106,7 @@ def build(documents: DataFrame, keys: list[str], cut: Callable[[DataFrame], Data
 
     One pass cuts, tokenises and counts each text inside its row and writes (keys, term, tf); no text is shuffled or
     read again. Document frequencies are partial counts of that table. The vocabulary joins it as a broadcast if
-    measured small, else by a skew-split shuffle; postings are then placed by document.
+    measured small, else by a skew-split shuffle; postings are then placed by document and written.
     """
     written = materialize(counted_texts(cut(documents), keys), "counts")
     counted = written.groupBy("term").agg(
@@ -124,7 +123,11 @@ def build(documents: DataFrame, keys: list[str], cut: Callable[[DataFrame], Data
     weighted = placed.join(F.broadcast(terms) if fits(terms) else terms, "term").repartition(keys[0])
     raw = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(raw * raw).over(W.partitionBy(*keys)))
-    postings = weighted.select(*keys, "term", "tf", (raw / norm).alias("weight"), "length")
+    rows = weighted.select(*keys, "term", "tf", (raw / norm).alias("weight"), "length")
+    together = keys[:-1] or keys
+    entries = [c for c in rows.columns if c not in together]
+    stored = materialize(rows.groupBy(*together).agg(F.collect_list(F.struct(*entries)).alias("entries")), "postings")
+    postings = stored.select(*together, F.inline("entries")).select(*rows.columns)
     return TextIndex(keys, postings, terms, n, (total["tokens"] or 0) / max(n, 1))
 
 
@@ -170,8 +173,6 @@ def best(
     terms = materialize(question_terms(index, asked, ids), "question-terms")
     rounds = max(1, -(-terms.count() // round_terms))
     postings = index.postings.withColumn("bm25", saturation(index))
-    if rounds > 1:
-        postings = materialize(postings, "postings")
     fields = [asked.schema[i] for i in ids]
     local = None
     for r in range(rounds):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from churnspark.operators import evaluation as E, golden, index as I, questions as Q, retrieval as R
 from churnspark.plans import profile  # noqa: F401 - blocks
 from churnspark.plans.registry import block, query, sql
-from churnspark.plans.retrieval import asked, corpus, golden_questions
+from churnspark.plans.retrieval import asked, corpus, golden_questions, retriever
 from churnspark.plans.search_blocks import toks
 from churnspark.session import fresh_path, materialize
 from churnspark.sources import readers, sinks, tables as T
@@ -67,16 +67,16 @@ overlap_blocks("overlap", "samples", "method, question_id", "kid")
 
 
 class Run:
-    """One evaluation run: hits of all strategies, written once and read by every metric."""
+    """One evaluation run: hits of all strategies and the relevant documents, written once and read by every metric."""
 
     def __init__(self, wh, k=5):
         documents, questions = corpus(wh), asked(wh)
-        retriever = R.Retriever(documents)
-        self.index = retriever.index
-        self.hits = materialize(R.run(retriever, questions, k), "hits")
-        self.relevant = E.contained(documents, questions)
+        chunks = retriever(wh)
+        self.index = chunks.index
+        self.hits = materialize(R.run(chunks, questions, k), "hits")
+        self.relevant = materialize(E.contained(documents, questions), "relevant")
         golden = questions.select("question_id", F.col("text").alias("question"), F.col("text").alias("ground_truth"))
-        self.samples = E.evaluation_set(golden, self.hits, METHODS)
+        self.samples = materialize(E.evaluation_set(golden, self.hits, METHODS), "samples")
         self.questions = questions
 
     @property
@@ -93,6 +93,10 @@ class Run:
         return ranked.join(E.method_means(self.overlap, LEXICAL), "method")
 
 
+def run(wh):
+    return wh.kept("evaluation-run", ("documents", "benchmark"), lambda: Run(wh))
+
+
 @query(
     "EVL1",
     sql(
@@ -101,7 +105,7 @@ class Run:
     ),
 )
 def evaluation_set(wh):
-    return Run(wh).samples.withColumn("contexts", F.size("contexts").cast("bigint"))
+    return run(wh).samples.withColumn("contexts", F.size("contexts").cast("bigint"))
 
 
 @query(
@@ -112,7 +116,7 @@ def evaluation_set(wh):
     ),
 )
 def precision_recall(wh):
-    return Run(wh).judged.select("method", "question_id", *[F.round(m, 6).alias(m) for m in RANKED])
+    return run(wh).judged.select("method", "question_id", *[F.round(m, 6).alias(m) for m in RANKED])
 
 
 @query(
@@ -120,7 +124,7 @@ def precision_recall(wh):
     sql("SELECT method, question_id, " + ", ".join(f"round({m}, 6) AS {m}" for m in LEXICAL) + " FROM overlap", "overlap"),
 )
 def answer_overlap(wh):
-    return Run(wh).overlap.select("method", "question_id", *[F.round(m, 6).alias(m) for m in LEXICAL])
+    return run(wh).overlap.select("method", "question_id", *[F.round(m, 6).alias(m) for m in LEXICAL])
 
 
 block(
@@ -168,7 +172,7 @@ block("long_means", f"UNPIVOT means ON {', '.join(METRICS)} INTO NAME metric VAL
 
 @query("EVL6 AGG20", sql("SELECT * FROM means", "means"))
 def retrieval_eval(wh):
-    return Run(wh).means
+    return run(wh).means
 
 
 @query(
@@ -179,7 +183,7 @@ def retrieval_eval(wh):
     ),
 )
 def best_method(wh):
-    return E.best_per_metric(Run(wh).means, METRICS)
+    return E.best_per_metric(run(wh).means, METRICS)
 
 
 @query(
@@ -187,7 +191,7 @@ def best_method(wh):
     sql(f"SELECT method, round(({' + '.join(METRICS)}) / 6, 6) AS score FROM means ORDER BY 2 DESC, 1 LIMIT 1", "means"),
 )
 def best_overall(wh):
-    return E.best_overall(Run(wh).means, METRICS)
+    return E.best_overall(run(wh).means, METRICS)
 
 
 @query(
@@ -201,7 +205,7 @@ FROM long_means l JOIN (SELECT * FROM long_means WHERE method = 'naive') b USING
     ),
 )
 def versus_naive(wh):
-    return E.versus_baseline(Run(wh).means, METRICS)
+    return E.versus_baseline(run(wh).means, METRICS)
 
 
 PRETTY = "array_to_string(list_transform(string_split(method, '_'), lambda w: upper(w[1]) || w[2:]), ' ')"
@@ -222,7 +226,7 @@ FROM long_means
     ),
 )
 def metric_percentages(wh):
-    means = Run(wh).means
+    means = run(wh).means
     percents = E.as_percentages(means, METRICS).unpivot("method", METRICS, "metric", "percent")
     plain = means.unpivot("method", METRICS, "metric", "score").select(
         E.prettify("method").alias("method"), "metric", E.plain_colour("score").alias("plain_colour")
@@ -236,7 +240,7 @@ def metric_percentages(wh):
 )
 def saved_results(wh):
     """Per-question results as one CSV folder per method, read back."""
-    path = sinks.write_csv(Run(wh).judged, fresh_path(wh.spark, "results"), by_method=True)
+    path = sinks.write_csv(run(wh).judged, fresh_path(wh.spark, "results"), by_method=True)
     schema = "method string, question_id bigint, context_precision double, context_recall double, method_slug string"
     return readers.read_csv(wh.spark, path, schema).groupBy("method", "method_slug").agg(
         F.count("*").alias("questions"), F.round(F.sum("context_recall"), 4).alias("recall")

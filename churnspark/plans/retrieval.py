@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from churnspark.operators import dense, documents as D, golden, index as I, questions as Q, reports, retrieval as R
+from churnspark.operators import chunking, dense, documents as D, golden, impact, index as I, questions as Q, reports, retrieval as R, vector_groups
 from churnspark.operators.ranking import top_per_group
 from churnspark.plans import search_blocks as B
 from churnspark.plans.corpus import all_documents
@@ -24,6 +24,22 @@ def corpus(wh):
     return wh.table("documents").select("doc_id", "text")
 
 
+def document_index(wh):
+    """The index of whole documents, built once per session."""
+    return wh.kept("document-index", ("documents",), lambda: I.build(corpus(wh), ["doc_id"]))
+
+
+def retriever(wh, cutter=chunking.fixed):
+    """The corpus with its chunk index, built once per session and way of cutting."""
+
+    def make():
+        made = R.Retriever(corpus(wh), cutter)
+        made.index  # noqa: B018 - written now, as part of what is kept
+        return made
+
+    return wh.kept(f"chunk-index-{cutter.__name__}", ("documents",), make)
+
+
 def shown(hits):
     return hits.withColumn("score", F.round("score", 6))
 
@@ -69,6 +85,23 @@ def dense_topk_filtered(wh):
     return shown(dense.top_k(kept, dense.centroids(vectors(wh), "label", "vec"), 5))
 
 
+PRUNED_SQL = """
+SELECT query_id, vec_id, round(s, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM (
+    SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS s
+    FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0))
+WHERE rank <= 5
+"""
+
+
+@query("RET4 JN8", PRUNED_SQL)
+def dense_topk_pruned(wh):
+    """The nearest vectors to every fiftieth vector, by groups round centres with their angle bounds."""
+    grouped = wh.kept("vector-groups", ("embeddings",), lambda: vector_groups.group(vectors(wh)))
+    queries = vectors(wh).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vec")
+    return shown(vector_groups.top_k(grouped, queries, 5))
+
+
 # Text retrieval --------------------------------------------------------------------------------
 
 
@@ -83,7 +116,7 @@ FROM doc_post GROUP BY 1
     ),
 )
 def document_vectors(wh):
-    postings = I.build(corpus(wh), ["doc_id"]).postings
+    postings = document_index(wh).postings
     return postings.groupBy("doc_id").agg(
         F.count("*").alias("terms"),
         F.sum("tf").alias("tokens"),
@@ -99,7 +132,7 @@ SELECT question_id, doc_id, round(score, 6) AS score, rank FROM (
 
 
 def top_documents(wh, allowed=None):
-    index = I.build(corpus(wh), ["doc_id"])
+    index = document_index(wh)
     if allowed is not None:
         index = replace(index, postings=index.postings.join(allowed, "doc_id", "left_semi"))
     top = I.best(index, asked(wh), ["question_id"], 5)
@@ -114,6 +147,27 @@ def text_topk(wh):
 block("doc_filtered", "SELECT s.* FROM doc_scored s JOIN documents USING (doc_id) WHERE lang = 'en' AND n_chars BETWEEN 500 AND 5000", "doc_scored")
 
 
+def impact_index(wh):
+    """The postings of whole documents by impact, written once per session."""
+    index = document_index(wh)
+    return wh.kept("impact-index", ("documents",), lambda: impact.order(index))
+
+
+@query("RET5 RET6", sql(TOP_DOCS.format("doc_scored"), "doc_scored"))
+def impact_topk(wh):
+    """The same by impact-ordered posting blocks, without those that cannot enter the best five."""
+    top = impact.best(impact_index(wh), asked(wh), ["question_id"], 5)
+    return shown(top.select("question_id", "doc_id", "score", "rank"))
+
+
+@query("RET7 FLT2", sql(TOP_DOCS.format("doc_filtered"), "doc_filtered"))
+def impact_topk_filtered(wh):
+    """Thresholds count only documents that the filter lets through."""
+    kept = wh.table("documents").filter((F.col("lang") == "en") & F.col("n_chars").between(500, 5000))
+    top = impact.best(impact_index(wh), asked(wh), ["question_id"], 5, allowed=kept.select("doc_id"))
+    return shown(top.select("question_id", "doc_id", "score", "rank"))
+
+
 @query("RET7 FLT2", sql(TOP_DOCS.format("doc_filtered"), "doc_filtered"))
 def text_topk_filtered(wh):
     """Filters on metadata reach the scan; corpus statistics stay those of the whole corpus."""
@@ -125,7 +179,7 @@ HIT = "SELECT question_id, method, rank, doc_id, parent_no, child_no, round(scor
 
 
 def by_strategy(name, wh):
-    return shown(R.strategy(name)(R.Retriever(corpus(wh)), asked(wh), 5))
+    return shown(R.strategy(name)(retriever(wh), asked(wh), 5))
 
 
 @query("RET5 RET12", sql(HIT + "naive_hits", "naive_hits"))
@@ -154,7 +208,7 @@ def reranking(wh):
 
 
 def all_hits(wh):
-    return R.run(R.Retriever(corpus(wh)), asked(wh), 5)
+    return R.run(retriever(wh), asked(wh), 5)
 
 
 @query("RET12 SET2", sql("SELECT method, question_id, rank, doc_id FROM hits", "hits"))
@@ -165,9 +219,7 @@ def all_strategies(wh):
 @query("RET12 RET1")
 def naive_by_separators(wh):
     """Naive retrieval over chunks cut at separators."""
-    from churnspark.operators import chunking
-
-    return shown(R.naive(R.Retriever(corpus(wh), chunking.by_separators), asked(wh), 5))
+    return shown(R.naive(retriever(wh, chunking.by_separators), asked(wh), 5))
 
 
 @query(
@@ -340,14 +392,14 @@ B.strategy_blocks("writing_", "asked", 8, variants="variants")
 def research_retrieval(wh):
     """The research stage's route: its own strategy and depth for every question."""
     method, k = Q.STAGE_ROUTES["research"]
-    return shown(R.strategy(method)(R.Retriever(corpus(wh)), asked(wh), k))
+    return shown(R.strategy(method)(retriever(wh), asked(wh), k))
 
 
 @query("RET13 RET11", sql(HIT + "writing_rerank_hits", "writing_rerank_hits"))
 def writing_retrieval(wh):
     """The writing stage's route."""
     method, k = Q.STAGE_ROUTES["writing"]
-    return shown(R.strategy(method)(R.Retriever(corpus(wh)), asked(wh), k))
+    return shown(R.strategy(method)(retriever(wh), asked(wh), k))
 
 
 block(
@@ -368,7 +420,7 @@ def multi_query_given_variants(wh):
     given = questions.select("question_id", F.lit(1).alias("variant"), F.concat(F.lit("customer "), "text").alias("text")).unionByName(
         questions.select("question_id", F.lit(2).alias("variant"), F.reverse("text").alias("text"))
     )
-    return shown(R.multi_query(R.Retriever(corpus(wh)), questions, 5, own=given))
+    return shown(R.multi_query(retriever(wh), questions, 5, own=given))
 
 
 @query(

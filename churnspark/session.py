@@ -5,10 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import SparkSession
 
+Kept = TypeVar("Kept")
+
 #: Settings the engine relies on; everything else stays with the cluster.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -87,22 +91,55 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[context.applicationId]
 
 
-#: Paths handed out, by application.
+#: Paths handed out, by application: those that ``release`` deletes, and those of kept values.
 _WRITTEN: dict[str, list[str]] = {}
+_KEPT_PATHS: dict[str, list[str]] = {}
+#: Values that are made once per application, by key; and how many of them are being made.
+_KEPT: dict[str, dict[tuple, object]] = {}
+_MAKING = 0
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no earlier run has used."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    (_KEPT_PATHS if _MAKING else _WRITTEN).setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every intermediate table written so far. Call it when results have been written or collected: DataFrames
-    that read such a table cannot be run again."""
+def kept(spark: SparkSession, key: tuple, make: Callable[[], Kept]) -> Kept:
+    """``make()``, called once per application and key. Tables that it writes outlive ``release``, unless that is told
+    to forget them, so an index or a graph is written once and read by every query of a session."""
+    global _MAKING
+    held = _KEPT.setdefault(spark.sparkContext.applicationId, {})
+    if key not in held:
+        _MAKING += 1
+        try:
+            held[key] = make()
+        finally:
+            _MAKING -= 1
+    return held[key]
+
+
+def version(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files under a path: another version of a table has another."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    files, found = target.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(target, True), []
+    while files.hasNext():
+        file = files.next()
+        found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def release(spark: SparkSession, kept_too: bool = False) -> None:
+    """Delete the intermediate tables written so far, with ``kept_too`` also those of kept values. Call it when results
+    have been written or collected: DataFrames that read such a table cannot be run again."""
     context = spark.sparkContext
-    for path in _WRITTEN.pop(context.applicationId, []):
+    paths = _WRITTEN.pop(context.applicationId, [])
+    if kept_too:
+        paths += _KEPT_PATHS.pop(context.applicationId, [])
+        _KEPT.pop(context.applicationId, None)
+    for path in paths:
         target = context._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnspark.operators.ranking import top_per_group
-from churnspark.session import materialize
+from churnspark.session import kept, materialize, version
 
 GAP_DAYS = 180
 FEATURES = 8
@@ -30,6 +30,11 @@ class Warehouse:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def kept(self, name: str, tables: tuple[str, ...], make):
+        """``make()``, called once per session for these tables as they are now; what it writes is read by later queries."""
+        versions = tuple(version(self.spark, f"{self.root}/{table}.parquet") for table in tables)
+        return kept(self.spark, (name, self.root, versions), make)
+
     @cached_property
     def accounts(self) -> DataFrame:
         return accounts(self)
