@@ -21,29 +21,44 @@ def _grams(words: str, size: str) -> Column:
     return F.when(last > 0, F.array_distinct(hashed))
 
 
+def rarest_runs(texts: DataFrame, inner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs (doc_id, _size, _gram) of texts that some passage has, and for each passage (question_id, _size, _gram) the
+    run of its inner words that the fewest texts have.
+
+    ``texts`` are (doc_id, text), ``inner`` (question_id, _inner). A passage with a run that no text has occurs in none
+    and is left out. An opening that many passages share is a key only for a passage that has nothing rarer.
+    """
+    sized = inner.filter("size(_inner) > 0").withColumn("_size", F.least(F.size("_inner"), F.lit(GRAM)))
+    runs = materialize(sized.select("question_id", "_size", F.explode(_grams("_inner", "_size")).alias("_gram")), "runs")
+    wanted = runs.select("_size", "_gram").distinct()
+    sizes = runs.agg(F.collect_set("_size")).scalar()  # at most GRAM sizes occur
+    split = texts.select("doc_id", _words(F.col("text")).alias("_words"), F.explode(sizes).alias("_size"))
+    cut = split.select("doc_id", "_size", F.explode(_grams("_words", "_size")).alias("_gram"))
+    met = cut.join(F.broadcast(wanted) if fits(wanted) else wanted, ["_size", "_gram"], "left_semi")
+    met = materialize(met, "met")
+    counted = met.groupBy("_size", "_gram").agg(F.count("*").alias("df"))
+    rated = runs.join(F.broadcast(counted) if fits(counted) else counted, ["_size", "_gram"], "left")
+    rarest = rated.groupBy("question_id").agg(F.min(F.struct("df", "_size", "_gram")).alias("run"), F.count_if(F.col("df").isNull()).alias("unknown"))
+    return met, rarest.where("unknown = 0").select("question_id", "run._size", "run._gram")
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, TOKEN_SEPARATOR), lambda t: t != "")
+
+
 def contained(texts: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, question_id) where a text contains a passage, exact, without a nested loop.
 
-    A passage's inner words appear unbroken in any text that contains it, so a run of up to
-    six of them, hashed, is an equi-join key; the pairs are verified on the full texts.
-    Passages without an inner word are found by their exact length instead.
+    A passage's inner words appear unbroken in any text that contains it, so every run of up to six of them is in the
+    text. The run that the fewest texts have is the equi-join key (``rarest_runs``), and pairs are verified on the full
+    texts. Passages without an inner word are found by their exact length instead.
     """
-    words = lambda c: F.filter(F.split(c, TOKEN_SEPARATOR), lambda t: t != "")
-    inner = passages.withColumn("_words", words(F.col("text"))).withColumn(
+    inner = passages.withColumn("_words", _words(F.col("text"))).withColumn(
         "_inner", F.expr("slice(_words, 2, greatest(size(_words) - 2, 0))")
     )
-    keyed = inner.filter("size(_inner) > 0").select(
-        "question_id",
-        F.least(F.size("_inner"), F.lit(GRAM)).alias("_size"),
-        F.expr(f"xxhash64(slice(_inner, 1, least(size(_inner), {GRAM})))").alias("_gram"),
-    )
-    if fits(passages):
-        keyed = F.broadcast(keyed)
-    # At most GRAM sizes occur.
-    sizes = keyed.agg(F.collect_set("_size")).scalar()
-    split = texts.select("doc_id", words(F.col("text")).alias("_words"), F.explode(sizes).alias("_size"))
-    cut = split.select("doc_id", "_size", F.explode(_grams("_words", "_size")).alias("_gram"))
-    pairs = cut.join(keyed, ["_size", "_gram"]).select("doc_id", "question_id").distinct()
+    met, rarest = rarest_runs(texts, inner)
+    keyed = F.broadcast(rarest) if fits(rarest) else rarest
+    pairs = met.join(keyed, ["_size", "_gram"]).select("doc_id", "question_id").distinct()
 
     short = inner.filter((F.size("_inner") == 0) & (F.length("text") > 0)).select(
         "question_id", F.col("text").alias("_piece")

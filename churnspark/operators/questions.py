@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import math
+
+import ahocorasick
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from churnspark.functions.columns import json_object_text, pick, tokens
 
@@ -89,19 +95,63 @@ def substrings(text: str, n: str) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substring(F.col(text), i, F.col(n))))
 
 
-def mentions(
-    questions: DataFrame, names: DataFrame, key: str, text: str, name: str = "name", ignore_case: bool = True
-) -> DataFrame:
-    """Names that occur in a text: (key, name), exact and without a nested loop.
+#: Names of one automaton, and their bytes; more names are dealt into several.
+MAX_NAMES, MAX_NAME_BYTES = 200_000, 16 * 1024 * 1024
+
+
+def _found(pieces: list[str], names: list[list[str]]):
+    """A function from a text to the names that occur in it: one pass through a trie with failure links."""
+    trie = ahocorasick.Automaton()
+    for piece, known in zip(pieces, names):
+        trie.add_word(piece, known)
+    if not pieces:
+        return lambda text: ()
+    trie.make_automaton()
+    return lambda text: {name for _, known in trie.iter(text) for name in known}
 
-    Texts are cut into their distinct substrings of exactly the lengths that occur among the
-    names, so an equi-join finds every occurrence and needs no verification.
+
+def mentions(
+    questions: DataFrame, names: DataFrame, key: str, text: str, name: str = "name", ignore_case: bool = True,
+    max_names: int = MAX_NAMES,
+) -> DataFrame:
+    """Names that occur in a text: (key, name), exact, each pair once per row of ``questions``.
+
+    Every text is read once, by an automaton over all names, which is sent to the tasks if measured small. More names
+    are dealt by a hash into automata of a bounded size, and every text meets each of them. Null and empty names occur
+    nowhere, null texts hold nothing.
     """
     plain = F.lower if ignore_case else F.col
-    keyed = names.select(name).distinct().withColumn("_piece", plain(name))
-    lengths = keyed.agg(F.array_sort(F.collect_set(F.length("_piece")))).scalar()
-    sized = questions.select(key, plain(text).alias("_body"), F.explode(lengths).alias("_n")).filter(
-        (F.col("_n") > 0) & (F.col("_n") <= F.length("_body"))
-    )
-    cut = sized.select(key, F.explode(substrings("_body", "_n")).alias("_piece"))
-    return cut.join(keyed, "_piece").select(key, name)
+    keyed = names.select(F.col(name).alias("_name")).distinct().withColumn("_piece", plain("_name")).where("_piece <> ''")
+    known = keyed.groupBy("_piece").agg(F.sort_array(F.collect_list("_name")).alias("_names"))
+    bodies = questions.select(key, plain(text).alias("_body")).where("_body IS NOT NULL")
+    out = T.StructType([T.StructField(key, questions.schema[key].dataType), T.StructField(name, names.schema[name].dataType)])
+    size = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("_piece")), F.lit(0)).alias("bytes")).first()
+    parts = math.ceil(max(size["n"] / max_names, size["bytes"] / MAX_NAME_BYTES))
+    if parts <= 1:
+        rows = known.collect()
+        shared = questions.sparkSession.sparkContext.broadcast(([r["_piece"] for r in rows], [r["_names"] for r in rows]))
+        schema = to_arrow_schema(out)
+
+        def search(batches):
+            occurring = _found(*shared.value)
+            for batch in batches:
+                hits = [(i, found) for i, body in enumerate(batch.column(1)) for found in sorted(occurring(body.as_py()))]
+                keys = batch.column(0).take(pa.array([i for i, _ in hits], pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array([found for _, found in hits], pa.string())], schema=schema)
+
+        return bodies.mapInArrow(search, out)
+
+    def match(names: pd.DataFrame, bodies: pd.DataFrame) -> pd.DataFrame:
+        occurring = _found(names["_piece"].tolist(), names["_names"].tolist())
+        hits = [(owner, found) for owner, body in zip(bodies[key], bodies["_body"]) for found in sorted(occurring(body))]
+        return pd.DataFrame(hits, columns=[key, name])
+
+    # Texts are dealt too, so that a task holds one automaton and a share of the texts.
+    slices = max(1, math.ceil(bodies.count() / SLICE_TEXTS))
+    by_part = known.withColumn("_part", F.pmod(F.xxhash64("_piece"), F.lit(parts)).cast("int")).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    by_slice = bodies.withColumn("_slice", F.pmod(F.xxhash64("_body"), F.lit(slices)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return by_part.groupBy("_part", "_slice").cogroup(by_slice.groupBy("_part", "_slice")).applyInPandas(match, out)
+
+
+#: Mean texts that meet one of several automata in one task.
+SLICE_TEXTS = 20_000
