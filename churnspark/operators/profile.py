@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, functions as F
 
+from churnspark.session import materialize
 from churnspark.operators.ranking import counts, exact_quantiles, top_per_group, with_share
 
 
@@ -118,6 +120,39 @@ def product_pairs(products: DataFrame) -> DataFrame:
     return paired.groupBy("product_a", "product_b").agg(F.sum("cnt").alias("accounts"))
 
 
+def product_combinations(products: DataFrame, least: int, largest: int = 3) -> DataFrame:
+    """(items, accounts): product combinations of two to ``largest`` products that at least ``least`` accounts used.
+
+    Frequent itemsets by a distributed prefix tree: accounts are dealt to the products they may end a combination with,
+    and no pair or triple is formed that too few accounts have. ``least`` bounds the result.
+    """
+    sets = materialize(products.groupBy("account_id").agg(F.array_sort(F.collect_set("product")).alias("items")), "product-sets")
+    accounts = sets.count()
+    if not accounts:
+        return sets.select("items", F.lit(0).cast("bigint").alias("accounts"))
+    # Just below the wanted share, so that rounding up gives ``least`` itself.
+    found = FPGrowth(itemsCol="items", minSupport=max(0.0, (least - 0.5) / accounts)).fit(sets).freqItemsets
+    kept = found.where((F.col("freq") >= least) & F.size("items").between(2, largest))
+    return kept.select(F.array_sort("items").alias("items"), F.col("freq").alias("accounts"))
+
+
+#: Size of a rank sketch; a rank is within RANK_ERROR of the wanted share of rows with 99 % confidence.
+SKETCH_K, RANK_ERROR = 200, 0.0166
+
+
+def quantile_sketches(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(by, sketch, n): a mergeable rank sketch of a number per group, in one pass; NULLs are left out."""
+    number = F.col(value).cast("double")
+    return df.where(number.isNotNull()).groupBy(*by).agg(F.kll_sketch_agg_double(number, SKETCH_K).alias("sketch"), F.count("*").alias("n"))
+
+
+def merged_quantiles(sketches: DataFrame, probs: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
+    """Quantiles of the union of stored sketches, per group: values whose ranks are within RANK_ERROR of the wanted."""
+    merged = sketches.groupBy(*by).agg(F.kll_merge_agg_double("sketch").alias("_merged"), F.sum("n").alias("n"))
+    found = [F.kll_sketch_get_quantile_double("_merged", F.lit(p)).alias(label) for label, p in probs.items()]
+    return merged.where("n > 0").select(*by, "n", *found)
+
+
 TENURE_BANDS = ("<1 year", "1-2 years", ">2 years")
 
 

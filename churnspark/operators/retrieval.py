@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from churnspark.functions.columns import sentences, tokens
@@ -188,15 +189,37 @@ def reranking(
 ) -> DataFrame:
     """3k children by similarity, reordered by a second scorer (BM25), best k kept.
 
-    ``scorer`` may be any column over the candidates; without one BM25 is used, which was
-    summed in the same pass as the similarity.
+    ``scorer`` may be any column over the candidates (a Python one should be ``guarded``); without one BM25 is used,
+    which was summed in the same pass as the similarity. A question for which the scorer gives a null or NaN score for
+    any candidate is answered by contextual compression instead.
     """
     found = found or find(retriever, questions, k, with_variants=False, with_parents=False)
     pool = found.children.filter((F.col("variant") == 0) & (F.col("rank") <= OVERFETCH * k)).drop("rank")
-    pool = pool.withColumn("_second", scorer if scorer is not None else F.col("bm25"))
+    pool = pool.withColumn("_second", scorer.cast("double") if scorer is not None else F.col("bm25"))
     order = [F.desc(F.round("_second", 9)), *I.best_first(CHILD_KEYS)]
-    hits = top_per_group(pool, "question_id", order, k).withColumn("score", F.col("_second"))
-    return _finish(retriever.texts(hits, retriever.children, CHILD_KEYS), "reranking")
+    if scorer is None:
+        hits = top_per_group(pool, "question_id", order, k).withColumn("score", F.col("_second"))
+        return _finish(retriever.texts(hits, retriever.children, CHILD_KEYS), "reranking")
+    pool = materialize(pool, "reranked")
+    failed = pool.where(F.col("_second").isNull() | F.isnan("_second")).select("question_id").distinct()
+    sure = pool.join(failed, "question_id", "left_anti")
+    hits = top_per_group(sure, "question_id", order, k).withColumn("score", F.col("_second"))
+    reranked = _finish(retriever.texts(hits, retriever.children, CHILD_KEYS), "reranking")
+    others = contextual_compression(retriever, questions.join(failed, "question_id", "left_semi"), k, found)
+    return reranked.unionByName(_finish(others.join(failed, "question_id", "left_semi"), "reranking"))
+
+
+def guarded(score: Callable, *columns: str) -> Column:
+    """A second scorer from a Python function of whole columns (pandas Series) to scores: where the function fails, the
+    scores of that batch are null, so its questions fall back."""
+
+    def safely(*series: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(score(*series), dtype="float64")
+        except Exception:  # whatever a scorer raises, the question still gets an answer
+            return pd.Series([None] * len(series[0]), dtype="float64")
+
+    return F.pandas_udf(safely, "double")(*columns)
 
 
 STRATEGIES: dict[str, Callable] = {

@@ -334,6 +334,56 @@ def upserted_points(wh):
     return sinks.upsert(current, versions.filter(~held), "point_id", "version")
 
 
+@query(
+    "SNK4",
+    """
+SELECT point_id, arg_max(event_type, version) AS event_type, max(version) AS version
+FROM (SELECT event_id % 5000 AS point_id, event_type, event_id AS version FROM events) WHERE version % 2 = 0 OR point_id % 50 = 7 GROUP BY 1
+""",
+)
+def stored_points_upserted(wh):
+    """A stored collection takes newer versions of some of its points; only the buckets they fall into are rewritten."""
+    versions = wh.events.select((F.col("event_id") % 5000).alias("point_id"), "event_type", F.col("event_id").alias("version"))
+    newest = lambda df: df.groupBy("point_id").agg(F.max_by("event_type", "version").alias("event_type"), F.max("version").alias("version"))
+    path = sinks.store_points(newest(versions.where("version % 2 = 0")), "point_id")
+    sinks.upsert_stored(path, newest(versions.where("point_id % 50 = 7")), "point_id", "version")
+    return sinks.read_points(wh.spark, path)
+
+
+@query(
+    "SRC1 SRC3",
+    sql(
+        """
+SELECT 'accepted' AS reason, count(*) AS rows, sum(resolution_hours)::BIGINT AS hours FROM tickets
+UNION ALL SELECT 'resolution_hours is not int', count(*), NULL FROM tickets WHERE resolution_hours % 7 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'too few fields', count(*), NULL FROM tickets WHERE resolution_hours % 7 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'too many fields', count(*), NULL FROM tickets WHERE resolution_hours % 7 = 2 HAVING count(*) > 0
+""",
+        "tickets",
+    ),
+)
+def rejected_csv_rows(wh):
+    """Tickets as CSV with broken rows among them: these land in the reject table with their reason."""
+    tickets = corpora.tickets(wh)
+    names = tickets.columns
+    hours = F.col("resolution_hours")
+    line = F.to_csv(F.struct(*names), {"quote": '"', "escape": '"'})
+    broken = [F.col(n) if n != "resolution_hours" else F.lit("soon").alias(n) for n in names]
+    texts = (
+        tickets.select(line.alias("value"))
+        .union(tickets.where(hours % 7 == 0).select(F.to_csv(F.struct(*broken))))
+        .union(tickets.where(hours % 7 == 1).select(F.concat_ws(",", "ticket_id", "company_name")))
+        .union(tickets.where(hours % 7 == 2).select(F.concat(line, F.lit(",one,more"))))
+    )
+    path = fresh_path(wh.spark, "tickets")
+    texts.write.text(path)
+    good, bad = readers.read_csv_checked(wh.spark, path, readers.TICKETS, header=False)
+    rejects = wh.spark.read.parquet(sinks.append_rejects(bad))
+    counted = rejects.groupBy("reason").agg(F.count("*").alias("rows"), F.lit(None).cast("bigint").alias("hours"))
+    accepted = good.agg(F.lit("accepted").alias("reason"), F.count("*").alias("rows"), F.sum("resolution_hours").cast("bigint").alias("hours"))
+    return accepted.unionByName(counted)
+
+
 @query("SNK6", "SELECT count(DISTINCT vec_id) AS documents, count(*) AS points, max(len(embedding)) AS vector_size FROM embeddings")
 def collection_statistics(wh):
     return sinks.collection_stats(wh.table("embeddings"), "embedding", "vec_id")

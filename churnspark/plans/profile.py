@@ -388,6 +388,48 @@ def product_pairs(wh):
     return P.product_pairs(T.account_products(wh, accounts=wh.churned))
 
 
+@query(
+    "AGG26",
+    sql(
+        """
+SELECT items, accounts FROM (
+  SELECT a.product || '|' || b.product AS items, count(*) AS accounts
+  FROM lost_products a JOIN lost_products b ON a.account_id = b.account_id AND a.product < b.product GROUP BY 1
+  UNION ALL
+  SELECT a.product || '|' || b.product || '|' || c.product, count(*)
+  FROM lost_products a JOIN lost_products b ON a.account_id = b.account_id AND a.product < b.product
+  JOIN lost_products c ON c.account_id = a.account_id AND b.product < c.product GROUP BY 1)
+WHERE accounts >= (SELECT greatest(2, (count(DISTINCT account_id) + 9) // 10) FROM lost_products)
+""",
+        "lost_products",
+    ),
+)
+def product_combinations(wh):
+    """Pairs and triples of products that a tenth of the churned accounts used together."""
+    products = materialize(T.account_products(wh, accounts=wh.churned), "products")
+    least = max(2, -(-products.select("account_id").distinct().count() // 10))
+    found = P.product_combinations(products, least)
+    return found.select(F.array_join("items", "|").alias("items"), "accounts")
+
+
+@query(
+    "AGG3",
+    sql(
+        "SELECT label, true AS within_bound, (SELECT count(*) FROM orders) AS n FROM (VALUES ('q05'), ('q25'), ('q50'), ('q75'), ('q95')) v(label)",
+    ),
+)
+def order_value_sketches(wh):
+    """Rank sketches of order values per month, stored, then merged: is the share of orders below each quantile within
+    the sketch's error of the wanted share?"""
+    probs = {"q05": 0.05, "q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
+    orders = wh.table("orders").select("o_orderdate", F.col("o_totalprice").cast("double").alias("price"))
+    stored = materialize(P.quantile_sketches(orders.withColumn("month", F.trunc("o_orderdate", "month")), "price", ["month"]), "sketches")
+    values = P.merged_quantiles(stored, probs).first()
+    shares = orders.agg(F.count("*").alias("n"), *[(F.count_if(F.col("price") <= values[q]) / F.count("price")).alias(q) for q in probs])
+    wanted = F.create_map(*[F.lit(x) for pair in probs.items() for x in pair])
+    return shares.unpivot("n", list(probs), "label", "share").select("label", (F.abs(F.col("share") - wanted[F.col("label")]) <= P.RANK_ERROR).alias("within_bound"), "n")
+
+
 @query(
     "AGG27",
     sql(

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from churnspark.functions.columns import null_if_missing, parse_date, parse_money
+from churnspark.session import materialize
 from churnspark.sources.sinks import CSV_OPTIONS
 
 # Columns of the account export and the names used here.
@@ -62,6 +63,32 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     )
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected rows) of a CSV: a row with another number of fields, or with a value that is not of its
+    column's type, is rejected with its file, its text and the reason, and changes no other row.
+
+    Both sides read one written table, so the files are parsed once.
+    """
+    fields = T._parse_datatype_string(schema).fields
+    kinds = T.StructType([*fields, T.StructField("_corrupt", T.StringType())])
+    options = {**CSV_OPTIONS, "header": header, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw = spark.read.schema(kinds).options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").csv(path)
+    read = materialize(raw.select("*", F.col("_metadata.file_path").alias("_file")), "checked")
+    good = read.where("_corrupt IS NULL").select(*[f.name for f in fields])
+    # One column more than the schema has shows whether there are too many fields.
+    names = [f"c{i}" for i in range(len(fields) + 1)]
+    plain = ", ".join(f"{n} string" for n in names)
+    cells = F.from_csv("_corrupt", plain, {**{k: str(v) for k, v in CSV_OPTIONS.items()}, "mode": "PERMISSIVE"})
+    wrong = [
+        F.when(F.col(f"v.c{i}").isNotNull() & F.col(f"v.c{i}").try_cast(f.dataType).isNull(), F.lit(f"{f.name} is not {f.dataType.simpleString()}"))
+        for i, f in enumerate(fields)
+    ]
+    count = F.when(F.col(f"v.{names[-1]}").isNotNull(), F.lit("too many fields")).when(F.col(f"v.{names[-2]}").isNull(), F.lit("too few fields"))
+    reason = F.coalesce(count, *wrong, F.lit("malformed"))
+    bad = read.where("_corrupt IS NOT NULL").select(F.col("_file").alias("file"), F.col("_corrupt").alias("record"), cells.alias("v"))
+    return good, bad.select("file", "record", reason.alias("reason"))
+
+
 def read_account_export(spark: SparkSession, path: str) -> DataFrame:
     """The churned-account export, cleaned: typed money and dates, NULL for "no value"."""
     schema = ", ".join(f"`{name}` string" for name in EXPORT_NAMES)

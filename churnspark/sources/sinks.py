@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnspark.functions.columns import slug
-from churnspark.session import fresh_path
+from churnspark.session import fresh_path, materialize
 
 # Columns of the at-risk export and their headings.
 EXPORT_COLUMNS = {
@@ -55,6 +55,51 @@ def upsert(current: DataFrame, changes: DataFrame, key: str, version: str) -> Da
     return newest.select(key, "_row.*").select(*both.columns)
 
 
+#: Buckets of a stored collection; a table keeps the number it was written with.
+BUCKETS = 64
+
+
+def _bucketed(points: DataFrame, key: str, buckets: int) -> DataFrame:
+    return points.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+
+
+def store_points(points: DataFrame, key: str, path: str | None = None, buckets: int = BUCKETS) -> str:
+    """Write a collection as one folder per hash bucket of the key, the unit that a change rewrites."""
+    path = path or fresh_path(points.sparkSession, "points")
+    dealt = _bucketed(points, key, buckets).repartition("bucket")
+    dealt.write.mode("overwrite").partitionBy("bucket").parquet(path)
+    return path
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).drop("bucket")
+
+
+def upsert_stored(path: str, changes: DataFrame, key: str, version: str, buckets: int = BUCKETS) -> list[int]:
+    """Merge changes into a stored collection, the highest version of a key wins; returns the rewritten buckets.
+
+    Only buckets that a change falls into are read, and only they are overwritten; files of the others stay as they are.
+    The merged buckets are written aside first, so what is overwritten is no longer being read, and a run that fails may
+    be repeated. Nothing is done without changes.
+    """
+    spark = changes.sparkSession
+    new = materialize(_bucketed(changes, key, buckets), "changes")
+    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # at most ``buckets``
+    if not touched:
+        return []
+    current = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    merged = materialize(upsert(current.select(*new.columns), new, key, version), "merged")
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    return touched
+
+
+def append_rejects(rejected: DataFrame, path: str | None = None) -> str:
+    """Add rejected input rows (file, record, reason) to a reject table."""
+    path = path or fresh_path(rejected.sparkSession, "rejects")
+    rejected.write.mode("append").parquet(path)
+    return path
+
+
 def collection_stats(points: DataFrame, vector: str = "vec", document: str = "doc_id") -> DataFrame:
     """Documents, points and vector size of a collection."""
     return points.agg(
