@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from churnspark.operators import chunking, dense, documents as D, golden, impact, index as I, questions as Q, reports, retrieval as R, vector_groups
+from churnspark.operators import chunking, dense, documents as D, golden, impact, index as I, latent, questions as Q, reports, retrieval as R, vector_groups
 from churnspark.operators.ranking import top_per_group
 from churnspark.plans import search_blocks as B
 from churnspark.plans.corpus import all_documents
@@ -125,6 +125,34 @@ def document_vectors(wh):
     )
 
 
+def latent_vectors(wh):
+    """Vectors of documents and questions, written once per session."""
+    index = document_index(wh)
+
+    def make():
+        texts, questions = latent.text_vectors(index, asked(wh), ["question_id"])
+        return materialize(texts, "text-vectors"), materialize(questions, "question-vectors")
+
+    return wh.kept("latent-vectors", ("documents", "benchmark"), make)
+
+
+@query("RET3", sql("SELECT doc_id, 64 AS dimensions, 1.0::DOUBLE AS length FROM doc_post GROUP BY 1", "doc_post"))
+def text_vectors(wh):
+    """Dense vectors made from the texts: one direction per document that has a token."""
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
+    return latent_vectors(wh)[0].select("doc_id", F.size("vec").cast("int").alias("dimensions"), F.round(length, 6).alias("length"))
+
+
+@query("RET3 RET4")
+def latent_topk(wh):
+    """The nearest documents to every question by these vectors, and whether sparse search finds them as well."""
+    texts, questions = latent_vectors(wh)
+    found = dense.top_k(texts.withColumnRenamed("doc_id", "vec_id"), questions.withColumnRenamed("question_id", "query_id"), 5)
+    near = found.select(F.col("query_id").alias("question_id"), F.col("vec_id").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
+    sparse = I.best(document_index(wh), asked(wh), ["question_id"], 5).select("question_id", "doc_id", F.lit(True).alias("sparse"))
+    return near.join(sparse, ["question_id", "doc_id"], "left").withColumn("sparse", F.coalesce("sparse", F.lit(False)))
+
+
 TOP_DOCS = """
 SELECT question_id, doc_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM {0}) WHERE rank <= 5

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from churnspark.operators import dense, impact, index as I, retrieval as R, vector_groups
+from churnspark.operators import dense, impact, index as I, latent, retrieval as R, vector_groups
 from churnspark.session import fresh_path, kept, materialize, release
 
 
@@ -110,6 +110,26 @@ def test_pruned_vector_search_of_nothing(spark):
     assert vector_groups.top_k(one, queries.where("false"), 5).count() == 0
 
 
+def test_latent_vectors_hold_most_of_the_weights(spark):
+    """The basis holds nearly as much of the weights' squares as the best of its size; results are reproducible."""
+    docs = spark.createDataFrame([*corpus(400), (900, ""), (901, None)], "doc_id bigint, text string").repartition(5)
+    index = I.build(docs, ["doc_id"])
+    rows = materialize(latent.sparse_rows(index.postings, ["doc_id"]), "sparse")
+    by = latent.basis(rows, 8)
+    assert np.allclose(by.T @ by, np.eye(8))
+    full = np.zeros((902, latent.HASHED))
+    for r in rows.collect():
+        np.add.at(full[r["doc_id"]], r["places"], r["weights"])
+    best = np.linalg.svd(full, compute_uv=False)[:8]
+    assert (full @ by).ravel() @ (full @ by).ravel() >= 0.95 * (best**2).sum()
+    asked = spark.createDataFrame(QUESTIONS, "question_id string, text string")
+    texts, questions = latent.text_vectors(index, asked, ["question_id"], 8)
+    assert {r["doc_id"] for r in texts.collect()} == set(range(400)) and {r["question_id"] for r in questions.collect()} == set("abcg")
+    again = {r["doc_id"]: r["vec"] for r in latent.text_vectors(index, asked, ["question_id"], 8)[0].collect()}
+    assert all(np.allclose(r["vec"], again[r["doc_id"]], atol=1e-6) for r in texts.collect())
+    assert latent.basis(rows.where("false"), 8).shape == (latent.HASHED, 8)
+
+
 # What a session keeps
 
 
