@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ DROPPED = frozenset(
     "noembed noframes noscript object option output progress script select style svg template textarea title video".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Links that an element mostly made of links has at least if it is no part of an article.
+LINKS = 4
 #: Parts of an article that are never the whole of it.
 TEXT_PARTS = frozenset("p ul ol dl li dt dd blockquote pre figure".split())
 ENDS_PARAGRAPH = frozenset(
@@ -44,7 +47,8 @@ CLOSES_SAME = {
     "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist"}),
 }
-# Words in class, id or role that mark what is not the article.
+# Words in class, id or role that mark what is not the article: always if they are the whole name, otherwise only for an
+# element that is less than half as dense as the page or mostly links.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner popup modal "
     "overlay cookie cookies consent gdpr notice notices notification notifications alert nav navbar navigation menu "
@@ -53,34 +57,44 @@ MARKS = frozenset(
     "subscription signup login search form widget pagination pager copyright legal disclaimer complementary contentinfo "
     "skip hidden commentlist commentform subnav topnav sidenav adbox adslot adunit leaderboard".split()
 )
+# Words that mark what is not the article as a part of a name as well.
+CLEAR_MARKS = frozenset(
+    "comment comments commentlist commentform disqus replies cookie cookies consent gdpr navbar sidebar breadcrumb breadcrumbs "
+    "newsletter advert adverts advertisement advertising adsense sponsored masthead topbar toolbar pagination pager adbox "
+    "adslot adunit leaderboard subnav topnav sidenav copyright disclaimer".split()
+)
 #: After one of these words a mark tells about the layout around the element, not about the element.
 ABOUT = frozenset("has with no without".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "dropped", "suspect", "chars", "tags", "link_chars", "link_tags", "density", "total", "own")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, suspect: bool = False):
+        self.tag, self.parent, self.dropped, self.suspect, self.own = tag, parent, dropped, suspect, None
         self.parts: list = []  # texts and child nodes in page order
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def marked(attrs) -> bool:
-    """Whether class, id, role or a hiding attribute says that the element is not part of the article."""
+def marked(attrs) -> tuple[bool, bool]:
+    """Whether class, id, role or a hiding attribute says that the element is not part of the article, and whether a part
+    of such a name suggests it."""
+    suspect = False
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             for word in value.split():
                 tokens = [t.lower() for t in _TOKEN.findall(word)]
-                if any(t in MARKS and before not in ABOUT for before, t in zip(["", *tokens], tokens)):
-                    return True
+                found = {t for before, t in zip(["", *tokens], tokens) if t in MARKS and before not in ABOUT}
+                if found & CLEAR_MARKS or found and len(tokens) == 1:
+                    return True, False
+                suspect |= bool(found)
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, False
         if name == "style" and value and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return True, False
+    return False, suspect
 
 
 class Tree(HTMLParser):
@@ -92,12 +106,19 @@ class Tree(HTMLParser):
         self.body: Node | None = None
         self.links = 0
         self.skipped: list[str] = []  # open inline elements that are marked as not part of the article
+        self.open: Counter[str] = Counter()  # open block elements by name
+
+    def _leave(self, parent: Node) -> None:
+        """Close blocks up to a node, which stays open."""
+        while self.node is not parent:
+            self.open[self.node.tag] -= 1
+            self.node = self.node.parent
 
     def handle_starttag(self, tag, attrs):
         if tag == "html" or tag == "body":
             if tag == "body" and self.body is None:
                 while self.node.tag == "head":
-                    self.node = self.node.parent
+                    self._leave(self.node.parent)
                 self.body = self.node
             return
         if tag in INLINE:
@@ -106,7 +127,7 @@ class Tree(HTMLParser):
                 self.node.link_tags += 1
             if tag == "br":
                 self.node.parts.append(" ")
-            elif tag not in VOID and (self.skipped or marked(attrs)):
+            elif tag not in VOID and (self.skipped or marked(attrs)[0]):
                 self.skipped.append(tag)
             self.node.tags += 1
             return
@@ -117,12 +138,14 @@ class Tree(HTMLParser):
         if tag in CLOSES_SAME:
             self._close(*CLOSES_SAME[tag])
         if tag not in ("tr", "td", "th", "li", "dt", "dd", "option") and self.node.tag == "head" and tag not in DROPPED | VOID:
-            self.node = self.node.parent
-        made = Node(tag, self.node, tag in DROPPED or tag not in ("article", "main") and marked(attrs))
+            self._leave(self.node.parent)
+        dropped, suspect = marked(attrs) if tag not in ("article", "main") else (False, False)
+        made = Node(tag, self.node, tag in DROPPED or dropped, suspect)
         made.tags = 1
         self.node.parts.append(made)
         if tag not in VOID:
             self.node = made
+            self.open[tag] += 1
             self.links = 0
             self.skipped = []
 
@@ -138,13 +161,15 @@ class Tree(HTMLParser):
             if tag in self.skipped:
                 del self.skipped[len(self.skipped) - 1 - self.skipped[::-1].index(tag) :]
             return
+        if not self.open[tag]:
+            return
         node = self.node
         while node is not None and node.tag != tag:
             if node.tag in ("article", "main") and tag in ("p", "li", "td", "th", "tr", "dd", "dt"):
                 return
             node = node.parent
         if node is not None and node.parent is not None:
-            self.node = node.parent
+            self._leave(node.parent)
             self.links = 0
             self.skipped = []
 
@@ -159,13 +184,15 @@ class Tree(HTMLParser):
             node.link_chars += n
 
     def _close(self, tags, fences):
+        if not any(self.open[t] for t in tags):
+            return
         node = self.node
         while node is not None and node.tag not in tags:
             if node.tag in fences or node.parent is None:
                 return
             node = node.parent
         if node is not None and node.parent is not None:
-            self.node = node.parent
+            self._leave(node.parent)
             self.links = 0
             self.skipped = []
 
@@ -199,6 +226,9 @@ def _mostly_links(node: Node) -> bool:
 
 def _weigh(nodes: list[Node], body: Node) -> None:
     """Composite density of every node: children first."""
+    for node in nodes:
+        node.own = node.own or (node.chars, node.tags, node.link_chars, node.link_tags)
+        node.chars, node.tags, node.link_chars, node.link_tags = node.own
     for node in reversed(nodes):
         for part in node.parts:
             if isinstance(part, Node) and not part.dropped:
@@ -257,7 +287,11 @@ def _content(nodes: list[Node], body: Node) -> list[Node]:
             if i != here and (heading or passes(part)):
                 chosen.add(id(part))
     chosen.add(id(best))
-    return [n for n in nodes if id(n) in chosen]
+    # A run of links is no part of an article, wherever it stands.
+    for n in nodes:
+        if n.link_tags >= LINKS and _mostly_links(n) and n.density < threshold and id(n) not in on_path:
+            n.dropped = True
+    return [n for n in nodes if id(n) in chosen and not n.dropped]
 
 
 def _blocks(node: Node, out: list[str]) -> None:
@@ -294,6 +328,12 @@ def main_text(html: str | None) -> str:
     body = tree.body or tree.root
     nodes = _preorder(body)
     _weigh(nodes, body)
+    doubtful = [n for n in nodes if n.suspect and (_mostly_links(n) or 2 * n.density < body.density)]
+    if doubtful:
+        for node in doubtful:
+            node.dropped = True
+        nodes = _preorder(body)
+        _weigh(nodes, body)
     out: list[str] = []
     for node in _content(nodes, body):
         _blocks(node, out)

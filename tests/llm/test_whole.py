@@ -101,3 +101,40 @@ def test_packing_of_long_runs(make, text):
     found = best_fit.packed(make([(1, text), (2, "short")])).where("doc_id = 1").orderBy("piece").collect()
     assert sum(r["length"] for r in found) == len(ids)
     assert [r["ids_crc32"] for r in found] == [zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in found]
+
+
+SENTENCES = " ".join(f"The council met again in week {i} and heard what the harbour office had to say." for i in range(6))
+
+
+@pytest.mark.parametrize("name", ["legal-history", "ad-hoc", "social-studies", "formAndFunction", "notice-of-1820"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_do_not_cut_an_article(name, tag):
+    """A part of an article stays whatever words its class is made of, as long as it is dense."""
+    part = f'<div class="{name}"><p>{SENTENCES}</p><p>{SENTENCES} again</p></div>'
+    text = html_density.main_text(f"<body><nav><a href=/>Home</a></nav><{tag}><p>{SENTENCES} first</p>{part}<p>{SENTENCES} last</p></{tag}></body>")
+    assert text == "\n".join([f"{SENTENCES} first", SENTENCES, f"{SENTENCES} again", f"{SENTENCES} last"])
+
+
+@pytest.mark.parametrize("tag", ["main", "article", "div"])
+def test_links_in_an_article_go(tag):
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Page number {i}</a></li>" for i in range(30)) + "</ul>"
+    with_link = f'<p>{SENTENCES} See <a href="/x">the report</a>.</p>'
+    text = html_density.main_text(f"<body><{tag}><h1>Head</h1><p>{SENTENCES}</p>{links}{with_link}<p>{SENTENCES} last</p></{tag}></body>")
+    assert text == "\n".join(["Head", SENTENCES, f"{SENTENCES} See the report.", f"{SENTENCES} last"])
+
+
+def test_marked_parts_go():
+    parts = '<div class="comment-list"><p>I liked this very much, thank you for it all.</p></div><div class="ad">Buy now</div><div class="site-footer"><a href=/>Imprint</a></div>'
+    assert html_density.main_text(f"<body><article><p>{SENTENCES}</p>{parts}</article></body>") == SENTENCES
+
+
+def test_unmatched_end_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        start = time.perf_counter()
+        html_density.main_text("<div>" * n + "</section>" * n + "<x-y>" * n + "<p>deep" + "</p>" * n)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(20_000) < 20 * seconds(4_000)
