@@ -13,7 +13,8 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from churnspark.llm.common import free_name
-from churnspark.session import fresh_path
+from churnspark.operators.sizing import fits
+from churnspark.session import fresh_path, materialize
 
 #: Mean bytes of the records of one bucket.
 BUCKET_BYTES = 64 * 1024 * 1024
@@ -30,8 +31,9 @@ def _shard(doc, shards: int, seed: int):
     return F.array_max(draws)["s"]
 
 
-def buckets_per_shard(rows: int, size: int, shards: int, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> int:
-    return max(1, math.ceil(max(size / bucket_bytes, rows / bucket_rows) / shards))
+def buckets_of(rows: int, size: int, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Buckets of a shard of so many rows and bytes."""
+    return max(1, math.ceil(max(size / bucket_bytes, rows / bucket_rows)))
 
 
 def external_shuffle(df: DataFrame, shards: int, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -92,29 +94,45 @@ def write_shards(
     record has itself get underscores. One exchange of whole records to the buckets; a bucket is held by one task.
     """
     path = path or fresh_path(df.sparkSession, "shards")
-    name = _names(df)
+    name, columns = _names(df), df.columns
     doc = F.col(f"`{id_col}`").cast("bigint")
     raw = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     sizes = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary") and c != text_col]
     held = F.octet_length(raw) + sum(sizes, F.lit(16))  # bytes of the whole record that can be long
-    total = df.agg(F.count("*").alias("n"), F.sum(held.cast("bigint")).alias("bytes")).first()
-    sub = buckets_per_shard(total["n"], total["bytes"] or 0, shards, bucket_bytes, bucket_rows)
+    doc_name, sum_name, n_name = "doc", "crc", "copies"  # in a table of their own
+    alike = df.select(doc.alias(doc_name), F.crc32(raw).alias(sum_name), held.cast("bigint").alias("bytes")).groupBy(doc_name, sum_name)
+    alike = materialize(alike.agg(F.count("*").alias(n_name), F.sum("bytes").alias("bytes")), "copies")
+    filled = alike.groupBy(_shard(F.col(doc_name), shards, seed).alias("shard")).agg(F.sum(n_name).alias("n"), F.sum("bytes").alias("bytes"))
+    counts = {r["shard"]: buckets_of(r["n"], r["bytes"], bucket_bytes, bucket_rows) for r in filled.collect()}  # a row per shard
+    total = sum(counts.values())
+    sub = F.array(*[F.lit(counts.get(s, 1)) for s in range(shards)])[_shard(doc, shards, seed)]
+    # Rows that repeat with id and text are told apart by their place in the input, so that no bucket gets them all.
+    again = alike.where(F.col(n_name) > 1).select(doc_name, sum_name)
+    copy, known = free_name(df, "_copy"), free_name(df, "_known")
+    df = df.withColumn(copy, F.monotonically_increasing_id())
+    if total > len(counts) and not again.isEmpty():
+        marked = again.select(F.struct(doc_name, sum_name).alias(known))
+        marked = F.broadcast(marked) if fits(marked) else marked
+        df = df.join(marked, F.struct(doc.alias(doc_name), F.crc32(raw).alias(sum_name)).eqNullSafe(F.col(known)), "left")
+        repeat = F.when(F.col(known).isNotNull(), F.col(copy)).otherwise(0)
+    else:
+        repeat = F.lit(0)
     maps = {c for c, t in df.dtypes if t.startswith("map")}
-    own = [(F.map_entries(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(df.columns)]
+    own = [(F.map_entries(F.col(f"`{c}`")) if c in maps else F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(columns)]
     dealt = df.select(
         _shard(doc, shards, seed).alias("shard"),
-        # Rows of one id are spread over the buckets of their shard by their checksum as well.
-        F.pmod(_draw(seed + 1, doc, F.crc32(raw)), F.lit(sub)).cast("int").alias("bucket"),
+        # Rows of one id are spread over the buckets of their shard by their checksum as well, equal rows by their place.
+        F.pmod(_draw(seed + 1, doc, F.crc32(raw), repeat), sub).cast("int").alias("bucket"),
         F.struct(
             doc.alias("doc"), (F.octet_length(raw) + 16).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), _shard(doc, shards + 1, seed).alias("grown_shard"), *own
         ).alias("record"),
     )
     # Rows go to their buckets one by one: no task gathers records before the exchange, and a task has about one bucket.
-    filled = dealt.repartition(shards * sub, "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("record")).alias("rows"))
+    filled = dealt.repartition(max(1, total), "shard", "bucket").groupBy("shard", "bucket").agg(F.sort_array(F.collect_list("record")).alias("rows"))
     # Buckets are in a fixed order within each task, so a task that is run again draws the same shuffles.
     mixed = filled.sortWithinPartitions("shard", "bucket").select("shard", "bucket", F.shuffle("rows", seed).alias("rows"))
     laid = mixed.select("shard", "bucket", F.posexplode("rows").alias("pos", "r"))
-    back = [(F.map_from_entries(f"r._{i}") if c in maps else F.col(f"r._{i}")).alias(c) for i, c in enumerate(df.columns)]
+    back = [(F.map_from_entries(f"r._{i}") if c in maps else F.col(f"r._{i}")).alias(c) for i, c in enumerate(columns)]
     beside = [F.col(f"r.{c}" if c in ("size", "text_crc32", "grown_shard") else c).alias(name[c]) for c in _KINDS]
     keys = [name["shard"], name["bucket"]]
     laid.select(*back, *beside).sortWithinPartitions(*keys, name["pos"]).write.partitionBy(*keys).parquet(path)

@@ -138,3 +138,17 @@ def test_unmatched_end_tags_take_linear_time():
 
     seconds(100)
     assert seconds(20_000) < 20 * seconds(4_000)
+
+
+def test_many_equal_rows_are_split_over_buckets(spark, make):
+    """Repeats of one row share a shard, but no bucket of it holds much more than its bound."""
+    docs = make([(7, "the same")] * 20_000 + [(i, f"text {i}") for i in range(2000)] + [(None, None)] * 3000)
+    path = external_shuffle.write_shards(docs, 4, bucket_rows=500)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy("shard", "bucket").count().collect()]
+    assert sum(sizes) == 25_000 and max(sizes) <= 2 * 500
+    found = external_shuffle.external_shuffle(docs, 4, bucket_rows=500).collect()
+    places = defaultdict(list)
+    for r in found:
+        places[r["shard"]].append(r["slot"])
+    assert len({r["shard"] for r in found if r["doc_id"] == 7}) == 1
+    assert all(sorted(slots) == list(range(len(slots))) for slots in places.values())
