@@ -522,7 +522,54 @@ def chunks_fixed(wh):
     return chunking.fixed(wh.table("documents"), ["doc_id"], "text", *chunking.INGEST)
 
 
-@query("RET1")
+def separator_blocks(name, source, key, size, overlap):
+    """Check SQL of the separator splitter over ``source`` (key, text), in two steps.
+
+    ``name``_pieces cuts level by level: texts above the size, behind every separator of a level; what no separator cuts,
+    by length. ``name`` walks from chunk to chunk: it ends before the first piece that makes it too long, and the next
+    one begins with the first piece from which the overlap is short enough and the next piece fits.
+    """
+    levels, before = [], f"(SELECT {key} AS key, 0 AS start, text FROM {source} WHERE text <> '')"
+    for i, separator in enumerate(chunking.SEPARATORS):
+        quoted = "'" + separator.replace("\n", "' || chr(10) || '") + "'"
+        if separator:
+            split = f"list_transform(string_split(text, {quoted}), lambda p, i: CASE WHEN i < len(string_split(text, {quoted})) THEN p || {quoted} ELSE p END)"
+        else:
+            split = f"list_transform(range(0, length(text), {size}), lambda i: substring(text, i + 1, {size}))"
+        parts = f"CASE WHEN length(text) <= {size} THEN [text] ELSE list_filter({split}, lambda p: p <> '') END"
+        cut = f"SELECT key, start, unnest({parts}) AS part, generate_subscripts({parts}, 1) AS pos FROM {before}"
+        levels.append(
+            f"l{i} AS MATERIALIZED (SELECT key, start + coalesce(sum(length(part)) OVER (PARTITION BY key, start ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT "
+            f"AS start, part AS text FROM ({cut}))"
+        )
+        before = f"l{i}"
+    ends = f"SELECT key, list(start ORDER BY start) AS s, list(start + length(text) ORDER BY start) AS e FROM {before} GROUP BY key"
+    block(f"{name}_pieces", f"WITH {', '.join(levels)} {ends}", *([source] if source != "documents" else []))
+    block(
+        name,
+        f"""
+WITH RECURSIVE walk AS (
+  SELECT key, s, e, 0 AS no, 1::BIGINT AS h, list_filter(range(2, len(s) + 1), lambda k: e[k] - s[1] > {size})[1] AS j FROM {name}_pieces
+  UNION ALL
+  SELECT key, s, e, no + 1, nh, list_filter(range(nh + 1, least(len(s), nh + {size}) + 1), lambda k: e[k] - s[nh] > {size})[1] FROM (
+    SELECT key, s, e, no, list_filter(range(h + 1, j + 1), lambda k: k = j OR (e[j - 1] - s[k] <= {overlap} AND e[j] - s[k] <= {size}))[1] AS nh
+    FROM walk WHERE j IS NOT NULL)
+)
+SELECT w.key, no::BIGINT AS no, s[h] AS start, substring(d.text, s[h] + 1, coalesce(e[j - 1], e[len(e)]) - s[h]) AS text
+FROM walk w JOIN {source} d ON d.{key} = w.key
+""",
+        f"{name}_pieces",
+        *([source] if source != "documents" else []),
+    )
+
+
+separator_blocks("separated", "documents", "doc_id", *chunking.INGEST)
+separator_blocks("separated_parents", "documents", "doc_id", *chunking.PARENT)
+block("numbered_parents", "SELECT key * 1000000 + no AS parent_key, key AS doc_id, no AS parent_no, text FROM separated_parents", "separated_parents")
+separator_blocks("separated_children", "numbered_parents", "parent_key", *chunking.CHILD)
+
+
+@query("RET1", sql("SELECT key AS doc_id, no AS chunk_no, start, text FROM separated", "separated"))
 def chunks_by_separators(wh):
     return chunking.by_separators(wh.table("documents"), ["doc_id"], "text", *chunking.INGEST)
 
@@ -568,6 +615,13 @@ def parent_child_fixed(wh):
     return chunking.two_tier(wh.table("documents"), ["doc_id"], "text")
 
 
-@query("RET2")
+@query(
+    "RET2",
+    sql(
+        "SELECT doc_id, parent_no, c.no AS child_no, c.text FROM separated_children c JOIN numbered_parents ON parent_key = c.key",
+        "separated_children",
+        "numbered_parents",
+    ),
+)
 def parent_child_by_separators(wh):
     return chunking.two_tier(wh.table("documents"), ["doc_id"], "text", chunking.by_separators)
