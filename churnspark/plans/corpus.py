@@ -567,6 +567,12 @@ separator_blocks("separated", "documents", "doc_id", *chunking.INGEST)
 separator_blocks("separated_parents", "documents", "doc_id", *chunking.PARENT)
 block("numbered_parents", "SELECT key * 1000000 + no AS parent_key, key AS doc_id, no AS parent_no, text FROM separated_parents", "separated_parents")
 separator_blocks("separated_children", "numbered_parents", "parent_key", *chunking.CHILD)
+block(
+    "separated_tiers",
+    "SELECT doc_id, parent_no, c.no AS child_no, c.text FROM separated_children c JOIN numbered_parents ON parent_key = c.key",
+    "separated_children",
+    "numbered_parents",
+)
 
 
 @query("RET1", sql("SELECT key AS doc_id, no AS chunk_no, start, text FROM separated", "separated"))
@@ -615,13 +621,6 @@ def parent_child_fixed(wh):
     return chunking.two_tier(wh.table("documents"), ["doc_id"], "text")
 
 
-@query(
-    "RET2",
-    sql(
-        "SELECT doc_id, parent_no, c.no AS child_no, c.text FROM separated_children c JOIN numbered_parents ON parent_key = c.key",
-        "separated_children",
-        "numbered_parents",
-    ),
-)
+@query("RET2", sql("SELECT * FROM separated_tiers", "separated_tiers"))
 def parent_child_by_separators(wh):
     return chunking.two_tier(wh.table("documents"), ["doc_id"], "text", chunking.by_separators)

@@ -244,7 +244,11 @@ def all_strategies(wh):
     return all_hits(wh).select("method", "question_id", "rank", "doc_id")
 
 
-@query("RET12 RET1")
+B.index_blocks("separated_kid", "separated_tiers", B.CHILD)
+B.strategy_blocks("separated_", "asked", 5, "separated_kid", "separated_tiers")
+
+
+@query("RET12 RET1", sql(HIT + "separated_naive_hits", "separated_naive_hits"))
 def naive_by_separators(wh):
     """Naive retrieval over chunks cut at separators."""
     return shown(R.naive(retriever(wh, chunking.by_separators), asked(wh), 5))
