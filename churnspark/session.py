@@ -95,7 +95,7 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITTEN: dict[str, list[str]] = {}
 _KEPT_PATHS: dict[str, list[str]] = {}
 #: Values that are made once per application, by key; and how many of them are being made.
-_KEPT: dict[str, dict[tuple, object]] = {}
+_KEPT: dict[str, dict[tuple, tuple]] = {}
 _MAKING = 0
 
 
@@ -106,25 +106,38 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def _files_of(spark: SparkSession, path: str):
+    """(file system, path) of a path in any store that Spark reaches."""
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
 def kept(spark: SparkSession, key: tuple, make: Callable[[], Kept]) -> Kept:
     """``make()``, called once per application and key. Tables that it writes outlive ``release``, unless that is told
-    to forget them, so an index or a graph is written once and read by every query of a session."""
+    to forget them, so an index or a graph is written once and read by every query of a session. If someone else has
+    deleted one of these tables, the value is made again."""
     global _MAKING
-    held = _KEPT.setdefault(spark.sparkContext.applicationId, {})
-    if key not in held:
-        _MAKING += 1
-        try:
-            held[key] = make()
-        finally:
-            _MAKING -= 1
-    return held[key]
+    application = spark.sparkContext.applicationId
+    held, paths = _KEPT.setdefault(application, {}), _KEPT_PATHS.setdefault(application, [])
+    if key in held:
+        value, written = held[key]
+        if all(store.exists(path) for store, path in (_files_of(spark, p) for p in written)):
+            return value
+    _MAKING += 1
+    before = len(paths)
+    try:
+        value = make()
+    finally:
+        _MAKING -= 1
+    held[key] = value, tuple(paths[before:])
+    return value
 
 
 def version(spark: SparkSession, path: str) -> tuple:
     """Names, sizes and times of the files under a path: another version of a table has another."""
-    context = spark.sparkContext
-    target = context._jvm.org.apache.hadoop.fs.Path(path)
-    files, found = target.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(target, True), []
+    store, target = _files_of(spark, path)
+    files, found = store.listFiles(target, True), []
     while files.hasNext():
         file = files.next()
         found.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
@@ -134,14 +147,13 @@ def version(spark: SparkSession, path: str) -> tuple:
 def release(spark: SparkSession, kept_too: bool = False) -> None:
     """Delete the intermediate tables written so far, with ``kept_too`` also those of kept values. Call it when results
     have been written or collected: DataFrames that read such a table cannot be run again."""
-    context = spark.sparkContext
-    paths = _WRITTEN.pop(context.applicationId, [])
+    application = spark.sparkContext.applicationId
+    paths = _WRITTEN.pop(application, [])
     if kept_too:
-        paths += _KEPT_PATHS.pop(context.applicationId, [])
-        _KEPT.pop(context.applicationId, None)
-    for path in paths:
-        target = context._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        paths += _KEPT_PATHS.pop(application, [])
+        _KEPT.pop(application, None)
+    for store, path in (_files_of(spark, p) for p in paths):
+        store.delete(path, True)
 
 
 def materialize(df, label: str):
