@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from churnspark.llm import bwt_repeats, common, imatch, simhash, winnowing
+from churnspark.operators import sizing
 
 
 def words_of(n, seed, vocabulary=400):
@@ -327,18 +328,19 @@ def leaks():
     return docs, items
 
 
-@pytest.mark.parametrize("round_bytes", [winnowing.ROUND_BYTES, 900])
-def test_hits_equal_brute_force(spark, make, round_bytes):
+@pytest.mark.parametrize("max_rows, block", [(sizing.MAX_ROWS, winnowing.BLOCK_WORDS), (0, 40)])
+def test_hits_equal_brute_force(spark, make, monkeypatch, max_rows, block):
+    monkeypatch.setattr(winnowing, "BLOCK_WORDS", block)
     docs, items = leaks()
     pairs = [*enumerate(docs), (3, docs[3]), (None, docs[7])]
     table = spark.createDataFrame(items, "item_id string, text string")
-    found = winnowing.contaminated(make(pairs), table, round_bytes=round_bytes).collect()
+    found = winnowing.contaminated(make(pairs), table, max_rows=max_rows).collect()
     want = []
     for i, t in pairs:
         n, hit, names = brute_hits(t, items)
         want.append((i, n, hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), hit > 0))
     assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in found)
-    marks = winnowing.marked(make(pairs), table, round_bytes=round_bytes).select("doc_id", "_contaminated").collect()
+    marks = winnowing.marked(make(pairs), table, max_rows=max_rows).select("doc_id", "_contaminated").collect()
     assert sorted(map(str, ((w[0], w[5]) for w in want))) == sorted(str(tuple(r)) for r in marks)
 
 
@@ -347,3 +349,23 @@ def test_hits_of_empty_tables(spark, make):
     assert winnowing.contaminated(make([]), none).count() == 0
     row = winnowing.contaminated(make([(1, "a b c")]), none).first()
     assert tuple(row) == (1, 3, 0, 0, hashlib.sha256(b"").hexdigest(), False)
+
+
+def test_a_passage_that_many_items_and_texts_share(spark, make):
+    """A third of the texts are copies, and a passage lies in every item: equal items meet the texts once."""
+    shared, copy = words_of(14, 5), words_of(40, 6)
+    items = [("a", f"{shared} {words_of(9, 7)}")] * 3 + [(f"b{i}", f"{words_of(9, 8)} {shared}") for i in range(40)] + [("c", copy), ("d", copy)]
+    docs = [copy] * 60 + [f"{words_of(30, 100 + i)} {shared} x" for i in range(60)] + [words_of(50, 300 + i) for i in range(60)]
+    found = {r["doc_id"]: r for r in winnowing.hits(make(list(enumerate(docs))), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    for i, text in enumerate(docs):
+        assert (found[i]["n_words"], found[i]["n_hit"], found[i]["items"]) == brute_hits(text, items)
+        assert sum(b - a for a, b in zip(found[i]["starts"], found[i]["ends"])) == found[i]["n_hit"]
+
+
+def test_only_measured_sides_are_broadcast(spark, make):
+    docs, items = leaks()
+    table = spark.createDataFrame(items, "item_id string, text string")
+    for bound, hinted in ((0, False), (sizing.MAX_ROWS, True)):
+        plan = winnowing.hits(make(list(enumerate(docs))), table, max_rows=bound)._jdf.queryExecution().toString()
+        assert ("strategy=broadcast" in plan) == hinted
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
