@@ -9,6 +9,7 @@ terms: only those can agree for texts that share a part.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -133,46 +134,57 @@ def shown(f: tuple[int, np.ndarray]) -> str:
 _LEAST = -(2**63)
 
 
-def _starts(documents: DataFrame, buckets: int) -> list[int]:
-    """First id of each of at most ``buckets`` consecutive id ranges of about equal size."""
-    ids = documents.select(F.coalesce("doc_id", F.lit(_LEAST)).alias("doc_id"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / buckets for i in range(buckets)], 20 * buckets)).first()[0]
-    if not cuts:
-        return []
-    place = _bucket(sorted(set(cuts)))
-    return sorted(r[0] for r in ids.groupBy(place("doc_id")).agg(F.min("doc_id").alias("first")).select("first").collect())
+def _order():
+    """A document's place among all: its id (null first), then the hash of its text."""
+    return F.coalesce("doc_id", F.lit(_LEAST)), F.xxhash64("text")
 
 
-def _bucket(starts: list[int]):
-    bounds = np.array(starts, np.int64)
+def _place(starts: list[tuple[int, int]]):
+    """Number of the range that holds a place."""
 
     @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.maximum(np.searchsorted(bounds, ids.to_numpy(np.int64), side="right") - 1, 0).astype("int32"))
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([max(bisect_right(starts, at) - 1, 0) for at in zip(ids.tolist(), hashes.tolist())], dtype="int32")
 
     return place
 
 
+def _starts(documents: DataFrame, buckets: int) -> list[tuple[int, int]]:
+    """First place of each of at most ``buckets`` consecutive ranges of about equal numbers of rows.
+
+    An id that fills several of them is cut at even steps of the hashes of its texts.
+    """
+    doc, text = _order()
+    cuts = documents.agg(F.percentile_approx(doc, [i / buckets for i in range(buckets)], 20 * buckets)).first()[0]
+    if not cuts:
+        return []
+    wanted = sorted((i, _LEAST + (k << 64) // n) for i, n in Counter(cuts).items() for k in range(n))
+    first = documents.select(doc.alias("doc"), text.alias("text")).groupBy(_place(wanted)("doc", "text")).agg(F.min(F.struct("doc", "text")).alias("first"))
+    return sorted(tuple(r["first"]) for r in first.collect())
+
+
 def beside_next(documents: DataFrame, buckets: int | None = None) -> DataFrame:
     """(bucket, peek, doc_id, text) in ascending id order within each bucket; a peek row ends every bucket.
 
-    Ids are cut into ranges; the first document of a range is also sent, marked as a peek, to the range before it
-    (of the first range: to the last), so each row is followed by its successor in one task, with one shuffle of
-    texts and no global window. Null ids come first; rows with equal ids are in the order of their texts' hashes.
+    Places (ids, then hashes of texts) are cut into ranges; the first document of a range is also sent, marked as a
+    peek, to the range before it (of the first range: to the last), so each row is followed by its successor in one
+    task, with one shuffle of texts and no global window. Null ids come first; rows with equal ids are in the order of
+    their texts' hashes, and an id with many texts fills several ranges. Rows equal in both stream through one range.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     starts = _starts(documents, buckets or 4 * parts)
-    bounds, last = np.array(starts, np.int64), max(len(starts) - 1, 0)
+    last = max(len(starts) - 1, 0)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def places(ids: pd.Series) -> pd.Series:
-        own = np.maximum(np.searchsorted(bounds, ids.to_numpy(np.int64), side="right") - 1, 0)
-        first = bounds[own] == ids.to_numpy(np.int64) if len(bounds) else np.zeros(len(ids), bool)
-        return pd.Series([[o, ~(o - 1 if o else last)] if f else [o] for o, f in zip(own.tolist(), first.tolist())])
-
-    order = F.coalesce("doc_id", F.lit(_LEAST))
-    placed = documents.select("doc_id", "text", F.explode(places(order)).alias("place"))
+    def places(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        out = []
+        for at in zip(ids.tolist(), hashes.tolist()):
+            own = max(bisect_right(starts, at) - 1, 0)
+            out.append([own, ~(own - 1 if own else last)] if starts and starts[own] == at else [own])
+        return pd.Series(out)
+
+    placed = documents.select("doc_id", "text", F.explode(places(*_order())).alias("place"))
     return (
         placed.select(
             F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place")).alias("bucket"),
@@ -181,7 +193,7 @@ def beside_next(documents: DataFrame, buckets: int | None = None) -> DataFrame:
             "text",
         )
         .repartition(parts, "bucket")
-        .sortWithinPartitions("bucket", "peek", order, F.xxhash64("text"))
+        .sortWithinPartitions("bucket", "peek", *_order())
     )
 
 
@@ -227,7 +239,7 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
             for bucket, peek, doc, text in zip(*(batch.column(i) for i in range(4))):
                 bucket, peek, doc, text = bucket.as_py(), peek.as_py(), doc.as_py(), text.as_py()
                 if peek and (held is None or held[0] != bucket):
-                    continue  # a further row with the id that begins the next range
+                    continue  # a further row equal to the one that begins the next range
                 own = print_of(text)
                 if held is not None and held[0] == bucket:
                     changed = edited(held[2], text)

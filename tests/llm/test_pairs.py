@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from churnspark.llm import bwt_repeats, common, imatch, simhash, winnowing
 from churnspark.operators import sizing
+from pyspark.sql import functions as F
 
 
 def words_of(n, seed, vocabulary=400):
@@ -63,7 +64,6 @@ def test_repeats_equal_brute_force(make, length, k, max_group):
 def test_repeats_in_small_batches(make):
     texts = [t for t in repeats_fixture() if t]
     docs = make(list(enumerate(texts)))
-    from pyspark.sql import functions as F
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     few = bwt_repeats.repeats(keyed, 60, 16, batch_rows=2).collect()
@@ -277,6 +277,66 @@ def test_fingerprints_of_equal_and_odd_rows(make):
     assert only["near_next"] == 1.0 and only["edited_sha256"] == hashlib.sha256(b"abc abc").hexdigest()
 
 
+def test_ids_shared_by_many_texts_fill_several_ranges(make):
+    """A third of the rows have no id, a third share one: successors as in one sorted list, no range holds them all."""
+    pairs = [(None, f"n{i} " + words_of(5, i)) for i in range(60)] + [(4, f"f{i} " + words_of(6, i)) for i in range(60)] + [(i, words_of(7, i)) for i in range(60)]
+    pairs += [(4, "same text")] * 5 + [(None, None)] * 3
+    docs = common.documents_of(make(pairs))
+    ranges = imatch.beside_next(docs, 12).where("not peek").groupBy("bucket").count().collect()
+    assert len(ranges) > 9 and max(r["count"] for r in ranges) < 45
+    listed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect()
+    listed = sorted(listed, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+    want = Counter()
+    for row, after in zip(listed, [*listed[1:], listed[0]]):
+        half = len(row["text"]) // 2
+        changed = row["text"][: len(row["text"]) - half] + after["text"][:half]
+        want[row["doc_id"], len(row["text"]), hashlib.sha256(changed.encode()).hexdigest()] += 1
+    found = imatch.compared(make(pairs), buckets=12).select("doc_id", "n_chars", "edited_sha256").collect()
+    assert Counter(tuple(r) for r in found) == want
+
+
+def brute_print(text, lexicon):
+    """Fingerprint by the definition, a term and a subset at a time: (whole, hash or None of every subset)."""
+    full, own = 2**64, sorted(set(common.words(text)) & lexicon)
+    if not own:
+        return xxhash.xxh64_intdigest(b" ".join(sorted(set(common.words(text))))), [0] * 80
+    ids = [xxhash.xxh64_intdigest(t, 1) for t in own]
+
+    def drawn(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % full
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % full
+        return x ^ x >> 31
+
+    signs = []
+    for subset in range(80):
+        rate = (8, 32, 128, 512, 2048)[subset // 16]
+        held = [i for i in ids if drawn((i + (1000 + subset) * 0x9E3779B97F4A7C15) % full) % rate == 0]
+        signs.append(xxhash.xxh32_intdigest(b"".join(i.to_bytes(8, "little") for i in held)) % 65535 + 1 if held else 0)
+    return xxhash.xxh64_intdigest(b"".join(i.to_bytes(8, "little") for i in ids), 7), signs
+
+
+def test_fingerprints_and_likeness_equal_their_definition(make):
+    texts = [words_of(40 + 9 * s, s, 300) for s in range(30)] + ["", "unseen", "all in all", None]
+    texts = [f"all {t}" if t else t for t in texts] + [words_of(40, 0, 300)]
+    seen = Counter(w for t in texts for w in set(common.words(t)))
+    lexicon = {w for w, n in seen.items() if 0.05 * len(texts) <= n <= 0.6 * len(texts)}
+    found = {r["doc_id"]: r for r in imatch.compared(make(list(enumerate(texts))), min_share=0.05, max_share=0.6).collect()}
+
+    def alike(a, b):
+        if a[0] == b[0]:
+            return 1.0
+        used = [(x, y) for x, y in zip(a[1], b[1]) if x or y]
+        return sum(x == y for x, y in used) / len(used) if used else 0.0
+
+    for i, text in enumerate(texts):
+        text, after = text or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        own, other, following = (brute_print(t, lexicon) for t in (text, text[: len(text) - half] + after[:half], after))
+        shown = [f"{p[0]:016x}" + "".join(f"{x:04x}" for x in p[1]) for p in (own, other)]
+        assert [found[i]["fingerprint"], found[i]["edited_fingerprint"]] == shown
+        assert (found[i]["near_edited"], found[i]["near_next"]) == (pytest.approx(alike(own, other)), pytest.approx(alike(own, following)))
+
+
 def test_band_of_the_lexicon(make):
     docs = make([(i, f"all half{'x' if i % 2 else 'y'} own{i}") for i in range(40)])
     assert imatch.lexicon(docs, 0.1, 0.6) == [b"halfx", b"halfy"]
