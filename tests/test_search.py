@@ -61,6 +61,23 @@ def test_threshold_search_of_chunks_and_parents(spark):
     assert rounded(found, keys) == rounded(I.best(retriever.index, asked, ids, 4, True).collect(), keys)
 
 
+def test_questions_that_share_frequent_terms_are_searched_once(spark, monkeypatch):
+    """The rows of the full search, with ties among copies, repeated words, questions without rare or frequent terms."""
+    monkeypatch.setattr(I, "RARE", 30)
+    index = I.build(spark.createDataFrame(corpus(600), "doc_id bigint, text string"), ["doc_id"])
+    made = [(f"q{i}", f"why did rare{i % 400} go to common1 and common{i % 2}" + " rare5" * (i % 3)) for i in range(500)]
+    asked = spark.createDataFrame(made + QUESTIONS, "question_id string, text string")
+    read = []
+    dense = I._best_dense
+    monkeypatch.setattr(I, "_best_dense", lambda index, terms, *rest: read.append(terms.select(terms.columns[0]).distinct().count()) or dense(index, terms, *rest))
+    want = rounded(I.best(index, asked, ["question_id"], 5).collect(), ["question_id", "doc_id"])
+    got = rounded(I.best(index, asked, ["question_id"], 5, many=0).collect(), ["question_id", "doc_id"])
+    assert got == want and len(read) == 2 and read[1] < read[0] / 2
+    plain = spark.createDataFrame(QUESTIONS, "question_id string, text string")  # these share too little
+    same = rounded(I.best(index, plain, ["question_id"], 5, many=0).collect(), ["question_id", "doc_id"])
+    assert same == rounded(I.best(index, plain, ["question_id"], 5).collect(), ["question_id", "doc_id"])
+
+
 def test_postings_of_a_text_are_read_together(spark):
     """However files are cut into tasks, scores are of whole texts."""
     docs = spark.createDataFrame(corpus(200), "doc_id bigint, text string")
