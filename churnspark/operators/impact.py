@@ -12,7 +12,7 @@ of bounded size. A search takes three steps, each one join with the question ter
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -136,7 +136,7 @@ def best(
     if worth < 1:
         share = skipped(impact, marked).first()
         if (share["n_read"] or 0) > worth * (share["n"] or 0):
-            own = index if allowed is None else replace(index, postings=index.postings.join(allowed, keys[0], "left_semi"))
+            own = index if allowed is None else index.within(allowed)
             return I.best(own, asked, ids, k, parents)
     chosen = marked.where("read").select(*ids, "term", "level", "q_weight", "cut")
     sums = materialize(_sums(impact, chosen, ids, allowed), "sums")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from churnspark.operators import dense, impact, index as I, latent, retrieval as R, vector_groups
 from churnspark.session import kept, materialize, release
+from pyspark.sql import functions as F
 
 
 def corpus(n, seed=1):
@@ -78,6 +79,21 @@ def test_questions_that_share_frequent_terms_are_searched_once(spark, monkeypatc
     assert same == rounded(I.best(index, plain, ["question_id"], 5).collect(), ["question_id", "doc_id"])
 
 
+def test_postings_are_weighed_where_they_are(spark, monkeypatch):
+    """No posting is shuffled, and frequencies in many parts, held one at a time, give the same weights."""
+    texts = corpus(120) + [(900, ""), (901, None), (902, "alone")]
+    docs = spark.createDataFrame([(i, ". ".join([t or ""] * 9)) for i, t in texts], "doc_id bigint, text string")
+    counted = materialize(I.counted_rows(R.Retriever(docs).children(docs), R.CHILD_KEYS), "counts")
+    df = materialize(counted.select(F.explode("term").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "df")
+    rows = lambda found: sorted(map(tuple, I._entries(found, R.CHILD_KEYS).collect()))
+    whole = I._weighted(counted, R.CHILD_KEYS, df, 500, I.PART_BYTES)
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(I, "HELD_PARTS", 1)
+    assert rows(I._weighted(counted, R.CHILD_KEYS, df, 500, 600)) == rows(whole)
+    length = I._entries(whole, R.CHILD_KEYS).groupBy(*R.CHILD_KEYS).agg(F.sum(F.col("weight") * F.col("weight")).alias("s"))
+    assert all(abs(r.s - 1) < 1e-9 for r in length.collect())
+
+
 def test_postings_of_a_text_are_read_together(spark):
     """However files are cut into tasks, scores are of whole texts."""
     docs = spark.createDataFrame(corpus(200), "doc_id bigint, text string")
