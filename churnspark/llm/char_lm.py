@@ -22,8 +22,6 @@ from churnspark.llm.common import arrow_rows, documents_of
 ORDER = 4
 #: Bytes of one part of a model table: the driver and a task hold one part of a table at a time.
 PART_BYTES = 48 * 1024 * 1024
-#: Labelled documents on which temperature and rejection are calibrated, those with the smallest hash of their id.
-CALIBRATION_ROWS = 1500
 _FLUSH = 1 << 20
 _CHUNK = 1 << 21
 
@@ -366,45 +364,59 @@ def _scored(batches, model: Model, block: int = 1 << 20):
         yield rows, texts, entropies(model, texts)
 
 
-def train(documents: DataFrame, calibration_rows: int = CALIBRATION_ROWS, part_bytes: int = PART_BYTES) -> Model | None:
+def train(documents: DataFrame, part_bytes: int = PART_BYTES) -> Model | None:
     """Model of all labelled ``documents`` (doc_id, text, lang); None without any letter in a labelled text.
 
-    Temperature and rejection limits come from a bounded sample: the temperature is the one under which the sample's
-    languages are likeliest, the limit of a language lies four deviations above its mean cross-entropy.
+    Temperature and rejection limits come from all of them too: the temperature is the one under which their languages
+    are likeliest, the limit of a language lies four deviations above its mean cross-entropy.
     """
     from churnspark.session import materialize
 
     known = documents.where(F.col("lang").isNotNull())
     model = fit(materialize(gram_counts(known), "grams"), part_bytes)
     if model is not None:
-        _calibrate(model, known, calibration_rows)
+        _calibrate(model, known)
     return model
 
 
-def _calibrate(model: Model, known: DataFrame, rows: int) -> None:
-    chosen = known.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(rows)
-    sample = known.join(F.broadcast(chosen), "doc_id").select("lang", "text")
-    schema = pa.schema([("lang", pa.string()), ("h", pa.list_(pa.float64()))])
+def _calibrate(model: Model, known: DataFrame) -> None:
+    """Temperature and limits from every labelled text; each task sends only sums per language."""
+    schema = pa.schema([("lang", pa.string()), ("n", pa.int64()), ("mean", pa.float64()), ("squares", pa.float64()), ("losses", pa.list_(pa.float64()))])
 
     def score(batches):
+        held: dict[str, list] = {}
         for meta, texts, h in _scored(batches, model):
-            for (lang,), text, row in zip(meta, texts, h.tolist()):
-                if len(text):
-                    yield lang, row
-
-    got = [(r["lang"], r["h"]) for r in sample.mapInArrow(arrow_rows(schema, score, 512), "lang string, h array<double>").collect()]
-    got = [g for g in sorted(got) if g[0] in model.languages]
+            langs = np.array([row[0] for row in meta])
+            lettered = np.array([len(t) > 0 for t in texts])
+            for j, lang in enumerate(model.languages):
+                own = h[(langs == lang) & lettered]
+                if not len(own):
+                    continue
+                losses = np.array([-np.log(np.maximum(_posterior(own, t)[:, j], 1e-12)).sum() for t in _TEMPERATURES])
+                part = (len(own), own[:, j].mean(), ((own[:, j] - own[:, j].mean()) ** 2).sum(), losses)
+                held[lang] = _merged(held[lang], part) if lang in held else part
+        for lang, (n, mean, squares, losses) in held.items():
+            yield lang, n, float(mean), float(squares), losses.tolist()
+
+    rows = known.select("lang", "text").mapInArrow(arrow_rows(schema, score, 512), "lang string, n bigint, mean double, squares double, losses array<double>").collect()
     model.limits = np.full(len(model.languages), np.inf)
-    if not got:
+    if not rows:
         return
-    h = np.array([g[1] for g in got])
-    truth = np.array([model.languages.index(g[0]) for g in got])
-    rate = [-np.log(np.maximum(_posterior(h, t)[np.arange(len(h)), truth], 1e-12)).mean() for t in _TEMPERATURES]
-    model.temperature = float(_TEMPERATURES[int(np.argmin(rate))])
-    for j in range(len(model.languages)):
-        own = h[truth == j, j]
-        if len(own) > 1:
-            model.limits[j] = own.mean() + 4 * own.std()
+    sums: dict[str, tuple] = {}
+    for r in sorted(rows):
+        part = (r["n"], r["mean"], r["squares"], np.array(r["losses"]))
+        sums[r["lang"]] = _merged(sums[r["lang"]], part) if r["lang"] in sums else part
+    model.temperature = float(_TEMPERATURES[int(np.argmin(sum(part[3] for part in sums.values())))])
+    for j, lang in enumerate(model.languages):
+        if lang in sums and sums[lang][0] > 1:
+            n, mean, squares, _ = sums[lang]
+            model.limits[j] = mean + 4 * math.sqrt(squares / n)
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """(rows, mean, sum of squared deviations, losses) of two sets of rows together."""
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * b[0] / n, a[2] + b[2] + apart * apart * a[0] * b[0] / n, a[3] + b[3]
 
 
 _TEMPERATURES = 2.0 ** np.arange(-8, 3)

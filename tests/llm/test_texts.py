@@ -375,3 +375,14 @@ def test_grades_of_odd_rows(spark, make):
     assert all(0 <= r["top_probability"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in found)
     assert ordinal.graded(make([]), labels).count() == 0
     assert all(r["accepted"] for r in ordinal.graded(make(pairs), labels.limit(0)).collect())
+
+
+def test_language_limits_come_from_every_labelled_text(spark):
+    """More documents than any sample held before: mean and deviation of all, however they are dealt to tasks."""
+    rows = [(i, f"das haus {i % 37} ist alt und klein" if i % 2 else f"the house {i % 41} is old" + " and small" * (i % 7), "de" if i % 2 else "en") for i in range(2400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = char_lm.train(df.repartition(7))
+    fold = char_lm.Folder()
+    for j, lang in enumerate(model.languages):
+        h = char_lm.entropies(model, [fold(t) for _, t, own in rows if own == lang])[:, j]
+        assert np.isclose(model.limits[j], h.mean() + 4 * h.std(), rtol=1e-9)
