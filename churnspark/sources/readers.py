@@ -104,8 +104,11 @@ def read_account_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_text_folder(spark: SparkSession, path: str, source_type: str, collection: str) -> DataFrame:
-    """One document per text file, with its file name, source type and collection."""
-    return spark.read.text(path, wholetext=True).select(
+    """One document per text file of a folder and the folders in it, with its file name, source type and collection.
+
+    One path is listed, by tasks where it holds many folders; a path per folder would be looked up and kept one by one.
+    """
+    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_name").alias("file_name"),
         F.col("value").alias("content"),

@@ -29,6 +29,23 @@ def write_csv(df: DataFrame, path: str | None = None, by_method: bool = False) -
     return path
 
 
+#: Files that one task of ``write_text_folder`` writes on average.
+TASK_FILES = 2000
+
+
+def write_text_folder(texts: DataFrame, path: str | None = None) -> str:
+    """One text file per row (name, value), the one file of a folder ``name=...``, as the writer names files by task.
+
+    Files cost far more than their bytes, so rows are dealt by number of files, not left to the size of the input. Tasks
+    move their own files into place when they commit; the driver would move them one after another.
+    """
+    path = path or fresh_path(texts.sparkSession, "texts")
+    tasks = max(1, -(-texts.count() // TASK_FILES))
+    writer = texts.repartition(tasks, "name").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    writer.partitionBy("name").text(path)
+    return path
+
+
 def export_at_risk(at_risk: DataFrame, path: str | None = None) -> str:
     """The seven export columns under their fixed headings."""
     return write_csv(at_risk.select(*[F.col(c).alias(h) for c, h in EXPORT_COLUMNS.items()]), path)

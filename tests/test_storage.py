@@ -179,3 +179,14 @@ def test_empty_backlog_and_empty_stream(spark):
     handed = S.hand_over(as_events(table))
     live = S.read_events(spark, f"{S.written_in_slices(nothing, 2)}/*/*.parquet", max_files=1)
     assert sum(r.events for r in S.continued(handed, live, S.engagement_weekly, ["week_start", "account_id"]).collect()) == 50
+
+
+def test_text_folder_is_written_by_many_tasks(spark, monkeypatch):
+    """Rows of one partition are dealt by number of files, and nothing is left for the driver to move."""
+    monkeypatch.setattr(sinks, "TASK_FILES", 10)
+    texts = spark.createDataFrame([(f"N{i:03d}", f"line {i}\nend") for i in range(60)], "name string, value string").coalesce(1)
+    path = sinks.write_text_folder(texts)
+    files = [f for f in Path(path).rglob("part-*") if f.suffix == ".txt"]
+    assert len(files) == 60 and len({f.name.split("-")[1] for f in files}) > 3
+    read = readers.read_text_folder(spark, path, "a", "b").collect()
+    assert {(r.file_path.split("name=")[1].split("/")[0], r.content) for r in read} == {(f"N{i:03d}", f"line {i}\nend\n") for i in range(60)}
