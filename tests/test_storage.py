@@ -102,6 +102,24 @@ def test_shared_opening_is_no_key(spark):
     assert pairs.count() <= 1.1 * len(found) and per_key <= 0.05 * pairs.count()
 
 
+def test_runs_of_words_are_hashed_once(spark, monkeypatch):
+    """A text's runs are made without a row or an expression per run; few or many passages give the same pairs."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([0, 3, 60])))) for i in range(150)] + [(900, None), (901, "ß-é x1 y2 z3. end")]
+    texts = spark.createDataFrame(docs, "doc_id int, text string")
+    cut = [" ".join(t.split()[a : a + n]) for (_, t), a, n in zip(docs[:150], range(150), [1, 2, 3, 5, 8, 12] * 25) if t and len(t.split()) > a + n]
+    asked = [*enumerate([*cut, "", "-é x1 y2 z", "nowhere to be found in it", "1 y"]), (5000, None)]
+    passages = spark.createDataFrame(asked, "question_id int, text string")
+    pairs = lambda: sorted((r.doc_id, r.question_id) for r in E.contained(texts, passages).collect())
+    want = sorted((d, q) for d, t in docs if t for q, s in asked if s and s in t)
+    runs = E.passage_runs(passages)
+    plan = E._gram_rows(texts, "doc_id", [2, 6], runs.select("_size", "_gram").distinct())._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+    assert pairs() == want
+    monkeypatch.setattr(E, "fits", lambda df: False)
+    assert pairs() == want
+
+
 def test_failing_scorer_falls_back(spark):
     docs = spark.createDataFrame([(i, f"Price is high for plan {i}. Support is slow {i % 3}. We like dogs.") for i in range(30)], "doc_id bigint, text string")
     asked = spark.createDataFrame([("a", "price of plan 3"), ("b", "slow support")], "question_id string, text string")
