@@ -1,13 +1,17 @@
 """Impact-ordered postings, and a threshold search that skips the blocks which cannot enter the best k.
 
 The postings of a term are put into levels of falling weight (a level spans half a power of two) and a level into blocks
-of bounded size. A search takes three steps, each one join with the question terms and one partial aggregation:
+of bounded size. A search takes four steps:
 
 1. The levels that contribute most give partial sums; the k-th best of a question is a first threshold.
 2. A level is read only if its contribution reaches the threshold divided by the question's terms: what all skipped
    levels could add together stays below the threshold, so a text met in none of the read levels cannot be among the
    best. Sums of the read levels raise the threshold; texts whose upper bound stays below it go.
-3. Texts that are left are scored exactly from the postings by text.
+3. Texts that are left take what the skipped levels add to them, which makes their sums whole.
+4. The best k by these sums are scored from the postings by text.
+
+Postings are dealt by text as they are stored, and meet the questions where they arrive, so a posting is shuffled once
+however many questions have its term, and a sum of a question and a text not at all.
 """
 
 from __future__ import annotations
@@ -34,43 +38,96 @@ MARGIN = 2e-9
 
 @dataclass(frozen=True)
 class ImpactIndex:
-    """``levels`` (term, level, n, parts, top): the size and the largest weight of each level of a term. ``blocks``
-    (term, level, part, entries): its postings, as arrays of keys and weight. Both are written tables."""
+    """``blocks`` (term, level, part, n, top, entries): the postings of a level as arrays of keys and weight, their number
+    and their largest weight; a written table."""
 
     index: TextIndex
-    levels: DataFrame
     blocks: DataFrame
 
+    def levels(self, terms: DataFrame) -> DataFrame:
+        """(term, level, n, parts, top): the size and the largest weight of each level of these terms (term)."""
+        blocks = self.blocks.select("term", "level", "part", "n", "top").join(_small(terms.select("term").distinct()), "term", "left_semi")
+        parts = (F.max("part") + 1).alias("parts")
+        return blocks.groupBy("term", "level").agg(F.sum("n").alias("n"), parts, F.max("top").alias("top"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A side of a join, broadcast if measured small."""
+    return F.broadcast(df) if fits(df) else df
+
 
 def order(index: TextIndex, block: int = BLOCK) -> ImpactIndex:
     """Write the postings of an index by term and impact.
 
     A level is a group of its own and is dealt by a hash into blocks, so the postings of the most frequent term are
-    never in one task or one row.
+    never in one task or one row. Only terms with more postings than a block can have such levels, so only theirs are
+    counted before.
     """
     level = F.floor(-F.log2("weight") * PER_OCTAVE).cast("int")
     leveled = index.postings.select(*index.keys, "term", "weight", level.alias("level"))
-    levels = leveled.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("weight").alias("top"))
-    levels = materialize(levels.withColumn("parts", F.ceil(F.col("n") / block).cast("int")), "levels")
-    # Levels of one block need no join: only larger ones are dealt.
-    large = levels.where("parts > 1").select("term", "level", "parts")
-    dealt = leveled.join(F.broadcast(large) if fits(large) else large, ["term", "level"], "left")
+    often = index.terms.where(F.col("df") > block).select("term")
+    counted = leveled.select("term", "level").join(_small(often), "term", "left_semi").groupBy("term", "level").agg(F.count("*").alias("n"))
+    large = materialize(counted.where(F.col("n") > block).select("term", "level", F.ceil(F.col("n") / block).cast("int").alias("parts")), "levels")
+    dealt = leveled.join(_small(large), ["term", "level"], "left")
     part = F.coalesce(F.pmod(F.xxhash64(*index.keys), F.col("parts")).cast("int"), F.lit(0))
     packed = dealt.withColumn("part", part).groupBy("term", "level", "part").agg(F.collect_list(F.struct(*index.keys, "weight")).alias("entries"))
-    return ImpactIndex(index, levels, materialize(packed, "blocks"))
+    packed = packed.select("term", "level", "part", F.size("entries").cast("bigint").alias("n"), F.array_max("entries.weight").alias("top"), "entries")
+    return ImpactIndex(index, materialize(packed, "blocks"))
 
 
-def _sums(impact: ImpactIndex, chosen: DataFrame, ids: list[str], allowed: DataFrame | None) -> DataFrame:
-    """(ids, keys, seen, spared): sums of contributions in the chosen (ids, term, level, q_weight, cut) rows, and of the
-    ``cut`` of the terms that were met."""
+def _met(impact: ImpactIndex, chosen: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """(keys, weight, slot): the postings of the chosen (term, level, slot) rows, once each."""
+    slots = chosen.select("term", "level", "slot").distinct()
+    rows = impact.blocks.join(_small(slots), ["term", "level"]).select("slot", F.inline("entries"))
+    return rows if allowed is None else rows.join(_small(allowed), impact.index.keys[0], "left_semi")
+
+
+def _first_sums(impact: ImpactIndex, chosen: DataFrame, ids: list[str], allowed: DataFrame | None) -> DataFrame:
+    """(ids, keys, seen): sums of contributions in the first blocks of the chosen (ids, term, level, q_weight, first_parts)."""
     keys = impact.index.keys
-    read = impact.blocks.join(F.broadcast(chosen) if fits(chosen) else chosen, ["term", "level"])
-    if "first_parts" in chosen.columns:
-        read = read.where("part < first_parts")
-    rows = read.select(*ids, "q_weight", "cut", F.inline("entries"))
+    read = impact.blocks.join(_small(chosen), ["term", "level"]).where("part < first_parts")
+    rows = read.select(*ids, "q_weight", F.inline("entries"))
     if allowed is not None:
-        rows = rows.join(F.broadcast(allowed) if fits(allowed) else allowed, keys[0], "left_semi")
-    return rows.groupBy(*ids, *keys).agg(F.sum(F.col("q_weight") * F.col("weight")).alias("seen"), F.sum("cut").alias("spared"))
+        rows = rows.join(_small(allowed), keys[0], "left_semi")
+    return rows.groupBy(*ids, *keys).agg(F.sum(F.col("q_weight") * F.col("weight")).alias("seen"))
+
+
+def _reaching(impact: ImpactIndex, marked: DataFrame, bounds: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """(keys, found): per text the questions (q, seen, gap) that it can still be among the best of: its sum in the levels
+    that are read, and what the skipped levels can add at most."""
+    keys = impact.index.keys
+    chosen = marked.where("read")
+    dealt = _met(impact, chosen, allowed).repartition(*keys)
+    met = dealt.join(_small(chosen.select("slot", "q", "q_weight", "cut")), "slot")
+    sums = met.groupBy("q", *keys).agg(F.sum(F.col("q_weight") * F.col("weight")).alias("seen"), F.sum("cut").alias("spared"))
+    open_cut = marked.dropDuplicates(["q", "term"]).groupBy("q").agg(F.sum("cut").alias("open")).join(bounds, "q", "left")
+    rated = sums.join(_small(materialize(open_cut, "open")), "q").withColumn("gap", F.col("open") - F.col("spared"))
+    kept = rated.where(F.coalesce(F.col("seen") + F.col("gap") >= F.col("bound") - MARGIN, F.lit(True)))
+    # The gap is only a bound: rounded to a float, and up by more than that takes away.
+    found = F.struct("q", "seen", (F.col("gap") * (1 + 1e-6) + MARGIN).cast("float").alias("gap"))
+    return materialize(kept.groupBy(*keys).agg(F.collect_list(found).alias("found")), "sums")
+
+
+def _whole_sums(impact: ImpactIndex, marked: DataFrame, reaching: DataFrame, raised: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """(q, keys, score): the sums over all levels, of the texts that still reach the raised threshold."""
+    keys = impact.index.keys
+    left = reaching.select(*keys, F.inline("found")).join(_small(raised), "q", "left")
+    left = left.where(F.coalesce(F.col("seen") + F.col("gap") >= F.col("bound") - MARGIN, F.lit(True)))
+    left = left.groupBy(*keys).agg(F.collect_list(F.struct("q", "seen")).alias("found"))
+    skipped = marked.where("NOT read")
+    more = _met(impact, skipped, allowed).groupBy(*keys).agg(F.collect_list(F.struct("slot", "weight")).alias("more"))
+    none = F.lit(None)
+    seen = F.transform("found", lambda e: F.struct(e["q"].alias("own"), e["seen"].alias("value"), none.cast("bigint").alias("slot")))
+    added = F.transform(
+        F.coalesce("more", F.array().cast("array<struct<slot:bigint,weight:double>>")),
+        lambda e: F.struct(none.cast("bigint").alias("own"), e["weight"].alias("value"), e["slot"].alias("slot")),
+    )
+    rows = left.join(more, keys, "left").select(*keys, F.inline(F.concat(seen, added)))
+    weights = _small(skipped.select("slot", F.col("q").alias("asking"), "q_weight"))
+    met = rows.join(weights, "slot", "left").withColumn("q", F.coalesce("own", "asking"))
+    value = F.when(F.col("own").isNotNull(), F.col("value")).otherwise(F.col("q_weight") * F.col("value"))
+    sums = met.groupBy("q", *keys).agg(F.sum(value).alias("score"), F.count("own").alias("left"))
+    return sums.where("left > 0").drop("left")
 
 
 def _thresholds(sums: DataFrame, ids: list[str], keys: list[str], k: int, parents: bool) -> DataFrame:
@@ -84,17 +141,21 @@ def _thresholds(sums: DataFrame, ids: list[str], keys: list[str], k: int, parent
 def plan(impact: ImpactIndex, terms: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, term, q_weight, level, n, parts, gain): the levels of every question's terms; ``gain`` is their largest
     contribution."""
-    asked = F.broadcast(terms) if fits(terms) else terms
-    return impact.levels.join(asked.select(*ids, "term", "q_weight"), "term").select(
+    return impact.levels(terms).join(_small(terms.select(*ids, "term", "q_weight")), "term").select(
         *ids, "term", "q_weight", "level", "n", "parts", (F.col("q_weight") * F.col("top")).alias("gain")
     )
 
 
+def _numbered(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """(columns, name): the distinct values with a number each, written."""
+    return materialize(rows.select(*columns).distinct().withColumn(name, F.monotonically_increasing_id()), name)
+
+
 def read_levels(planned: DataFrame, bounds: DataFrame, ids: list[str]) -> DataFrame:
     """The planned levels with ``read``, and ``cut``, the largest contribution of a level of the term that is skipped."""
     m = planned.groupBy(*ids).agg(F.countDistinct("term").alias("m")).join(bounds, ids, "left")
     needed = F.col("gain") >= (F.col("bound") - MARGIN) / F.col("m")
-    marked = planned.join(F.broadcast(m) if fits(m) else m, ids).withColumn("read", F.coalesce(needed, F.lit(True)))
+    marked = planned.join(_small(m), ids).withColumn("read", F.coalesce(needed, F.lit(True)))
     skipped = F.max(F.when(~F.col("read"), F.col("gain"))).over(W.partitionBy(*ids, "term"))
     return marked.withColumn("cut", F.coalesce(skipped, F.lit(0.0)))
 
@@ -119,8 +180,8 @@ def best(
 
     ``allowed`` (first key) restricts the texts that can be found. ``report`` receives the levels with ``read``. A
     question with fewer than k texts reads all of its levels. Null and empty questions have no terms and no rows. The
-    sums of this search are rows of a shuffle, so it pays only where it skips much: if the share of postings to be read
-    exceeds ``worth``, the dense scoring of ``index.best`` gives the same rows.
+    postings that this search reads are shuffled, so it pays only where it skips much: if the share of postings to be
+    read exceeds ``worth``, the dense scoring of ``index.best`` gives the same rows.
     """
     index, keys = impact.index, impact.index.keys
     terms = materialize(question_terms(index, asked, ids), "question-terms")
@@ -128,9 +189,11 @@ def best(
     before = F.sum("n").over(W.partitionBy(*ids).orderBy(F.desc("gain"), "term", "level").rowsBetween(W.unboundedPreceding, -1))
     first = planned.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < FIRST * k)
     # Of a large level the first blocks are enough for a threshold.
-    first = first.select(*ids, "term", "level", "q_weight", F.lit(0.0).alias("cut"), F.ceil(F.lit(FIRST * k) / F.greatest(F.lit(1), F.col("n") / F.col("parts"))).alias("first_parts"))
-    bounds = _thresholds(_sums(impact, first, ids, allowed), ids, keys, k, parents)
-    marked = materialize(read_levels(planned, materialize(bounds, "bounds"), ids), "marked")
+    first = first.select(*ids, "term", "level", "q_weight", F.ceil(F.lit(FIRST * k) / F.greatest(F.lit(1), F.col("n") / F.col("parts"))).alias("first_parts"))
+    bounds = materialize(_thresholds(_first_sums(impact, first, ids, allowed), ids, keys, k, parents), "bounds")
+    questions, slots = _numbered(planned, ids, "q"), _numbered(planned, ["term", "level"], "slot")
+    marked = read_levels(planned, bounds, ids).join(_small(questions), ids).join(_small(slots), ["term", "level"])
+    marked = materialize(marked.drop("bound", "m"), "marked")
     if report is not None:
         report.append(marked)
     if worth < 1:
@@ -138,29 +201,30 @@ def best(
         if (share["n_read"] or 0) > worth * (share["n"] or 0):
             own = index if allowed is None else index.within(allowed)
             return I.best(own, asked, ids, k, parents)
-    chosen = marked.where("read").select(*ids, "term", "level", "q_weight", "cut")
-    sums = materialize(_sums(impact, chosen, ids, allowed), "sums")
-    raised = _thresholds(sums, ids, keys, k, parents)
-    open_cut = marked.dropDuplicates([*ids, "term"]).groupBy(*ids).agg(F.sum("cut").alias("open"))
-    rated = sums.join(F.broadcast(open_cut) if fits(open_cut) else open_cut, ids).join(raised, ids, "left")
-    upper = F.col("seen") + F.col("open") - F.col("spared")
-    left = materialize(rated.where(F.coalesce(upper >= F.col("bound") - MARGIN, F.lit(True))).select(*ids, *keys), "left")
-    exact = _exact(index, terms, left, ids)
-    child = exact.withColumn("kind", F.lit("child"))
+    reaching = _reaching(impact, marked, bounds.join(_small(questions), ids).select("q", "bound"), allowed)
+    raised = materialize(_thresholds(reaching.select(*keys, F.inline("found")), ["q"], keys, k, parents), "raised")
+    sums = _whole_sums(impact, marked, reaching, raised, allowed)
+    children = F.lit("child").alias("kind")
+    top = sums.select("q", children, *keys, "score")
     if parents:
-        own = exact.where("variant = 0") if "variant" in ids else exact
-        group = own.groupBy(*ids, *keys[:-1]).agg(F.max("score").alias("score"))
+        own = questions.where("variant = 0") if "variant" in ids else questions
+        group = sums.join(_small(own.select("q")), "q", "left_semi").groupBy("q", *keys[:-1]).agg(F.max("score").alias("score"))
         last = index.postings.schema[keys[-1]].dataType
-        child = child.unionByName(group.select(*ids, *keys[:-1], F.lit(None).cast(last).alias(keys[-1]), "score", F.lit(0.0).alias("bm25"), F.lit("parent").alias("kind")))
-    return top_per_group(child.select(*ids, "kind", *keys, "score", "bm25"), [*ids, "kind"], best_first(keys), k)
+        top = top.unionByName(group.select("q", F.lit("parent").alias("kind"), *keys[:-1], F.lit(None).cast(last).alias(keys[-1]), "score"))
+    top = top_per_group(top, ["q", "kind"], best_first(keys), k).drop("rank")
+    top = materialize(top.join(_small(questions), "q").drop("q"), "left")
+    best = _exact(index, terms, top.where("kind = 'child'").select(*ids, *keys), ids).withColumn("kind", F.lit("child"))
+    if parents:
+        best = best.unionByName(top.where("kind = 'parent'").withColumn("bm25", F.lit(0.0)))
+    return top_per_group(best.select(*ids, "kind", *keys, "score", "bm25"), [*ids, "kind"], best_first(keys), k)
 
 
 def _exact(index: TextIndex, terms: DataFrame, left: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, keys, score, bm25) of the pairs (ids, keys) that are left."""
     texts = left.select(*index.keys).distinct()
-    rows = index.postings.withColumn("saturated", saturation(index)).join(F.broadcast(texts) if fits(texts) else texts, index.keys, "left_semi")
-    weights = terms.select(*ids, "term", "q_weight", "bm25_idf")
-    met = rows.join(F.broadcast(weights) if fits(weights) else weights, "term")
-    pairs = F.broadcast(left) if fits(left) else left
-    scored = met.join(pairs, [*ids, *index.keys], "left_semi").groupBy(*ids, *index.keys)
+    # Other texts are left out before their postings become rows.
+    postings = index.postings if index.given else index.within(texts.select(index.keys[0]).distinct()).postings
+    rows = postings.withColumn("saturated", saturation(index)).join(_small(texts), index.keys, "left_semi")
+    met = rows.join(_small(terms.select(*ids, "term", "q_weight", "bm25_idf")), "term")
+    scored = met.join(_small(left), [*ids, *index.keys], "left_semi").groupBy(*ids, *index.keys)
     return scored.agg(F.sum(F.col("q_weight") * F.col("weight")).alias("score"), F.sum(F.col("bm25_idf") * F.col("saturated")).alias("bm25"))

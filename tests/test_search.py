@@ -41,6 +41,23 @@ def test_threshold_search_equals_full_scoring(spark, block):
     assert rounded(dense_instead, ["question_id", "doc_id"]) == rounded(found, ["question_id", "doc_id"])
 
 
+def test_threshold_search_writes_no_row_per_question_and_text(spark, monkeypatch):
+    """Sums are written by text, and only the best few are scored from the postings."""
+    index = I.build(spark.createDataFrame(corpus(900), "doc_id bigint, text string"), ["doc_id"])
+    asked = spark.createDataFrame(QUESTIONS, "question_id string, text string")
+    blocks, written = impact.order(index), {}
+
+    def counting(df, label):
+        out = materialize(df, label)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(impact, "materialize", counting)
+    found = impact.best(blocks, asked, ["question_id"], 5).collect()
+    assert rounded(found, ["question_id", "doc_id"]) == rounded(I.best(index, asked, ["question_id"], 5).collect(), ["question_id", "doc_id"])
+    assert written["sums"] <= 900 and written["left"] <= 5 * len(QUESTIONS)
+
+
 def test_threshold_search_within_allowed_texts(spark):
     docs = spark.createDataFrame(corpus(300), "doc_id bigint, text string")
     index = I.build(docs, ["doc_id"])
