@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from churnspark.operators import index as I
 from churnspark.operators.index import TextIndex, best_first, question_terms, saturation
@@ -30,6 +30,8 @@ from churnspark.session import materialize
 PER_OCTAVE = 2
 #: Mean postings of a block.
 BLOCK = 1024
+#: Levels of more than one block that are sent to every task.
+LARGE_ROWS = 1_000_000
 #: Postings per wanted text that the first step reads for a question.
 FIRST = 100
 #: Scores are compared to nine decimals; bounds are kept apart from them by more.
@@ -56,23 +58,34 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits(df) else df
 
 
+def _level(weight: Column) -> Column:
+    return F.floor(-F.log2(weight) * PER_OCTAVE).cast("int")
+
+
 def order(index: TextIndex, block: int = BLOCK) -> ImpactIndex:
     """Write the postings of an index by term and impact.
 
-    A level is a group of its own and is dealt by a hash into blocks, so the postings of the most frequent term are
-    never in one task or one row. Only terms with more postings than a block can have such levels, so only theirs are
-    counted before.
+    The postings of a term that has no more of them than a block are brought together and put into levels there. Of other
+    terms, a level is a group of its own, is counted before and is dealt by a hash into blocks, so the postings of the
+    most frequent term are never in one task or one row.
     """
-    level = F.floor(-F.log2("weight") * PER_OCTAVE).cast("int")
-    leveled = index.postings.select(*index.keys, "term", "weight", level.alias("level"))
+    level = _level(F.col("weight")).alias("level")
+    postings = index.postings.select(*index.keys, "term", "weight", level)
     often = index.terms.where(F.col("df") > block).select("term")
-    counted = leveled.select("term", "level").join(_small(often), "term", "left_semi").groupBy("term", "level").agg(F.count("*").alias("n"))
+    counted = postings.select("term", "level").join(_small(often), "term", "left_semi").groupBy("term", "level").agg(F.count("*").alias("n"))
     large = materialize(counted.where(F.col("n") > block).select("term", "level", F.ceil(F.col("n") / block).cast("int").alias("parts")), "levels")
-    dealt = leveled.join(_small(large), ["term", "level"], "left")
+    # Up to 64 MB: without it, all postings would be shuffled once more.
+    sent = F.broadcast(large) if fits(large, max_rows=LARGE_ROWS) else large
+    levels = postings.join(_small(often.withColumn("often", F.lit(True))), "term", "left").join(sent, ["term", "level"], "left")
     part = F.coalesce(F.pmod(F.xxhash64(*index.keys), F.col("parts")).cast("int"), F.lit(0))
-    packed = dealt.withColumn("part", part).groupBy("term", "level", "part").agg(F.collect_list(F.struct(*index.keys, "weight")).alias("entries"))
-    packed = packed.select("term", "level", "part", F.size("entries").cast("bigint").alias("n"), F.array_max("entries.weight").alias("top"), "entries")
-    return ImpactIndex(index, materialize(packed, "blocks"))
+    dealt = levels.withColumn("part", part).withColumn("dealt", F.when(F.col("often"), F.col("level")))
+    packed = dealt.groupBy("term", "dealt", "part").agg(F.collect_list(F.struct(*index.keys, "weight")).alias("e"))
+    found = F.array_distinct(F.transform("e", lambda e: _level(e["weight"])))
+    parted = F.transform(found, lambda v: F.struct(v.alias("level"), F.filter("e", lambda e: _level(e["weight"]) == v).alias("entries")))
+    whole = F.array(F.struct(F.col("dealt").alias("level"), F.col("e").alias("entries")))
+    rows = packed.select("term", "part", F.inline(F.when(F.col("dealt").isNull(), parted).otherwise(whole)))
+    blocks = rows.select("term", "level", "part", F.size("entries").cast("bigint").alias("n"), F.array_max("entries.weight").alias("top"), "entries")
+    return ImpactIndex(index, materialize(blocks, "blocks"))
 
 
 def _met(impact: ImpactIndex, chosen: DataFrame, allowed: DataFrame | None) -> DataFrame:
