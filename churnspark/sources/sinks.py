@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnspark.functions.columns import slug
-from churnspark.session import fresh_path, materialize
+from churnspark.session import fresh_path, local_path, materialize
 
 # Columns of the at-risk export and their headings.
 EXPORT_COLUMNS = {
@@ -32,20 +40,62 @@ def write_csv(df: DataFrame, path: str | None = None, by_method: bool = False) -
 #: Files that one task of ``write_text_folder`` writes on average.
 TASK_FILES = 2000
 
+#: Folder of rows without a name, and the bytes of a name that are escaped, as Spark's partitioned writers have them.
+NO_NAME = b"__HIVE_DEFAULT_PARTITION__"
+ESCAPED = re.compile(rb"""[\x01-\x1f"#%'*/:=?\\\x7f{\[\]^]""")
+
 
 def write_text_folder(texts: DataFrame, path: str | None = None) -> str:
     """One text file per row (name, value), the one file of a folder ``name=...``, as the writer names files by task.
 
-    Files cost far more than their bytes, so rows are dealt by number of files, not left to the size of the input. Tasks
-    move their own files into place when they commit; the driver would move them one after another.
+    Files cost far more than their bytes, so rows are dealt by number of files, not left to the size of the input. On a
+    plain local file system Spark's writer starts a process for every file, checksum and folder to set its mode, so there
+    tasks write the same files themselves. In any other store tasks move their own files into place when they commit; the
+    driver would move them one after another.
     """
-    path = path or fresh_path(texts.sparkSession, "texts")
+    spark = texts.sparkSession
+    path = path or fresh_path(spark, "texts")
     tasks = max(1, -(-texts.count() // TASK_FILES))
-    writer = texts.repartition(tasks, "name").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    writer.partitionBy("name").text(path)
+    dealt = texts.repartition(tasks, "name")
+    root = local_path(spark, path)
+    if root is None or os.path.exists(root):  # Spark's writer refuses a path that exists
+        writer = dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+        writer.partitionBy("name").text(path)
+        return path
+    os.makedirs(root)
+    rows = dealt.select(F.col("name").cast("string").cast("binary").alias("name"), F.col("value").cast("binary").alias("value"))
+    files = rows.sortWithinPartitions("name").mapInArrow(_file_writer(os.fsencode(root), uuid.uuid4().hex), "files bigint")
+    files.agg(F.sum("files")).collect()
+    open(f"{root}/_SUCCESS", "wb").close()
     return path
 
 
+def _file_writer(root: bytes, label: str):
+    """Write rows (name, value), sorted by name, as files under a local folder; the number of files of the task.
+
+    A file is written aside under a hidden name of its attempt and then takes the name that it has in every attempt, so a
+    task that runs again or twice leaves each file once and whole.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context = TaskContext.get()
+        name = b"part-%05d-%s.txt" % (context.partitionId(), label.encode())
+        rows = (row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        files = 0
+        for key, group in groupby(rows, key=lambda row: row[0] or NO_NAME):
+            folder = root + b"/name=" + ESCAPED.sub(lambda m: b"%%%02X" % m[0][0], key)
+            aside = b"%s/.%s.%d" % (folder, name, context.taskAttemptId())
+            os.makedirs(folder, exist_ok=True)
+            with open(aside, "wb") as file:
+                for _, value in group:
+                    file.write((value or b"") + b"\n")
+            os.replace(aside, b"%s/%s" % (folder, name))
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return write
+
+
 def export_at_risk(at_risk: DataFrame, path: str | None = None) -> str:
     """The seven export columns under their fixed headings."""
     return write_csv(at_risk.select(*[F.col(c).alias(h) for c, h in EXPORT_COLUMNS.items()]), path)

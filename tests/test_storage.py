@@ -9,8 +9,10 @@ from pathlib import Path
 import numpy as np
 import pytest
 from churnspark.operators import evaluation as E, profile as P, questions as Q, retrieval as R
+from churnspark.session import local_path
 from churnspark.sources import readers, sinks
 from churnspark.streaming import events as S
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 
@@ -208,3 +210,42 @@ def test_text_folder_is_written_by_many_tasks(spark, monkeypatch):
     assert len(files) == 60 and len({f.name.split("-")[1] for f in files}) > 3
     read = readers.read_text_folder(spark, path, "a", "b").collect()
     assert {(r.file_path.split("name=")[1].split("/")[0], r.content) for r in read} == {(f"N{i:03d}", f"line {i}\nend\n") for i in range(60)}
+
+
+ODD_NAMES = ["plain", "a b", "a/b", "50%", "x=1:2", "été", "[q]{w}^", "back\\slash", "tab\there", "", None]
+
+
+def test_local_text_folder_is_what_sparks_writer_makes(spark, tmp_path):
+    """Same folders and bytes, odd names and repeated ones too, but nothing that starts a process per file."""
+    rows = [(name, f"text {i}\nend") for i, name in enumerate(ODD_NAMES)] + [("nothing", None), ("twice", "same"), ("twice", "same")]
+    texts = spark.createDataFrame(rows, "name string, value string")
+    texts.coalesce(1).write.partitionBy("name").text(f"{tmp_path}/spark")
+    sinks.write_text_folder(texts, f"file://{tmp_path}/own")
+    found = [
+        {f.parent.name: sorted(f.read_bytes().split(b"\n")) for f in (tmp_path / by).rglob("part-*.txt")} | {"done": (tmp_path / by / "_SUCCESS").exists()}
+        for by in ("spark", "own")
+    ]
+    assert found[0] == found[1] and len(found[1]) == len(ODD_NAMES) - 1 + 2 + 1  # no name and an empty one are one
+    assert not [f for f in (tmp_path / "own").rglob(".*")]
+    with pytest.raises(AnalysisException, match="PATH_ALREADY_EXISTS"):
+        sinks.write_text_folder(texts, f"file://{tmp_path}/own")
+
+
+def test_text_folder_in_another_store(spark, tmp_path):
+    """A store that Python cannot open is left to Spark's writer."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.texts.link./at", f"file://{tmp_path}")
+    texts = spark.createDataFrame([(f"N{i}", f"text {i}") for i in range(20)], "name string, value string")
+    path = sinks.write_text_folder(texts, "viewfs://texts/at/folder")
+    assert local_path(spark, path) is None and local_path(spark, f"file://{tmp_path}/folder") == f"{tmp_path}/folder"
+    read = readers.read_text_folder(spark, path, "a", "b").collect()
+    assert {(r.file_path.split("name=")[1].split("/")[0], r.content) for r in read} == {(f"N{i}", f"text {i}\n") for i in range(20)}
+
+
+def test_text_file_of_a_task_that_runs_twice(spark, tmp_path):
+    """Attempts of a task name a file alike, so one that is run again adds none."""
+    rows = spark.createDataFrame([(f"N{i:02d}", f"text {i}") for i in range(20)], "name string, value string").coalesce(1)
+    binary = rows.select(*[F.col(c).cast("binary").alias(c) for c in rows.columns])
+    writer = sinks._file_writer(str(tmp_path).encode(), "run")
+    for _ in range(2):
+        assert binary.mapInArrow(writer, "files bigint").collect()[0].files == 20
+    assert sorted(f.name for f in tmp_path.rglob("*") if f.is_file()) == ["part-00000-run.txt"] * 20
