@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import re
+import unicodedata
+from collections.abc import Iterator
+from itertools import islice
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from churnspark.functions.columns import null_if_missing, parse_date, parse_money
-from churnspark.session import materialize
-from churnspark.sources.sinks import CSV_OPTIONS
+from churnspark.session import local_path, materialize
+from churnspark.sources.sinks import CSV_OPTIONS, TASK_FILES
 
 # Columns of the account export and the names used here.
 EXPORT_NAMES = {
@@ -106,17 +114,122 @@ def read_account_export(spark: SparkSession, path: str) -> DataFrame:
 def read_text_folder(spark: SparkSession, path: str, source_type: str, collection: str) -> DataFrame:
     """One document per text file of a folder and the folders in it, with its file name, source type and collection.
 
-    One path is listed, by tasks where it holds many folders; a path per folder would be looked up and kept one by one.
+    As with Spark's reader, which reads all but plain files of a local file system, hidden and empty files are left out.
     """
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_name").alias("file_name"),
-        F.col("value").alias("content"),
+    files = _local_files(spark, path)
+    if files is None:
+        read = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+            F.col("_metadata.file_path").alias("file_path"),
+            F.col("_metadata.file_name").alias("file_name"),
+            F.col("value").alias("content"),
+        )
+    else:
+        read = files.mapInArrow(_read_files, "file_path string, file_name string, content binary")
+    return read.select(
+        "file_path",
+        "file_name",
+        F.col("content").cast("string").alias("content"),
         F.lit(source_type).alias("source_type"),
         F.lit(collection).alias("collection"),
     )
 
 
+#: Bytes that one task of ``read_text_folder`` reads on average, if its files are not more than ``sinks.TASK_FILES``.
+TASK_BYTES = 128 << 20
+#: Rows and bytes of a batch that leaves such a task.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+
+# Endings of the files that Hadoop's codecs unpack.
+PACKED = (b".gz", b".bz2", b".deflate", b".lz4", b".snappy", b".zst", b".passthrough")
+#: A path as it is, and characters that a URI holds unescaped.
+PLAIN_PATH = re.compile(r"[A-Za-z0-9/_.!~'()*,;:$&+=@-]*")
+UNESCAPED = "/_.!~'()*,;:$&+=@-"
+
+
+def _local_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """Files (path binary) of a folder in a local file system, dealt to tasks by number and bytes; None if they
+    are for Spark to read: another store, a pattern or single file, packed files, files with a checksum beside them.
+
+    Spark's own reader lists in at most 10,000 tasks, however short, has the driver keep 1.3 KB per file, and looks for all
+    codecs again for each. Here one task lists the folder, many the folders in it, and the list is a table.
+    """
+    root = None if re.search(r"[*?\[\]{}\\]", path) else local_path(spark, path)
+    if root is None or not os.path.isdir(root):
+        return None
+    kind = "path binary, is_folder boolean, bytes bigint, for_spark boolean"
+    top = spark.range(1, numPartitions=1).mapInArrow(_lister(os.fsencode(root)), kind)
+    dealt = top.repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    files = materialize(dealt.mapInArrow(_lister(), kind), "files")
+    found = files.agg(F.count("*"), F.sum("bytes"), F.max("for_spark")).first()
+    if found[2]:
+        return None
+    tasks = max(1, -(-found[0] // TASK_FILES), -(-(found[1] or 0) // TASK_BYTES))
+    return files.select("path").repartition(tasks, "path")
+
+
+def _lister(root: bytes | None = None):
+    """List the entries of one folder, or with none given, each file and all files in each folder among the rows."""
+
+    def entries(folder: bytes, deep: bool) -> Iterator[tuple]:
+        with os.scandir(folder) as found:
+            for entry in found:
+                name = entry.name
+                if name.startswith(b".") and name.endswith(b".crc"):
+                    yield entry.path, False, 0, True
+                if name.startswith(b".") or name.endswith(b"._COPYING_") or (name.startswith(b"_") and b"=" not in name):
+                    continue
+                if entry.is_dir():
+                    yield from entries(entry.path, True) if deep else [(entry.path, True, 0, False)]
+                elif entry.is_file() and (size := entry.stat().st_size):
+                    yield entry.path, False, size, name.endswith(PACKED)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            if root is not None:
+                yield from entries(root, False)
+                continue
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                yield from entries(row[0], True) if row[1] else [row]
+
+    types = pa.schema([("path", pa.binary()), ("is_folder", pa.bool_()), ("bytes", pa.int64()), ("for_spark", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = rows(batches)
+        while part := list(islice(found, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*part), types)], schema=types)
+
+    return run
+
+
+def _uri(path: str) -> str:
+    """The path as Spark's file metadata has it."""
+    if PLAIN_PATH.fullmatch(path):
+        return f"file:{path}"
+    escaped = lambda c: c < "\x80" or unicodedata.category(c) in ("Cc", "Zs", "Zl", "Zp")
+    return "file:" + "".join(quote(c, safe=UNESCAPED) if escaped(c) else c for c in path)
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = pa.schema([("file_path", pa.string()), ("file_name", pa.string()), ("content", pa.binary())])
+
+    def full():
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows), types)], schema=types)
+
+    rows, size = [], 0
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb") as file:
+                content = file.read()
+            name = path.decode("utf-8", "replace")
+            rows.append((_uri(name), name.rpartition("/")[2], content))
+            size += len(content)
+            if len(rows) == BATCH_ROWS or size > BATCH_BYTES:
+                yield full()
+                rows, size = [], 0
+    if rows:
+        yield full()
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """The JSON file that describes the data files."""
     return spark.read.schema(METADATA).json(path, multiLine=True)

@@ -1,5 +1,6 @@
 """Stored collections, rejected rows, sketches, itemsets, names, passages and handed-over streams."""
 
+import gzip
 import random
 from collections import Counter
 from datetime import datetime, timedelta
@@ -249,3 +250,48 @@ def test_text_file_of_a_task_that_runs_twice(spark, tmp_path):
     for _ in range(2):
         assert binary.mapInArrow(writer, "files bigint").collect()[0].files == 20
     assert sorted(f.name for f in tmp_path.rglob("*") if f.is_file()) == ["part-00000-run.txt"] * 20
+
+
+FILES = ["plain.txt", "a b/f.txt", "50%25/f.txt", "x=1:2/f.txt", "été/f.txt", "nb x/f.txt", "c\u0085d/日.txt", "q`|<>~'()!,;$&+@\"#/f.txt"]
+FILES += ["deep/er/still/f.txt", "_key=1/f.txt", "_skip/f.txt", ".skip/f.txt", "_SUCCESS", ".hidden", "f._COPYING_", "empty/f.txt"]
+
+
+def test_local_text_folder_is_what_sparks_reader_reads(spark, tmp_path, monkeypatch):
+    """Same paths, names and bytes, hidden and empty files left out, though no list of files reaches the driver."""
+    for i, name in enumerate(FILES):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name.startswith("empty") else b"text %d\r\nend\xff\xfe" % i)
+    (tmp_path / "link").symlink_to(tmp_path / "deep")
+    monkeypatch.setattr(readers, "TASK_FILES", 3)
+    monkeypatch.setattr(readers, "BATCH_ROWS", 2)
+
+    def rows(path):
+        read = readers.read_text_folder(spark, path, "a", "b").withColumn("content", F.col("content").cast("binary"))
+        return sorted(read.collect()), read
+
+    path = f"file://{tmp_path}"
+    own, read = rows(path)
+    assert len(own) == 11 and not [f for f in read.inputFiles() if f.endswith(".txt")]
+    assert rows(str(tmp_path))[0] == own
+    monkeypatch.setattr(readers, "_local_files", lambda *_: None)
+    assert rows(path)[0] == own and rows(str(tmp_path))[0] == own
+
+
+def test_text_folder_that_spark_has_to_read(spark, tmp_path):
+    """Packed files, files with checksums, patterns and single files are read by Spark; a missing path is reported by it."""
+    for folder in ("packed", "checked", "few"):
+        (tmp_path / folder / "in").mkdir(parents=True)
+        (tmp_path / folder / "in" / "f.txt").write_text("plain")
+    (tmp_path / "packed" / "in" / "g.txt.gz").write_bytes(gzip.compress(b"packed"))
+    spark.createDataFrame([("checked",)], "value string").coalesce(1).write.text(f"{tmp_path}/checked/in/spark")
+    read = lambda at: sorted(r.content for r in readers.read_text_folder(spark, f"{tmp_path}/{at}", "a", "b").collect())
+    assert read("packed") == ["packed", "plain"] and read("checked") == ["checked\n", "plain"]
+    assert read("f*") == read("few/in/f.txt") == read("few") == ["plain"]
+    damaged = next((tmp_path / "checked" / "in" / "spark").glob("part-*"))
+    damaged.write_text("changed\n")
+    with pytest.raises(Exception, match="(?i)checksum"):
+        read("checked")
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read("nowhere")
+    (tmp_path / "nothing").mkdir()
+    assert read("nothing") == []
